@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from stratalens.llm import pii, quality
+from stratalens.llm import huffman, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_packing": packing.op7_packing,
+    "op8_token_files": huffman.op8_token_files,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
