@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from stratalens.llm import huffman, packing, pii, quality
+from stratalens.llm import decontaminate, huffman, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_packing": packing.op7_packing,
     "op8_token_files": huffman.op8_token_files,
+    "op9_warc": warc.op9_warc,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
