@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratalens.llm import decontaminate, huffman, packing, pii, quality, warc
+from stratalens.llm import decontaminate, huffman, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_packing": packing.op7_packing,
     "op8_token_files": huffman.op8_token_files,
