@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalens.llm import decontaminate, huffman, neardup, packing, pii, quality, warc
+from stratalens.llm import decontaminate, huffman, lm, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_token_files": huffman.op8_token_files,
     "op9_warc": warc.op9_warc,
+    "op10_lm_scores": lm.op10_lm_scores,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
