@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from stratalens.llm import decontaminate, huffman, lm, neardup, packing, pii, quality, warc
+from stratalens.llm import chat, decontaminate, huffman, lines, lm, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_preference_formatting": chat.op5_preference_formatting,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_packing": packing.op7_packing,
     "op8_token_files": huffman.op8_token_files,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
+    "op5_preference_formatting": chat.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_warc": warc.ORACLE,
 }
