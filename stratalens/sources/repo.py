@@ -1,0 +1,117 @@
+"""Source trees as tables: a listing on the driver, reading and parsing on the executors.
+
+Spark's file sources skip names that begin with _ or ., and so would lose __init__.py; hence paths are listed here and
+each task opens its own. Where executors share no file system with the driver, give scan_binary() a glob instead.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalens.sources.parsers import PARSERS, parse
+
+# Folders that hold no sources of the project, labels of suffixes, and suffixes that are known but not parsed.
+EXCLUDES = ("/__pycache__/", "/.git/", "/.venv/", "/venv/", "/node_modules/", "/.next/", "/dist/", "/build/", "/.ruff_cache/", "/.pytest_cache/", "/.mypy_cache/")
+SKIP_DIRS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".next", ".git", ".ruff_cache", ".pytest_cache", ".mypy_cache", "target")
+LANGS = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".md": "markdown", ".pdf": "pdf", ".docx": "docx"}
+UNPARSED = (".go", ".rs", ".rb", ".php", ".cs", ".swift", ".kt", ".scala", ".sh", ".lua")
+SIDECAR = ".key.md"
+
+PARSED = "path string, lang string, sha256 string, line_count bigint, symbols array<struct<name:string,kind:string,line:bigint,signature:string,end_line:bigint>>, edges array<struct<from_name:string,to_name:string,kind:string,line:bigint>>"
+
+
+def listing(roots: Iterable[str]) -> list[str]:
+    """Canonical paths of all files under the roots, each once, excluded folders left out."""
+    out: dict[str, None] = {}
+    for root in roots:
+        for folder, dirs, names in os.walk(root):
+            dirs[:] = sorted(d for d in dirs if f"/{d}/" not in EXCLUDES)
+            for n in sorted(names):
+                out[os.path.realpath(os.path.join(folder, n))] = None
+    return list(out)
+
+
+def index_roots(root: str) -> list[str]:
+    """Visible child folders with at least one file that a parser takes."""
+    takes = tuple(PARSERS)
+    found = []
+    for d in sorted(os.listdir(root)):
+        full = os.path.join(root, d)
+        if os.path.isdir(full) and not d.startswith(".") and d not in SKIP_DIRS and any(n.endswith(takes) for _, _, names in os.walk(full) for n in names):
+            found.append(full)
+    return found
+
+
+def suffix(path: Column) -> Column:
+    return F.regexp_extract(path, "(\\.[^./]+)$", 1)
+
+
+def language(path: Column) -> Column:
+    s = F.lower(suffix(path))
+    known = F.create_map(*(x for k, v in LANGS.items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(known[s], F.when(s != "", F.substring(s, 2, 20)), F.lit("?"))
+
+
+def paths(spark: SparkSession, roots: Iterable[str], files_per_task: int = 200) -> DataFrame:
+    found = listing(roots)
+    df = spark.createDataFrame([(p,) for p in found], "path string")
+    return df.repartition(max(1, -(-len(found) // files_per_task)))
+
+
+def sources(listed: DataFrame) -> DataFrame:
+    return listed.where(F.lower("path").rlike("(?:" + "|".join(k.replace(".", "\\.") for k in PARSERS) + ")$") & ~F.col("path").endswith(SIDECAR))
+
+
+def sidecars(listed: DataFrame) -> DataFrame:
+    return listed.where(F.col("path").endswith(SIDECAR))
+
+
+def unsupported(listed: DataFrame) -> DataFrame:
+    return listed.select(suffix(F.col("path")).alias("suffix")).where(F.col("suffix").isin(*UNPARSED)).groupBy("suffix").count().orderBy(F.desc("count"), "suffix")
+
+
+def parse_files(listed: DataFrame) -> DataFrame:
+    """One row (see PARSED) for each file: read and parsed where the task runs; an unreadable file gives no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                try:
+                    with open(p, "rb") as f:
+                        rows.append(parse(p, f.read()))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "lang", "sha256", "line_count", "symbols", "edges"])
+
+    return listed.select("path").mapInPandas(run, PARSED)
+
+
+def parse_contents(df: DataFrame) -> DataFrame:
+    """The same for (path, content) rows, from any source that Spark reads."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [parse(p, c if isinstance(c, (bytes, bytearray)) else (c or "").encode()) for p, c in zip(b["path"], b["content"])]
+            yield pd.DataFrame(rows, columns=["path", "lang", "sha256", "line_count", "symbols", "edges"])
+
+    return df.select("path", "content").mapInPandas(run, PARSED)
+
+
+def scan_binary(spark: SparkSession, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(glob).select("path", "content")
+
+
+def relations(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, edges); of symbols with one name in a file the first stays."""
+    from stratalens.operators.graph import first_wins
+
+    files = parsed.select("path", "lang", "sha256", "line_count")
+    s = parsed.select("path", F.posexplode("symbols").alias("seq", "x")).select("path", "x.*", "seq")
+    e = parsed.select("path", F.posexplode("edges").alias("seq", "x")).select(F.col("path").alias("from_path"), "x.*", "seq")
+    return files, first_wins(s, ["path", "name"], "seq"), first_wins(e, ["from_path", "from_name", "to_name", "kind", "line"], "seq")
