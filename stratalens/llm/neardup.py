@@ -4,8 +4,9 @@
    many signature values, and ROWS of them at a time make BANDS keys. The sorted shingles give a 128-bit digest.
 2. Documents with one digest are one class; only its smallest id goes on.
 3. Classes that share a band key are candidates. A key's members are not paired with each other: each is compared with
-   the key's centre, the member with the most company over all its keys. Whoever the centres leave apart although a
-   key joins them is compared in a second step with those members of the key whose size and signature allow a link.
+   the key's centre, the member with the most company over all its keys. Where keys still join different components,
+   their members form clusters, and whoever is not of a cluster's main component is compared with the cluster in tiles:
+   blocks of at most BLOCK documents of fitting size, intersected by one matrix product. No pair is ever a row.
 4. Every candidate is confirmed on the full shingle sets of both texts; links become components by union-find.
 
 A pair with Jaccard 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, about 2e-7 at the defaults.
@@ -14,6 +15,7 @@ A pair with Jaccard 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BAND
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from stratalens.llm.common import components, fresh, stored
 
 BANDS, ROWS = 50, 6
 ENTRIES = 500_000
+#: Documents in a block of the second step, and shingles in a slice of its matrix.
+BLOCK, SLICE = 256, 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -152,26 +156,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(members.join(sizes, "key"), "shared")  # only keys with company
     company = shared.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("company"))
     ranked = shared.join(company, "doc_id")
-    centres = stored(ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("centre")), "centres")
-    star = shared.join(centres, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    centres = stored(ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("neg"), "n_shingles")).alias("m")).select("key", (-F.col("m.neg")).alias("centre"), F.col("m.n_shingles").alias("centre_n")), "centres")
+    fits = 100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n")
+    star = shared.join(centres, "key").where((F.col("doc_id") != F.col("centre")) & fits).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     texts = d.where("doc_id is not null")
     first = stored(star, "star")
     links = stored(_confirmed(first, texts.join(_ends(first), "doc_id", "left_semi"), k, percent), "links")
     roots = stored(components(links), "roots")
-    # keys that still hold more than one component: those apart from the centre's meet the key's other members
     labelled = shared.select("key", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key")
-    open_ = stored(labelled.join(split, "key"), "open")
-    middle = open_.join(centres, "key").where("doc_id = centre").select("key", F.col("root").alias("centre_root"))
-    apart = open_.join(middle, "key").where("root <> centre_root").select("key", F.col("doc_id").alias("p"), F.col("root").alias("p_root"), F.col("n_shingles").alias("p_n"))
-    rest = (
-        apart.join(open_, "key")
-        .where((F.col("root") != F.col("p_root")) & (100 * F.least("n_shingles", "p_n") >= percent * F.greatest("n_shingles", "p_n")))
-        .select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = stored(rest, "rest")
-    more = _confirmed(second, texts.join(_ends(second), "doc_id", "left_semi"), k, percent)
+    open_ = stored(labelled.join(split, "key").join(centres.select("key", "centre"), "key"), "open")
+    more = _tiled(open_, texts, k, percent)
     all_links = stored(equal.union(links).union(more), "all-links")
     final = components(all_links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
@@ -179,6 +174,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _tiled(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between different components among the documents of open keys.
+
+    Documents that share an open key are in one cluster. Two of different components are never both of the cluster's
+    largest one, so only the others (`out`) go against the cluster. Sizes in steps of 100 / percent are compatible with
+    their neighbours only; within a step, blocks are dealt by hash. A tile is one block of others against one block.
+    """
+    step = -math.log(percent / 100) * (1 + 1e-9) if percent < 100 else 1e-9  # sizes at the very bound stay neighbours
+    clusters = components(open_.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    rows = open_.select("doc_id", "n_shingles", "root").distinct().join(clusters, "doc_id").withColumn("step", F.floor(F.log("n_shingles") / step).cast("int"))
+    sizes = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+    rows = stored(rows.join(sizes, "cluster").withColumn("out", F.col("root") != F.col("main")), "clusters")
+    blocks = lambda df, name: df.groupBy("cluster", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    own = stored(blocks(rows, "nb").join(blocks(rows.where("out"), "no"), ["cluster", "step"], "left"), "blocks")
+    near = lambda df: df.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    placed = rows.join(own.select("cluster", "step", "nb", F.coalesce("no", F.lit(0)).alias("no")), ["cluster", "step"])
+    slot = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    placed = placed.select("doc_id", "root", "out", "cluster", "step", slot("nb").alias("h"), slot("no").alias("ho"))
+    # others go to every block of fitting size; every document goes to every block of others of fitting size
+    left = near(placed.where("out").select("doc_id", "root", "cluster", F.col("step").alias("so"), "ho", "step")).join(own.select("cluster", "step", "nb"), ["cluster", "step"])
+    left = left.select("doc_id", "root", F.lit(True).alias("out"), "cluster", "so", "ho", "step", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("h"))
+    right = near(placed.select("doc_id", "root", "cluster", F.col("step").alias("sm"), "h", "step")).join(own.where("no > 0").select("cluster", "step", "no"), ["cluster", "step"])
+    right = right.select("doc_id", "root", F.lit(False).alias("out"), "cluster", F.col("step").alias("so"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ho"), F.col("sm").alias("step"), "h")
+    dealt = left.unionByName(right).withColumn("tile", F.xxhash64("cluster", "so", "ho", "step", "h")).select("tile", "doc_id", "root", "out")
+    filled = dealt.join(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").select("tile", "doc_id", "root", "out", "text")
+
+    def run(tile: pa.Table) -> pa.Table:
+        signer, out = Signer(k), np.array(tile.column("out").to_pylist())
+        ids, roots, text = (tile.column(c).to_pylist() for c in ("doc_id", "root", "text"))
+        h = [signer.hashes(t) for t in text]
+        x, y, pairs = np.flatnonzero(out), np.flatnonzero(~out), set()
+        both = intersections([h[i] for i in x], [h[j] for j in y])
+        nx, ny = np.array([len(h[i]) for i in x])[:, None], np.array([len(h[j]) for j in y])[None, :]
+        rx, ry = np.array([roots[i] for i in x])[:, None], np.array([roots[j] for j in y])[None, :]
+        seen = set()
+        for i, j in zip(*np.nonzero((100 * both >= percent * (nx + ny - both)) & (rx != ry) & (both > 0))):
+            a, b = int(x[i]), int(y[j])
+            if (ids[a], roots[b]) not in seen and similar(text[a], text[b], k, percent):  # one link to a component is enough
+                seen.add((ids[a], roots[b]))
+                pairs.add((ids[a], ids[b]))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return filled.groupBy("tile").applyInArrow(run, "a bigint, b bigint")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, by slices of a 0/1 matrix."""
+    out = np.zeros((len(x), len(y)), np.float64)
+    if not x or not y:
+        return out.astype(np.int64)
+    of = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (hx, ix), (hy, iy) = of(x), of(y)
+    common = np.intersect1d(hx, hy)
+    for at in range(0, len(common), SLICE):
+        part = common[at : at + SLICE]
+        a, b = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        for m, h, i in ((a, hx, ix), (b, hy, iy)):
+            place = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            hit = part[place] == h
+            m[i[hit], place[hit]] = 1
+        out += a @ b.T
+    return np.rint(out).astype(np.int64)
+
+
+def similar(a: str | None, b: str | None, k: int, percent: int) -> bool:
+    s, t = shingle_set(a, k), shingle_set(b, k)
+    both = len(s & t)
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
