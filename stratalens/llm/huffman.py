@@ -25,7 +25,7 @@ from stratalens.llm.common import shared_dir, stored
 from stratalens.llm.tokens import Encoder
 
 END_ID = 0
-MAGIC, HEAD = b"SLHB", struct.Struct("<4sIQQII")  # magic, checkpoint distance, first token, tokens, documents, payload bytes
+MAGIC, HEAD = b"SLHB", "<4sIQQII"  # magic, checkpoint distance, first token, tokens, documents, payload bytes
 CHECKPOINT, BLOCK_TOKENS, SHARD_TOKENS = 64, 1 << 17, 1 << 22
 NULL_ID = -(1 << 63)
 
@@ -103,7 +103,7 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], first_token: int, bi
     ids = np.concatenate([d[1] for d in docs])
     payload, begins = write_bits(ids, bits, codes)
     marks = begins[::CHECKPOINT].astype("<u8")
-    head = HEAD.pack(MAGIC, CHECKPOINT, first_token, len(ids), len(docs), len(payload))
+    head = struct.pack(HEAD, MAGIC, CHECKPOINT, first_token, len(ids), len(docs), len(payload))
     names = np.array([NULL_ID if d[0] is None else d[0] for d in docs], "<i8")
     lengths = np.array([len(d[1]) for d in docs], "<u8")
     return head + names.tobytes() + lengths.tobytes() + marks.tobytes() + payload
@@ -111,10 +111,10 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], first_token: int, bi
 
 def decode_block(data: bytes, table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first token, document ids, their lengths, all ids of the block)."""
-    magic, every, first_token, n, n_docs, size = HEAD.unpack_from(data)
+    magic, every, first_token, n, n_docs, size = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     names = np.frombuffer(data, "<i8", n_docs, at)
     lengths = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     lanes = -(-n // every)
@@ -141,29 +141,32 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4")
+        encoder, end, total = Encoder(tokenizer), np.array([end_id], "<u4"), np.zeros(1 << 16, np.int64)
+        names = ["doc_id", "n", "ids", "counts"]
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 ids = [np.concatenate([x, end]) for x in encoder.encode(part.column(1).to_pylist())]
+                c = np.bincount(np.concatenate(ids))
+                if len(c) > len(total):
+                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+                total[: len(c)] += c
                 wide = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"+" + x.tobytes() for x in ids]  # an odd size marks 32 bits
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(wide, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    encoded = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_id bigint, n bigint, ids binary"), "ids")
+    written = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_id bigint, n bigint, ids binary, counts binary"), "ids")
+    encoded = written.where("counts is null").select("doc_id", "ids")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                c = np.bincount(_ids(raw))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
+                total = np.frombuffer(raw, np.int64)
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
     # at most one row for each id of the vocabulary comes to the driver
-    rows = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = written.where("counts is not null").select("counts").mapInArrow(spread, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     bits = code_lengths(counts, limit_for(int((counts > 0).sum())))

@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from operator import attrgetter
 
 import numpy as np
 
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x20\\t-\\r\x85\xa0"
-_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPLIT = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Outside of these, letters, digits and spaces are left to the library.
 _UNSURE = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
-#: Distinct pre-tokens that a worker remembers; beyond it, the table starts afresh (same ids, more work).
+#: A worker remembers pre-tokens in two generations of so many: what the younger one lacks is looked up in the older.
 TABLE_ENTRIES = 600_000
 
 
+_ID = attrgetter("id")
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies spell a byte as a printable letter: itself where printable, else the next from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -33,6 +38,22 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Table(dict):
+    """Ids of a pre-token; a missing one is made, so that the hot path is one lookup."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = self.old.get(part) or self.make(part)
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > TABLE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -40,30 +61,29 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path or default_path())
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.letters, self.tokenize = _byte_letters(), self.lib.model.tokenize
+        self.known = _Table(self._pretoken)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pretoken(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.lib.model.tokenize(spelled)], "<u4").tobytes()
+        if part.isascii() and part.isprintable():  # only the space is spelled otherwise
+            spelled = part.replace(" ", self.letters[32])
+        else:
+            spelled = part.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", map(_ID, self.tokenize(spelled)))
+        return ids.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as little-endian uint32; none for null or empty."""
-        out, known = [], self.known
+        out, known = [], self.known.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
             elif _UNSURE.search(text):
                 out += self._whole([text])
             else:
-                parts = _SPLIT.findall(text)
-                if new := [p for p in set(parts) if p not in known]:
-                    if len(known) + len(new) > TABLE_ENTRIES:
-                        known.clear()
-                        new = list(set(parts))
-                    known.update((p, self._pretoken(p)) for p in new)
-                out.append(b"".join(map(known.__getitem__, parts)))
+                out.append(b"".join(map(known, _SPLIT.findall(text))))
+                self.known.trim()
         return [np.frombuffer(b, "<u4") for b in out]
