@@ -65,12 +65,12 @@ def callees(spark, sf):
     return G.callees(_resolved(spark, sf))
 
 
-@query("""WITH MODEL, a AS (SELECT DISTINCT name FROM symbols WHERE path < 3), c AS (SELECT DISTINCT to_name, from_path, from_name FROM edges WHERE kind = 'call'),
+@query("""WITH MODEL, a AS (SELECT DISTINCT name FROM symbols), c AS (SELECT DISTINCT to_name, from_path, from_name FROM edges WHERE kind = 'call'),
 x AS (SELECT name AS symbol, from_path, from_name FROM a JOIN c ON name = to_name)
 SELECT *, 'exact' AS how FROM x UNION ALL
 SELECT name, from_path, from_name, 'leaf' FROM a JOIN c ON split_part(name, '.', 2) = to_name WHERE name LIKE '%.%' AND (name, from_path, from_name) NOT IN (SELECT symbol, from_path, from_name FROM x)""")
 def callers_exact_and_leaf(spark, sf):
-    return G.callers(model.edges(spark, sf), model.symbols(spark, sf).where("path < 3"))
+    return G.callers(model.edges(spark, sf), model.symbols(spark, sf))
 
 
 GATED = """own AS (SELECT path, name, split_part(name, '.', -1) AS l, CASE WHEN name LIKE '%.%' THEN split_part(name, '.', 1) END AS c, 'mod' || path AS stem FROM symbols),
@@ -140,10 +140,10 @@ def ambiguous_targets(spark, sf):
 
 
 @query("""WITH t AS (SELECT DISTINCT name, unnest(list_filter(string_split_regex(split_part(name, '.', 1), '[_\\-.]+'), lambda x: length(x) >= 3)) AS t
-  FROM (SELECT DISTINCT p_brand || '_' || replace(p_type, ' ', '_') || '.py' AS name FROM part WHERE p_partkey < 400))
+  FROM (SELECT DISTINCT replace(p_type, ' ', '_') || '.py' AS name FROM part))
 SELECT x.name AS a, y.name AS b, count(*) AS shared FROM t x JOIN t y ON x.t = y.t AND x.name < y.name GROUP BY 1, 2 HAVING count(*) >= 2""")
 def name_overlap(spark, sf):
-    p = model.read(spark, sf, "part").where("p_partkey < 400").select(F.concat("p_brand", F.lit("_"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("name")).distinct()
+    p = model.read(spark, sf, "part").select(F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("name")).distinct()
     return G.shared_names(p, T.name_tokens)
 
 
@@ -199,7 +199,7 @@ def upsert_merge(spark, sf):
 q AS (SELECT o_custkey AS path, cls || '.' || leaf AS name, leaf, cls FROM n JOIN orders USING (o_orderkey, o_custkey) WHERE o_orderdate >= '1997-01-01')
 (SELECT path, name FROM p UNION SELECT path, leaf FROM p) EXCEPT (SELECT path, name FROM q UNION SELECT path, leaf FROM q)""")
 def lost_symbols(spark, sf):
-    cut = F.col("name").endswith("") & (F.substring(T.leaf(F.col("name")), 2, 8) < "19970101")
+    cut = F.substring(T.leaf(F.col("name")), 2, 8) < "19970101"
     s = model.symbols(spark, sf).where("kind = 'method'")
     return M.lost(s.where(cut), s.where(~cut))
 
