@@ -69,7 +69,7 @@ def with_features(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     text, w, l = fresh(docs, "__q_text"), fresh(docs, "__q_words"), fresh(docs, "__q_lines")
     t = F.col(text)
     step1 = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    step2 = step1.withColumns({w: F.filter(F.split(t, WORD_SPLIT, -1), lambda x: x != ""), l: F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
+    step2 = step1.withColumns({w: F.array_remove(F.split(t, WORD_SPLIT, -1), ""), l: F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     words, lines = F.col(w), F.col(l)
     n, n_lines = F.size(words).cast("bigint"), F.size(lines).cast("bigint")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -119,9 +119,12 @@ def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs, with their own columns, that pass every rule."""
-    name = fresh(docs, "__q_features")
+    name, verdict, row = fresh(docs, "__q_features"), fresh(docs, "__q_kept"), fresh(docs, "__q_row")
     out = with_features(docs, text_col, name)
-    return out.where(~base_failed(F.col(name)) & compiled(rules, F.col(name))).drop(name)
+    f = F.col(name)
+    # the row number keeps the filter above the projection: below it, every rule would split the text again
+    out = out.select(*docs.columns, (~base_failed(f) & compiled(rules, f)).alias(verdict), F.monotonically_increasing_id().alias(row))
+    return out.where(F.col(verdict) & (F.col(row) >= 0)).select(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
