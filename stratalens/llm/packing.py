@@ -149,10 +149,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         encoder, p = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 40, capacity)
         end = np.array([end_id], "<u4")
         for b in batches:
-            ids_of = b.column(0).to_pylist()
-            for i, ids in zip(ids_of, (encoder.encode([t])[0] for t in b.column(1).to_pylist())):
-                p.add(i, np.concatenate([ids, end]))
-            if p.rows:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    p.add(i, np.concatenate([ids, end]))
                 yield p.take()
         p.finish()
         yield p.take()
