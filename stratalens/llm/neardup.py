@@ -7,6 +7,8 @@
    the key's centre, the member with the most company over all its keys. Where keys still join different components,
    their members form clusters, and whoever is not of a cluster's main component is compared with the cluster in tiles:
    blocks of at most BLOCK documents of fitting size, intersected by one matrix product. No pair is ever a row.
+   Before texts are read, pairs whose 256 signature bits agree too seldom (five standard deviations below what the
+   wanted similarity gives: one linked pair in a million) are out.
 4. Every candidate is confirmed on the full shingle sets of both texts; links become components by union-find.
 
 A pair with Jaccard 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, about 2e-7 at the defaults.
@@ -30,6 +32,7 @@ BANDS, ROWS = 50, 6
 ENTRIES = 500_000
 #: Documents in a block of the second step, and shingles in a slice of its matrix.
 BLOCK, SLICE = 256, 1 << 14
+SKETCH_BITS = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -86,6 +89,11 @@ class Signer:
             np.maximum(high, y.max(1), out=high)
         return np.stack([low, high], 1).reshape(-1)[: self.bands * self.rows]
 
+    def sketch(self, sig: np.ndarray) -> list[int]:
+        """One bit of each of the first SKETCH_BITS signature values, in 64-bit words."""
+        bits = _mix(sig[:SKETCH_BITS].astype(np.uint64) + np.arange(min(len(sig), SKETCH_BITS), dtype=np.uint64)) >> np.uint64(63)
+        return np.packbits(np.resize(bits.astype(np.uint8), SKETCH_BITS)).view(np.int64).tolist()
+
     def keys(self, sig: np.ndarray) -> np.ndarray:
         v = sig.reshape(self.bands, self.rows).astype(np.uint64)
         out = np.arange(self.bands, dtype=np.uint64) + np.uint64(1)
@@ -101,17 +109,19 @@ def sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         signer = Signer(k, bands, rows)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                part, size, digest, keys = b.slice(at, 2000), [], [], []
+                part, size, digest, keys, sketch = b.slice(at, 2000), [], [], [], []
                 for text in part.column(1).to_pylist():
                     h = signer.hashes(text)
                     size.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                    keys.append(signer.keys(signer.signature(h)) if len(h) else np.zeros(0, np.int64))
+                    sig = signer.signature(h)
+                    keys.append(signer.keys(sig) if len(h) else np.zeros(0, np.int64))
+                    sketch.append(signer.sketch(sig))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -160,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = 100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n")
     star = shared.join(centres, "key").where((F.col("doc_id") != F.col("centre")) & fits).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     texts = d.where("doc_id is not null")
-    first = stored(star, "star")
+    first = stored(_alike(star, reps.select("doc_id", "sketch"), percent), "star")
     links = stored(_confirmed(first, texts.join(_ends(first), "doc_id", "left_semi"), k, percent), "links")
     roots = stored(components(links), "roots")
     labelled = shared.select("key", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -244,6 +254,15 @@ def similar(a: str | None, b: str | None, k: int, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
 
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches agree often enough for the wanted similarity."""
+    q = (1 + percent / 100) / 2
+    least = math.floor(SKETCH_BITS * q - 5 * math.sqrt(SKETCH_BITS * q * (1 - q)))
+    x, y = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    differ = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(SKETCH_BITS - differ >= least).select("a", "b").distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
