@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line's shingles are the SHINGLE characters that begin at each of its words. They are hashed once; the hashes' top bits
-deal them to bins, and the minimum of each bin is the signature (one-permutation hashing). Neighbouring bins give a band
-key; four bits of every minimum make a fingerprint of 64 bits. Equal lines are one class first. Classes that share a band
+A line's shingles are the SHINGLE characters that begin at each of its positions, spaces included; a shorter line is one
+shingle. They are hashed once; the hashes' top bits deal them to bins, and the minimum of each bin is the signature
+(one-permutation hashing). Neighbouring bins give a band key; four bits of every minimum make a fingerprint of 64 bits. Equal lines are one class first. Classes that share a band
 key with fingerprints alike enough are compared with the key's centre on their exact shingle sets; links become
 components by union-find, and one line of each component stays.
 
@@ -12,47 +12,55 @@ lines agrees in under two fifths of its bins about once in ten thousand.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import components, fresh, stored
 
 SHINGLE, BIN_BITS, BANDS, PERCENT = 8, 4, 5, 80
+BINS = 1 << BIN_BITS
+#: Where the bins begin, and the end of the last.
+EDGES = [(i - BINS // 2) << (64 - BIN_BITS) for i in range(BINS)] + [(1 << 63) - 1]
 #: Bits of the membership map that spares lines without a candidate the shuffle of their text: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
-    """Distinct hashes of the n characters (fewer at the end) from each word start on."""
-    found = F.regexp_extract_all(line, F.lit(f"(?=([^ ].{{0,{n - 1}}}))[^ ]++"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    """Hashes of the n characters from every position on, or of a shorter line as a whole; repeated ones stay."""
+    wide = F.encode(line, "UTF-32")  # four bytes a character: any position is found at once
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.length(b) - 4 * n, F.lit(0)) + 1, F.lit(4))
+    return F.transform(F.array(wide), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substr(b, i, F.lit(4 * n)))))[0]
 
 
-def signature(hashes: Column) -> Column:
-    """The least hash of each bin that holds any, in bin order."""
-    s = F.sort_array(hashes)
-    top = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
-    firsts = lambda a: F.filter(a, lambda x, i: (i == 0) | (top(x) != top(F.get(a, i - 1))))
-    return F.transform(F.array(s), firsts)[0]
+def marked(hashes: Column) -> Column:
+    """The hashes in order, with EDGES between those of different bins."""
+    return F.sort_array(F.concat(hashes, F.array(*map(F.lit, EDGES))))
 
 
-def band_keys(sig: Column) -> Column:
-    """A key for each of the first BANDS pairs of bins that is not empty: of the minima that the pair holds."""
-    pair = lambda x: F.shiftrightunsigned(x, 65 - BIN_BITS)
-    other = lambda a, i: F.coalesce(pair(F.get(a, i)), F.lit(-1))
+def signature(marked: Column) -> Column:
+    """The least hash of each bin, in bin order; for an empty bin the edge above it."""
+    return F.array(*(F.get(marked, F.array_position(marked, F.lit(x)).cast("int")) for x in EDGES[:-1]))
+
 
-    def of(a):
-        some = F.filter(a, lambda x: pair(x) < BANDS)
-        return F.transform(F.array(some), lambda b: F.transform(b, lambda x, i: F.when(other(b, i - 1) == pair(x), F.xxhash64(F.get(b, i - 1), x)).when(other(b, i + 1) == pair(x), None).otherwise(F.xxhash64(x))))[0]
+def _empty(sig: Column, i: int) -> Column:
+    return F.get(sig, F.lit(i)) == F.lit(EDGES[i + 1])
 
+
+def band_keys(sig: Column) -> Column:
+    """A key for each of the first BANDS pairs of bins that is not empty: of the two minima."""
+    key = lambda i: F.xxhash64(F.get(sig, F.lit(i)), F.get(sig, F.lit(i + 1)))
+    some = F.array_compact(F.array(*(F.when(~(_empty(sig, i) & _empty(sig, i + 1)), key(i)) for i in range(0, 2 * BANDS, 2))))
     # a line with no shingle in those bins has its first minimum for a key
-    return F.when(F.exists(sig, lambda x: pair(x) < BANDS), F.array_compact(of(sig))).otherwise(F.transform(F.slice(sig, 1, 1), lambda x: F.xxhash64(x)))
+    first = F.array(F.xxhash64(F.coalesce(*(F.when(~_empty(sig, i), F.get(sig, F.lit(i))) for i in range(2 * BANDS, BINS)))))
+    return F.when(F.size(some) > 0, some).otherwise(first)
 
 
 def fingerprint(sig: Column) -> Column:
     """Four bits a bin: 0 for an empty one, else 1 to 15 by its minimum."""
-    place = lambda x: (4 * F.shiftrightunsigned(x, 64 - BIN_BITS)).cast("int")
-    return F.aggregate(sig, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.pmod(x, F.lit(15)) + 1, place(x))))
+    four = lambda i: F.when(_empty(sig, i), F.lit(0).cast("bigint")).otherwise(F.pmod(F.get(sig, F.lit(i)), F.lit(15)) + 1)
+    return functools.reduce(Column.bitwiseOR, (F.shiftleft(four(i), 4 * i) for i in range(BINS)))
 
 
 def alike(x: Column, y: Column) -> Column:
@@ -72,10 +80,23 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs of lines with 100 * |A and B| >= percent * |A or B| on their whole shingle sets."""
-    x, y = texts.select(F.col("lid").alias("a"), F.col("sh").alias("x")), texts.select(F.col("lid").alias("b"), F.col("sh").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(x, "a").join(y, "b").where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-    return met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    x, y = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    met = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    both = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
+    return met.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _texts(d: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lid, line, n) of the lines in pairs, n being the number of different shingles."""
+    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    places = stored(classes.select("first.lid", "first.dkey", "first.pos").join(wanted, "lid", "left_semi").select("lid", "dkey", "pos"), "places")
+    # a map of fixed size keeps the text of all other lines out of the shuffle
+    slot = lambda: F.pmod(F.xxhash64("dkey", "pos"), F.lit(MAP_BITS))
+    member = places.select(slot().alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
+    some = _lines(d, "text").withColumn("s", slot()).withColumn("word", (F.col("s") / 64).cast("int")).join(F.broadcast(member), "word")
+    some = some.where(F.expr("shiftright(bits, cast(pmod(s, 64) AS int)) & 1 = 1")).select("dkey", "pos", "line")
+    found = some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"])
+    return stored(found.select("lid", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "line-texts")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -85,10 +106,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no lines and stay. Null texts have no lines. Rows equal in id and text count as one.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("dkey"), F.col(text_col).alias("text"))
-    sig = signature(shingles(F.col("line")))
-    lines = stored(
-        _lines(d, "text").select("doc_id", "dkey", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), sig.alias("sig"))
-        .select("doc_id", "dkey", "pos", "h1", "h2", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "lines")
+    lines = _lines(d, "text").select("doc_id", "dkey", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), marked(shingles(F.col("line"))).alias("marked"))
+    lines = lines.select("doc_id", "dkey", "pos", "h1", "h2", signature(F.col("marked")).alias("sig"))
+    lines = stored(lines.select("doc_id", "dkey", "pos", "h1", "h2", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "lines")
     first = F.struct("doc_id", "pos", "lid", "dkey", "fp", "keys")
     classes = stored(lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     reps = classes.select("first.lid", "first.fp", "first.keys")
@@ -97,15 +117,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = keyed.join(stored(centres, "centres"), "key").where("lid <> centre").select("lid", "fp", "centre")
     met = met.join(reps.select(F.col("lid").alias("centre"), F.col("fp").alias("centre_fp")), "centre").where(alike(F.col("fp"), F.col("centre_fp")))
     pairs = stored(met.select(F.col("lid").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    places = stored(classes.select("first.lid", "first.dkey", "first.pos").join(wanted, "lid", "left_semi").select("lid", "dkey", "pos"), "places")
-    # a map of fixed size keeps the text of all other lines out of the shuffle
-    slot = lambda: F.pmod(F.xxhash64("dkey", "pos"), F.lit(MAP_BITS))
-    member = places.select(slot().alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
-    some = _lines(d, "text").withColumn("s", slot()).withColumn("word", (F.col("s") / 64).cast("int")).join(F.broadcast(member), "word")
-    some = some.where(F.expr("shiftright(bits, cast(pmod(s, 64) AS int)) & 1 = 1")).select("dkey", "pos", "line")
-    texts = stored(some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", shingles(F.col("line")).alias("sh")), "shingles")
-    roots = stored(components(_near(pairs, texts, percent)), "roots")
+    roots = stored(components(_near(pairs, _texts(d, classes, pairs), percent)), "roots")
     best = classes.select(F.col("first.lid").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "h1", "h2").join(roots, "node")
     keep = best.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "node")).alias("m")).select(F.col("m.node").alias("node"))
     lost = best.join(keep, "node", "left_anti").select("h1", "h2")  # whole classes that another line stands for

@@ -1,6 +1,7 @@
 """PII, quality rules, line dedup and chat formatting: against SQL or brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -145,3 +146,49 @@ def test_chat(spark):
     assert [p["chosen"][s["start"] : s["end"]] for s in p["chosen_spans"]] == ["good < |end|><|end|>\n"]
     assert [p["rejected"][s["start"] : s["end"]] for s in p["rejected_spans"]] == ["bad<|end|>\n"]
     assert out[2]["rejected"] is None and not out[2]["usable"] and out[2]["chosen"] == "<|unknown|>\nx<|end|>\n" and set(out) == {1, 2}
+
+
+def all_characters(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def brute_near(texts):
+    """The lines, of distinct ones in order, that stay when every pair is compared on all its character shingles."""
+    sets, parent, having = [all_characters(x) for x in texts], list(range(len(texts))), defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, y in enumerate(sets):
+        for i, both in Counter(i for x in y for i in having[x]).items():
+            if 100 * both >= 80 * (len(sets[i]) + len(y) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for x in y:
+            having[x].append(j)
+    return [x for i, x in enumerate(texts) if find(i) == i]
+
+
+def test_lines_are_compared_on_every_character(spark):
+    rng = random.Random(12)
+    long = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    texts = ["https://a.example/x/1", "https://b.example/y/2", cjk, cjk[:8] + cjk[::-1], cjk[:30] + "😀" + cjk[31:], cjk[:20] + cjk[21:] + "x", "field one" + long(50), "field one" + long(50)]
+    texts += ["a\tb\tc\td\te\t" + long(30), "a\tb\tc\td\te\t" + long(30), "ab", "ab c", "sha256:" + long(64), "sha256:" + long(64)]
+    tail = long(90)
+    texts += [f"first {tail}", f"{tail}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["text"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()]
+    want = set(brute_near(texts))
+    assert got == [x if x in want else "" for x in texts] and 1 < len(want) < len(texts)
+
+
+def test_lines_of_the_documents_are_compared_on_every_character(spark, sf, documents):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in documents.collect())
+    is_line, seen = lambda x: x.strip(" \t\n\x0b\f\r") != "", set()
+    stay = set(brute_near(list(dict.fromkeys(x for _, t in rows for x in t.split("\n") if is_line(x)))))
+    want = {i: "\n".join(x for x in t.split("\n") if not is_line(x) or x in stay and not (x in seen or seen.add(x))) for i, t in rows}
+    got = {r["doc_id"]: r["text"] or "" for r in lines.op4_line_dedup(spark, sf).collect()}
+    assert set(got) == set(want) and sum(got[i] != want[i] for i in want) <= 1  # high recall, not certainty
