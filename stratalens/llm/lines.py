@@ -4,7 +4,8 @@ A line's shingles are the SHINGLE characters that begin at each of its positions
 shingle. They are hashed once; the hashes' top bits deal them to bins, and the minimum of each bin is the signature
 (one-permutation hashing). Neighbouring bins give a band key; four bits of every minimum make a fingerprint of 64 bits. Equal lines are one class first. Classes that share a band
 key with fingerprints alike enough are compared with the key's centre on their exact shingle sets; links become
-components by union-find, and one line of each component stays.
+components by union-find. Where a key still joins different components, its members are compared with each other, by
+blocks. One line of each component stays.
 
 Two lines of similarity 0.8 share no band key with probability 0.36 ** BANDS, about 0.6 percent; a fingerprint of such
 lines agrees in under two fifths of its bins about once in ten thousand.
@@ -25,6 +26,8 @@ BINS = 1 << BIN_BITS
 EDGES = [(i - BINS // 2) << (64 - BIN_BITS) for i in range(BINS)] + [(1 << 63) - 1]
 #: Bits of the membership map that spares lines without a candidate the shuffle of their text: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
+#: Members of a key in a block of the second pass.
+BLOCK = 1024
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -99,6 +102,25 @@ def _texts(d: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(found.select("lid", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "line-texts")
 
 
+def _apart(reps: DataFrame, centres: DataFrame, star: DataFrame) -> DataFrame:
+    """(a, b): lines that share a key, have fingerprints alike enough and are not of one component yet.
+
+    Two members of different components are never both of the key's largest one, so only the others go against all.
+    Members are dealt to blocks, so that a crowded key is many tasks.
+    """
+    rooted = reps.join(star, F.col("lid") == F.col("node"), "left").select("lid", "fp", F.coalesce("root", "lid").alias("root"), F.explode("keys").alias("key"))
+    members = stored(rooted.join(centres.where("n > 2").select("key", "centre"), "key"), "members")
+    open_ = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"))
+    open_ = open_.where("main.m < n").select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(open_, "key").where("lid <> centre").withColumn("other", F.col("root") != F.col("main"))  # all have met the centre
+    x = dealt.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lid").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("fp_a"))
+    y = dealt.select("key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), F.col("lid").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), "other")
+    once = ~F.col("other") | (F.col("a") < F.col("b"))
+    # a merge join: it tests the pairs of a block as they meet, so none but those alike are rows
+    found = x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("root_a") != F.col("root_b")) & once & alike(F.col("fp_a"), F.col("fp_b")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(dkey, pos) of every line to drop; dkey is row_key(id, text).
 
@@ -113,11 +135,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     reps = classes.select("first.lid", "first.fp", "first.keys")
     keyed = reps.select("lid", "fp", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("lid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
-    met = keyed.join(stored(centres, "centres"), "key").where("lid <> centre").select("lid", "fp", "centre")
-    met = met.join(reps.select(F.col("lid").alias("centre"), F.col("fp").alias("centre_fp")), "centre").where(alike(F.col("fp"), F.col("centre_fp")))
+    centres = keyed.groupBy("key").agg(F.min(F.struct("lid", "fp")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = stored(centres.select("key", F.col("c.lid").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
+    met = keyed.join(centres, "key").where((F.col("lid") != F.col("centre")) & alike(F.col("fp"), F.col("centre_fp")))
     pairs = stored(met.select(F.col("lid").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    roots = stored(components(_near(pairs, _texts(d, classes, pairs), percent)), "roots")
+    star = stored(components(_near(pairs, _texts(d, classes, pairs), percent)), "stars")
+    more = stored(_apart(reps, centres, star), "more-pairs")
+    links = _near(more, _texts(d, classes, more), percent).union(star.select("node", "root"))
+    roots = stored(components(links), "roots")
     best = classes.select(F.col("first.lid").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "h1", "h2").join(roots, "node")
     keep = best.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "node")).alias("m")).select(F.col("m.node").alias("node"))
     lost = best.join(keep, "node", "left_anti").select("h1", "h2")  # whole classes that another line stands for

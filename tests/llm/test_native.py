@@ -192,3 +192,24 @@ def test_lines_of_the_documents_are_compared_on_every_character(spark, sf, docum
     want = {i: "\n".join(x for x in t.split("\n") if not is_line(x) or x in stay and not (x in seen or seen.add(x))) for i, t in rows}
     got = {r["doc_id"]: r["text"] or "" for r in lines.op4_line_dedup(spark, sf).collect()}
     assert set(got) == set(want) and sum(got[i] != want[i] for i in want) <= 1  # high recall, not certainty
+
+
+def test_lines_that_share_only_keys_of_a_third(spark, monkeypatch):
+    """Families in which many lines are too far from the earliest of their keys: the second pass has to find their links."""
+    rng, letters = random.Random(13), "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for f in range(3):
+        family = ["".join(rng.choices(letters, k=150))]
+        for _ in range(120):
+            t = rng.choice(family)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(t))
+                t = t[:i] + rng.choice(letters) + t[i + 1 :]
+            family.append(t)
+        texts += family[:1] + rng.sample(family[1:], 80)
+    texts = list(dict.fromkeys(texts))
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["text"] for r in lines.dedup_lines(docs).collect()} - {""}
+    want = set(brute_near(texts))
+    assert want <= got and len(got - want) <= 1 and len(want) < len(texts) - 50
