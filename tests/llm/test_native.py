@@ -213,3 +213,11 @@ def test_lines_that_share_only_keys_of_a_third(spark, monkeypatch):
     got = {r["text"] for r in lines.dedup_lines(docs).collect()} - {""}
     want = set(brute_near(texts))
     assert want <= got and len(got - want) <= 1 and len(want) < len(texts) - 50
+
+
+def test_short_lines_meet(spark):
+    """Lines of five shingles and of four of them: similarity 0.8, and most bins are empty."""
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, f"{t}\n{t[:11]}") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sum(len(r["text"]) != 12 for r in lines.dedup_lines(docs).collect()) <= 2
