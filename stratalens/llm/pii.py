@@ -20,6 +20,28 @@ PATTERNS = {
     "iban": r"[A-Z][A-Z][0-9][0-9](?:[\x20]?[A-Z0-9]){11,30}",
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+#: Length of an IBAN by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """IBANs that stand alone, of the length of their country, so that a word after one is no part of it.
+
+    Other country codes have the plain pattern, which stops before an IBAN of a known country.
+    """
+    known = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    sized = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[\\x20]?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+    other = f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?:[\\x20](?!(?:{known})[0-9]{{2}}))?[A-Z0-9]){{11,30}}"
+    return f"(?<![A-Za-z0-9])(?=[A-Z][A-Z][0-9][0-9])(?:{sized}|{other})"
+
+
+#: What proposes spans in place of PATTERNS.
+FOUND_BY = {"iban": _iban()}
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What a confirmed candidate of a kind scores before its context is read; a kind without a checksum starts low.
 BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.4}
@@ -74,7 +96,7 @@ NEEDS = {"email": "@", "phone": "+"}
 
 def _candidates(text: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches with positions in code points: an array of (start, end, m, before, after)."""
-    pattern = PATTERNS[kind]
+    pattern = FOUND_BY.get(kind, PATTERNS[kind])
     matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string,after:string>>")
 

@@ -45,6 +45,14 @@ def test_pii_added_kinds_and_context(spark):
     assert got == ["iban:5:27", "", "national_id:10:21", "", ""]
 
 
+def test_pii_iban_before_other_words(spark):
+    iban, british = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"Pay to {iban} Please note", f"Pay {iban} 2 days", f"{british} OK", f"{iban} {british}", f"AB12 {iban}", f"{iban}0", f"X{iban}", "NO9386011117947 A", "FR1420041010050500013M02606 AND"]
+    got = spans(spark, *texts)
+    assert got == ["iban:7:29", "iban:4:26", "iban:0:27", "iban:0:22,iban:23:50", "iban:5:27", "", "", "iban:0:15", "iban:0:27"]
+    assert pii.redact(spark.createDataFrame([(texts[0],)], "text string")).first()["text"] == "Pay to <iban> Please note"
+
+
 def test_pii_is_linear_in_long_runs(spark):
     assert spans(spark, "a" * 200_000, "1" * 200_000, "+1" + " " * 200_000, "a." * 100_000) == ["", "", "", ""]
 
