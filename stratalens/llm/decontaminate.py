@@ -23,6 +23,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 8))
 #: An alignment is a leak if some stretch of it has so many words and agrees on so large a part of them; an item
 #: shorter than that must lie in the document as a whole.
 MIN_WORDS, MIN_SAME = 13, 0.8
+#: From so many words on, the masks alone find every leak of an item as a whole.
+SHORT = 11
 #: Up to so many hashes of the test items go to every task; beyond it, hits are found by a shuffled join.
 BROADCAST_SEEDS = 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -59,9 +61,13 @@ def seeds(w: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
     return h
 
 
-def short_seed(w: np.ndarray) -> np.ndarray:
-    """Items shorter than the longest span are also looked up as a whole run of their first words."""
-    return seeds(w, tuple(range(min(len(w), 3))), 100 + min(len(w), 3)) if len(w) else np.zeros(0, np.uint64)
+def short_seeds(w: np.ndarray) -> tuple[int, np.ndarray]:
+    """Short items are also looked up by every run of three words: with a fifth of the words substituted, one is left.
+
+    Only of five words the middle one may leave runs of two. Items of one or two words are a run.
+    """
+    n = 2 if len(w) == 5 else min(len(w), 3)
+    return 100 + n, seeds(w, tuple(range(n)), 100 + n)
 
 
 def best_stretch(same: np.ndarray, least: int, part: float) -> tuple[int, int, int]:
@@ -107,8 +113,8 @@ def _masks():
 
 def _item_seeds(w: np.ndarray) -> list[tuple[int, np.ndarray]]:
     out = [(k, seeds(w, m, k)) for k, m in enumerate(MASKS)]
-    if len(w) <= max(m[-1] for m in MASKS):
-        out.append((100 + min(len(w), 3), short_seed(w)))
+    if 0 < len(w) < SHORT:
+        out.append(short_seeds(w))
     return out
 
 

@@ -1,6 +1,7 @@
 """Decontamination, near-dedup, packing, token files, archives and scores against brute force, and on odd rows."""
 
 import io
+import itertools
 import math
 import random
 import re
@@ -166,6 +167,20 @@ def test_leaks_equal_brute_force_both_ways(spark):
     assert kept == {i for i, _ in docs} - {x[0] for x in small}
 
 
+def test_short_items_are_found_whatever_is_substituted(spark):
+    items = [(n, [f"i{n}w{j}" for j in range(n)]) for n in range(1, 13)]
+    docs = []
+    for n, w in items:
+        for k in range(n // 5 + 1):
+            for gone in itertools.combinations(range(n), k):
+                docs.append((len(docs) * 100 + n, " ".join(["before", *("other" if j in gone else x for j, x in enumerate(w)), "after"])))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, broadcast_seeds=most).collect()}
+        assert got == {(i, i % 100) for i, _ in docs}
+
+
 def test_longest_stretch_equals_brute_force():
     rng = random.Random(7)
     for _ in range(300):
