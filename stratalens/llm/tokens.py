@@ -3,7 +3,7 @@
 Byte-level BPE never merges across pre-tokens, so the ids of a text are the ids of its pre-tokens in order. Most
 pre-tokens repeat: each distinct one goes through the library's model once and comes from a bounded table afterwards.
 Texts are split here, many at a time in NumPy, only if the classes of all their characters are certain and no apostrophe
-could begin a contraction; any other text goes through the library whole.
+could begin a contraction; any other text, and one that holds an added token, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -60,7 +60,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path or default_path())
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: The library finds added tokens before it splits a text.
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.unsure = re.compile("|".join([_UNSURE.pattern, *map(re.escape, added)]))
         self.letters, self.tokenize = _byte_letters(), self.lib.model.tokenize
         self.classes, self.up, self.down = _classes(), _powers(_ODD, 2 * CHARS), _powers(pow(_ODD, -1, 1 << 64), 2 * CHARS)
         self._forget()
@@ -181,7 +183,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _UNSURE.search(text):
+            if self.unsure.search(text):
                 out[i] = np.frombuffer(self._whole([text])[0], "<u4")
                 continue
             if held and chars + len(text) > CHARS:

@@ -31,6 +31,17 @@ def test_encoder_equals_library():
         assert ids.tolist() == np.frombuffer(encoder._whole([t or ""])[0], "<u4").tolist()
 
 
+def test_added_tokens_as_by_the_library_itself():
+    from tokenizers import Tokenizer
+
+    from stratalens.llm import tokens
+
+    lib = Tokenizer.from_file(tokens.default_path())
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "x <|endoftext|>\n<|endoftext|> y", "<|endoftext> z", "plain words"]
+    assert [x.tolist() for x in Encoder().encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Encoder().encode(texts[:1])[0].tolist() == [64, 50256, 275]
+
+
 def test_packing(spark, sf, encoded):
     pieces, by, seq = packing.op7_packing(spark, sf).collect(), defaultdict(list), defaultdict(list)
     for r in pieces:
