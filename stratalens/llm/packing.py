@@ -1,8 +1,10 @@
 """Packing by minimum bin slack: a bitset subset-sum picks the multiset of remaining lengths that fills a sequence best.
 
-One pass without a shuffle: every task packs the documents of its own partition, window by window, so memory is bounded
-by a window and nothing grows with the corpus. Documents are cut only where a full sequence ends and, at the end of a
-partition, to fill sequences with what no subset filled exactly; its last tokens go to sequences of powers of two.
+One pass without a shuffle: every task packs the documents of its own partition, window by window. A window first gives
+the sequences that some multiset fills exactly. What is left waits for the next window as long as it is at most half of
+one; beyond that the multiset closest to the capacity is taken, and the slack is filled by the head of a document that
+is cut there. So memory is bounded by a window, whatever the lengths, and only a partition's last sequences, whose sizes
+are powers of two, are shorter than the capacity.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from stratalens.llm.tokens import Encoder
 
 CAPACITY, END_ID = 2048, 1
-#: A window closes at so many remainders; what it cannot fill exactly goes on to the next one.
-WINDOW = 20_000
+#: A window closes at so many remainders or ids of them; at most half of it waits for the next one.
+WINDOW, WINDOW_IDS = 20_000, 1 << 23
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -50,8 +52,8 @@ def best_fill(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int
     return best, used
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
-    """Fill sequences exactly while it goes: [(lengths of a sequence, how often)], and the counts left over.
+def exact(counts: dict[int, int], capacity: int) -> tuple[list, dict[int, int]]:
+    """Fill sequences exactly while it goes: [(lengths of a sequence, how often, None)], and the counts left over.
 
     Each choice holds the largest length left, so large remainders never pile up, and is repeated while counts last.
     """
@@ -63,29 +65,67 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], i
         if not counts.get(first):
             heapq.heappop(heap)
             continue
-        counts[first] -= 1
-        total, used = best_fill(counts, capacity - first)
-        counts[first] += 1
-        if total != capacity - first:  # no subset fills it: leave this length for the next window
+        total, used = _with(first, counts, capacity)
+        if total != capacity:
             over[first] = counts.pop(first)
             continue
-        used[first] = used.get(first, 0) + 1
         times = min(counts[x] // n for x, n in used.items())
         for x, n in used.items():
             counts[x] -= n * times
-        done.append(([x for x, n in sorted(used.items(), reverse=True) for _ in range(n)], times))
+        done.append((_listed(used), times, None))
     return done, over
 
 
+def closest(counts: dict[int, int], capacity: int, enough) -> tuple[list, dict[int, int]]:
+    """Fill sequences as closely as it goes until enough(pieces, ids left): [(lengths, how often, (length cut, slack))].
+
+    A piece that is in no closest fill is longer than the slack, so its head fills it; the tail is a piece again. What
+    one sequence holds as a whole is left over.
+    """
+    counts, done = {x: n for x, n in counts.items() if n}, []
+    pieces, ids = sum(counts.values()), sum(x * n for x, n in counts.items())
+    while counts and not enough(pieces, ids):
+        total, used = _with(max(counts), counts, capacity)
+        rest, slack = [x for x in counts if counts[x] > used.get(x, 0)], capacity - total
+        if slack and not rest:
+            break
+        need, cut = dict(used), None
+        if slack:
+            cut = (max(rest), slack)
+            need[cut[0]] = need.get(cut[0], 0) + 1
+        times = min(counts[x] // n for x, n in need.items())
+        for x, n in need.items():
+            counts[x] -= n * times
+        if cut:
+            counts[cut[0] - slack] = counts.get(cut[0] - slack, 0) + times
+        counts = {x: n for x, n in counts.items() if n}
+        done.append((_listed(used), times, cut))
+        pieces, ids = pieces - sum(used.values()) * times, ids - capacity * times
+    return done, counts
+
+
+def _with(first: int, counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
+    """best_fill() of a sequence that holds the length first."""
+    counts[first] -= 1
+    total, used = best_fill(counts, capacity - first)
+    counts[first] += 1
+    used[first] = used.get(first, 0) + 1
+    return first + total, used
+
+
+def _listed(used: dict[int, int]) -> list[int]:
+    return [x for x, n in sorted(used.items(), reverse=True) for _ in range(n)]
+
+
 def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
 class Packer:
-    def __init__(self, first_sequence: int, capacity: int = CAPACITY, window: int = WINDOW):
-        self.capacity, self.window, self.sequence = capacity, window, first_sequence
+    def __init__(self, first_sequence: int, capacity: int = CAPACITY, window: int = WINDOW, window_ids: int = WINDOW_IDS):
+        self.capacity, self.window, self.window_ids, self.sequence = capacity, window, window_ids, first_sequence
         self.held: dict[int, list] = {}  # length -> [(doc, start, ids, tokens of the document)]
-        self.n_held, self.rows = 0, []
+        self.n_held, self.ids_held, self.rows = 0, 0, []
 
     def _place(self, doc, start, ids, total, offset):
         self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.sequence, offset))
@@ -98,31 +138,35 @@ class Packer:
                 self._place(doc, start, piece, total, 0)
                 self.sequence += 1
             else:
-                self.held.setdefault(len(piece), []).append((doc, start, piece, total))
+                self.held.setdefault(len(piece), []).append((doc, start, piece.copy(), total))
                 self.n_held += 1
-        if self.n_held >= self.window:
-            self.fill()
-            self.window = max(self.window, 2 * self.n_held)  # never pack the same leftovers again and again
-
-    def fill(self) -> None:
-        done, _ = plan({x: len(v) for x, v in self.held.items()}, self.capacity)
-        for lengths, times in done:
+                self.ids_held += len(piece)
+        if self.n_held >= self.window or self.ids_held >= self.window_ids:
+            self.fill(lambda pieces, ids: 2 * pieces <= self.window and 2 * ids <= self.window_ids)
+
+    def fill(self, enough) -> None:
+        done, left = exact({x: len(v) for x, v in self.held.items()}, self.capacity)
+        done += closest(left, self.capacity, enough)[0]
+        for lengths, times, cut in done:
             for _ in range(times):
                 offset = 0
                 for x in lengths:
                     self._place(*self.held[x].pop(), offset)
                     offset += x
+                if cut:
+                    doc, start, ids, total = self.held[cut[0]].pop()
+                    self._place(doc, start, ids[: cut[1]], total, offset)
+                    self.held.setdefault(cut[0] - cut[1], []).append((doc, start + cut[1], ids[cut[1] :], total))
                 self.sequence += 1
-                self.n_held -= len(lengths)
         self.held = {x: v for x, v in self.held.items() if v}
+        self.n_held = sum(map(len, self.held.values()))
+        self.ids_held = sum(x * len(v) for x, v in self.held.items())
 
     def finish(self) -> None:
-        """Fill what is exact; cut the rest to full sequences and its last tokens to powers of two."""
-        self.fill()
-        rest = [p for x in sorted(self.held, reverse=True) for p in self.held[x]]
-        left = sum(len(p[2]) for p in rest)
-        sizes = [self.capacity] * (left // self.capacity) + powers(left % self.capacity)
-        self.held, self.n_held, at, offset = {}, 0, 0, 0
+        """Fill all; the last ids, fewer than a sequence holds, are cut to powers of two."""
+        self.fill(lambda pieces, ids: False)
+        rest, sizes = [p for x in sorted(self.held, reverse=True) for p in self.held[x]], powers(self.ids_held)
+        self.held, self.n_held, self.ids_held, at, offset = {}, 0, 0, 0, 0
         for doc, start, ids, total in rest:
             while len(ids):
                 take = min(len(ids), sizes[at] - offset)
