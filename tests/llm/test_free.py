@@ -1,5 +1,6 @@
 """Decontamination, near-dedup, packing, token files, archives and scores against brute force, and on odd rows."""
 
+import hashlib
 import io
 import itertools
 import math
@@ -69,6 +70,35 @@ def test_best_fill_equals_brute_force():
         assert best == max(s for s in sums if s <= cap) == sum(k * n for k, n in used.items()) and all(n <= counts[k] for k, n in used.items())
 
 
+@pytest.mark.parametrize("lengths", [[1500] * 3000, [2047, 1] * 500 + [3] * 5, [700, 701, 702] * 900, [1]])
+def test_packing_is_bounded_and_without_padding(lengths):
+    """Whatever the lengths: a window holds no more, all ids come out in order, and only the last sequences are short."""
+    p, most, rows = packing.Packer(0, window=400, window_ids=1 << 18), 0, []
+    for i, n in enumerate(lengths):
+        p.add(i, np.full(n, i, "<u4"))
+        most = max(most, p.n_held)
+        rows += p.take().to_pylist()
+    p.finish()
+    rows += p.take().to_pylist()
+    seq, docs = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        docs[r["doc_id"]].append((r["start"], r["length"]))
+        assert r["ids_crc32"] == zlib.crc32(np.full(r["length"], r["doc_id"], "<u4").tobytes())
+    for parts, total in [*((v, None) for v in seq.values()), *((docs[i], n) for i, n in enumerate(lengths))]:
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == total if total else at & (at - 1) == 0
+    assert most < 400 and sum(n < 2048 for n in (sum(n for _, n in v) for v in seq.values())) <= 11
+
+
+def test_closest_fill_decides_where_none_is_exact():
+    done, left = packing.closest({1500: 1, 500: 1, 300: 1, 200: 1}, 2048, lambda pieces, ids: False)
+    assert done == [([1500, 500], 1, (300, 48))] and left == {252: 1, 200: 1}
+
+
 def test_packing_odd_rows(odd, empty):
     rows = packing.pack(odd).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 1)
@@ -126,7 +156,7 @@ def test_warc(spark):
     got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
     assert got == [(0, 1000, "revisit", 2), (1, 1000, "revisit", 2), (2, 1000, "response", None), (3, 0, "response", None), (3, 0, "response", None), (4, 600000, "revisit", 5), (5, 600000, "response", None), (6, 999, "response", None), (7, 999, "response", None)]
     chunks = spark.read.parquet(path)
-    assert chunks.selectExpr("max(octet_length(data)) AS n").first()["n"] <= warc.CHUNK_BYTES
+    assert chunks.selectExpr("max(octet_length(data)) AS n").first()["n"] <= warc.CHUNK_BYTES + 500
     out = io.BytesIO()
     for a in sorted(r["archive"] for r in chunks.select("archive").distinct().collect()):
         warc.export(spark, path, a, out)
@@ -137,14 +167,31 @@ def test_warc(spark):
         assert head.startswith(b"WARC/1.1\r\n") and rest[n : n + 4] == b"\r\n\r\n"
         raw, records = rest[n + 4 :], records + 1
     assert records == len(rows)
-    damaged = chunks.selectExpr(*[c for c in chunks.columns if c != "data"], "CASE WHEN chunk = 1 THEN reverse(data) ELSE data END AS data")
     bad = f"{path}-bad"
-    damaged.selectExpr("archive", "record", "chunk", "last", "sha1_so_far", "CASE WHEN chunk = 1 THEN cast('?' AS binary) ELSE data END AS data").write.parquet(bad)
+    chunks.selectExpr("archive", "record", "chunk", "last", "sha1_so_far", "CASE WHEN chunk = 1 THEN cast('?' AS binary) ELSE data END AS data").write.parquet(bad)
     with pytest.raises(Exception, match="damaged"):
         warc.read_archives(spark, bad).collect()
     assert warc.read_archives(spark, warc.write_archives(spark.createDataFrame([], "page_id bigint, html string"))).count() == 0
 
 
+def test_warc_large_group_and_odd_columns(spark):
+    """A third of the pages share a payload; payloads of whole and broken chunks; columns named like the operator's own."""
+    n, chunk = 300, warc.CHUNK_BYTES
+    rows = [(i, f"http://h/{i}", "same " * 300 if i % 3 == 0 else f"page {i} " * (i % 7 * 40), i) for i in range(n)]
+    rows += [(n + k, "u", "z" * size, 0) for k, size in enumerate((chunk - 1, chunk, chunk + 1, 3 * chunk))] + [(n, "u", "z" * (chunk - 1), 0)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, salt bigint").selectExpr("*", "1 AS body", "2 AS payload_sha1", "'x' AS chunk", "4 AS first_id", "5 AS pieces", "6 AS data")
+    path = warc.write_archives(df.repartition(7))
+    got = sorted(map(tuple, warc.read_archives(spark, path).collect()), key=str)
+    first = {}
+    for i, _, t, _ in rows:
+        first[t] = max(i, first.get(t, -1))
+    refers = lambda i, t: first[t] if len(t) >= 1000 and first[t] != i else None
+    want = [(i, len(t), hashlib.sha1(t.encode()).hexdigest(), "response" if refers(i, t) is None else "revisit", refers(i, t)) for i, _, t, _ in rows]
+    assert got == sorted(want, key=str)
+    assert spark.read.parquet(path).selectExpr("max(octet_length(data)) AS n").first()["n"] <= chunk + 500
+    assert spark.read.parquet(path).where("chunk > 0").groupBy("archive", "record").count().count() == 2
+
+
 def brute_leaks(docs, items):
     w = decontaminate.Words()
     items, out = [(i, w(t)) for i, t in items], []
@@ -277,33 +324,76 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def brute_scores(rows, lam):
+def brute_model(docs):
+    one, two = Counter(), Counter()
+    for w in docs:
+        one.update(w)
+        two.update(zip(["\n", *w], w))
+    return one, two, sum(one.values()), len(one)
+
+
+def parts(model, u, x):
+    one, two, n, v = model
+    return two[u, x] / one[u] if one[u] else 0, one[x] / max(n, 1), 1 / (v + 1)
+
+
+def brute_weights(docs):
+    """Expectation-maximisation, a token at a time, over the documents of fold 1 in the counts of folds 2 to 9."""
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
+    model = brute_model([w for i, w in docs if fold(i) not in (0, 1)])
+    pairs = Counter((u, x) for i, w in docs if fold(i) == 1 for u, x in zip(["\n", *w], w))
+    lam, last = [[0.0, 0.7, 0.3] if b == 0 else [0.4, 0.4, 0.2] for b in range(64)], None
+    for _ in range(40):
+        uses, likelihood = [[0.0] * 3 for _ in lam], 0.0
+        for (u, x), times in pairs.items():
+            b = min(model[0][u].bit_length(), 63)
+            p = [a * q for a, q in zip(lam[b], parts(model, u, x))]
+            likelihood += times * math.log(sum(p))
+            for k in range(3):
+                uses[b][k] += times * p[k] / sum(p)
+        for b, x in enumerate(uses):
+            if sum(x):
+                new = [y / sum(x) for y in x]
+                new[2] = max(new[2], 1e-6)
+                lam[b] = [y / sum(new) for y in new]
+        if last is not None and abs(likelihood - last) <= 1e-7 * abs(last):
+            break
+        last = likelihood
+    return lam
+
+
+def brute_scores(rows):
     split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + ["\n"]
-    docs, one, two = [(i, split(t)) for i, t in rows], Counter(), Counter()
-    for i, w in docs:
-        if not lm.is_held_out(i):
-            one.update(w)
-            two.update(zip(["\n", *w], w))
-    n, v, out = sum(one.values()), len(one), {}
+    docs, out = [(i, split(t)) for i, t in rows], {}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    lam, model = brute_weights(docs), brute_model([w for i, w in docs if not held(i)])
+    one, _, n, v = model
     for i, w in docs:
         base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        score = 0.0
-        for u, x in zip(["\n", *w], w):
-            a = lam[min(one[u].bit_length(), 63)]
-            score += math.log10(a[0] * (two[u, x] / one[u] if one[u] else 0) + a[1] * one[x] / max(n, 1) + a[2] / (v + 1))
-        out[i] = (lm.is_held_out(i), len(w), sum(one[x] > 0 for x in w), n, base, score)
-    return out
+        score = sum(math.log10(sum(a * q for a, q in zip(lam[min(one[u].bit_length(), 63)], parts(model, u, x)))) for u, x in zip(["\n", *w], w))
+        out[i] = (held(i), len(w), sum(one[x] > 0 for x in w), n, base, score)
+    return out, lam
 
 
 def test_scores_equal_brute_force(spark, documents, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 20_000)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 30_000)
     df, lam = lm.score(documents)
-    want = brute_scores([(r["doc_id"], r["text"]) for r in documents.collect()], lam)
+    want, brute_lam = brute_scores([(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert lam.tolist() == pytest.approx(np.array(brute_lam), rel=1e-5)
     got = {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
     assert set(got) == set(want)
     for i, g in got.items():
-        assert g[:4] == want[i][:4] and g[4:] == pytest.approx(want[i][4:], rel=1e-9)
+        assert g[:4] == want[i][:4] and g[4:] == pytest.approx(want[i][4:], rel=1e-6)
+
+
+def test_held_out_texts_teach_nothing(spark, documents):
+    """Other texts in the held-out documents change no other score and no weight."""
+    other = documents.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 10 = 0 THEN 'quite other words' ELSE text END AS text")
+    (a, lam), (b, same) = lm.score(documents), lm.score(other)
+    assert lam.tolist() == same.tolist()
+    rows = lambda df: sorted(map(tuple, df.where("not held_out").collect()))
+    assert rows(a) == rows(b)
 
 
 def test_weights_raise_the_held_out_likelihood():
