@@ -55,34 +55,66 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Slots of the map that sifted() broadcasts: 4 MB, whatever the input.
+MAP_BITS = 1 << 25
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those whose `on` columns are not in wanted: a map of fixed size spares them the next shuffle."""
+    slot, word, bits = (fresh(rows, c) for c in ("__slot", "__word", "__bits"))
+    place = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS)).alias(slot)
+    marks = wanted.select(place).groupBy((F.col(slot) / 64).cast("int").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({slot}, 64) AS int)))").alias(bits))
+    some = rows.select("*", place).withColumn(word, (F.col(slot) / 64).cast("int")).join(F.broadcast(marks), word)
+    return some.where(F.expr(f"shiftright({bits}, cast(pmod({slot}, 64) AS int)) & 1 = 1")).select(*rows.columns)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table in the shared folder that nothing needs any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) when the links (a, b) come on top of the components of roots (node, root), a root being its own node."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    over = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    top = stored(components(stored(over, "more-links")), "tops").withColumnRenamed("root", "top")
+    below = roots.join(top.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(below.union(top.join(roots, "node", "left_anti").select("node", "top")), "merged")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Distributed union-find over (a, b) edges: returns (node, root), root the smallest node reachable.
 
     Each round hooks every node to the smallest label around it and then halves the label chains, so a chain of
-    length n takes about log n rounds; every round is checkpointed in the shared folder. Only a count comes to the
-    driver. Grouping is by min(), which combines before the shuffle, so a node with very many edges is no hot task.
+    length n takes about log n rounds; every round is a table in the shared folder, and the one before it goes. Only a count
+    comes to the driver. Grouping is by min(), which combines before the shuffle, so a node with very many edges is no hot task.
     Null ends and self-loops are ignored; an empty input gives an empty result.
     """
-    shared_dir(edges.sparkSession)
+    spark, base = edges.sparkSession, f"{shared_dir(edges.sparkSession).rstrip('/')}/components-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, n: int) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{base}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{n}")
+
     both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    e = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    mark, last = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()), None
+    e = first = kept(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
+    mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    last = mark(e)
     # large-star / small-star on edges (a > b): converges to stars pointing at the component's minimum
-    for _ in range(most_rounds):
+    for n in range(1, most_rounds + 1):
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sym.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.greatest("a", "b")).alias("x"), "a", "b", "m")
-        new = (
-            small.select(F.col("a").alias("a"), F.col("m").alias("b"))
-            .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .where("a <> b").distinct().checkpoint()
-        )
+        small = large.join(low2, "a")
+        new = kept(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), n)
+        if n > 1:
+            removed(spark, f"{base}/{n - 1}")
         e, before, last = new, last, mark(new)
         if before == last:
             break
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

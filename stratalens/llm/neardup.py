@@ -11,7 +11,8 @@
    wanted similarity gives: one linked pair in a million) are out.
 4. Every candidate is confirmed on the full shingle sets of both texts; links become components by union-find.
 
-A pair with Jaccard 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, about 2e-7 at the defaults.
+A pair with Jaccard 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, about 1e-4 at the defaults; a pair
+with Jaccard 0.3 shares one with about 3e-3, so that unrelated documents seldom meet.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import components, fresh, stored
+from stratalens.llm.common import components, fresh, merged, sifted, stored
 
-BANDS, ROWS = 50, 6
+BANDS, ROWS = 50, 8
 ENTRIES = 500_000
 #: Documents in a block of the second step, and shingles in a slice of its matrix.
 BLOCK, SLICE = 256, 1 << 14
@@ -125,24 +126,34 @@ def sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """(a, b): the pairs (doc_id, centre) whose full shingle sets have 100 * intersection >= percent * union.
+
+    A centre's documents are dealt to slots of about BLOCK; its text goes once to each slot, before theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, []
         for b in batches:
-            left, right, last, of_last = [], [], None, None
-            for a, c, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if y != last:
-                    last, of_last = y, shingle_set(y, k)
-                s = shingle_set(x, k)
-                both = len(s & of_last)
-                if both and 100 * both >= percent * (len(s) + len(of_last) - both):
-                    left.append(a)
-                    right.append(c)
+            left, right = [], []
+            for at in range(0, b.num_rows, 64):  # texts may be very long
+                for c, slot, a, text in zip(*(x.to_pylist() for x in b.slice(at, 64).columns)):
+                    if (c, slot) != last:
+                        last, centre = (c, slot), []
+                    s = shingle_set(text, k)
+                    if a is None:
+                        centre.append(s)
+                    elif any((both := len(s & t)) and 100 * both >= percent * (len(s) + len(t) - both) for t in centre):
+                        left.append(a)
+                        right.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    t = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    u = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(t, "a").join(u, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    sizes = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots"))
+    member = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int").alias("slot"), "doc_id", F.lit(True).alias("member"))
+    centre = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("centre").alias("doc_id"), F.lit(False).alias("member"))
+    wanted = stored(member.union(centre), "wanted")
+    filled = wanted.join(sifted(texts, wanted, ["doc_id"]), "doc_id").select("centre", "slot", F.when(F.col("member"), F.col("doc_id")).alias("doc_id"), "text")
+    dealt = filled.repartition("centre", "slot").sortWithinPartitions("centre", "slot", F.asc_nulls_first("doc_id"))
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,8 +169,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where("doc_id is not null and n_shingles > 0")
     # classes of equal sets: min() combines before the shuffle, so a third of all rows in one class is no hot task
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    many = classes.where("n > 1").select("digest", "rep")
-    equal = named.select("digest", "doc_id").join(many, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
     members = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -168,22 +177,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = shared.join(company, "doc_id")
     centres = stored(ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("neg"), "n_shingles")).alias("m")).select("key", (-F.col("m.neg")).alias("centre"), F.col("m.n_shingles").alias("centre_n")), "centres")
     fits = 100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n")
-    star = shared.join(centres, "key").where((F.col("doc_id") != F.col("centre")) & fits).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    star = shared.join(centres, "key").where((F.col("doc_id") != F.col("centre")) & fits).select("doc_id", "centre").distinct()
     texts = d.where("doc_id is not null")
     first = stored(_alike(star, reps.select("doc_id", "sketch"), percent), "star")
-    links = stored(_confirmed(first, texts.join(_ends(first), "doc_id", "left_semi"), k, percent), "links")
-    roots = stored(components(links), "roots")
+    links = stored(_confirmed(first, texts, k, percent), "links")
+    of = stored(signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep"), "class-of")
+    roots = stored(components(links.union(_rows_of_one_id(of))), "roots")
     labelled = shared.select("key", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key")
     open_ = stored(labelled.join(split, "key").join(centres.select("key", "centre"), "key"), "open")
-    more = _tiled(open_, texts, k, percent)
-    all_links = stored(equal.union(links).union(more), "all-links")
-    final = components(all_links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    final = merged(roots, stored(_tiled(open_, texts, k, percent), "more"))
+    out = of.join(final.select(F.col("node").alias("rep"), F.col("root").alias("component_id")), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _rows_of_one_id(of: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of different texts under one id."""
+    several = of.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc_id", "b")
+    return of.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def _tiled(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between different components among the documents of open keys.
 
@@ -208,7 +222,7 @@ def _tiled(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     right = near(placed.select("doc_id", "root", "cluster", F.col("step").alias("sm"), "h", "step")).join(own.where("no > 0").select("cluster", "step", "no"), ["cluster", "step"])
     right = right.select("doc_id", "root", F.lit(False).alias("out"), "cluster", F.col("step").alias("so"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ho"), F.col("sm").alias("step"), "h")
     dealt = left.unionByName(right).withColumn("tile", F.xxhash64("cluster", "so", "ho", "step", "h")).select("tile", "doc_id", "root", "out")
-    filled = dealt.join(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").select("tile", "doc_id", "root", "out", "text")
+    filled = dealt.join(sifted(texts, rows, ["doc_id"]), "doc_id").select("tile", "doc_id", "root", "out", "text")
 
     def run(tile: pa.Table) -> pa.Table:
         signer, out = Signer(k), np.array(tile.column("out").to_pylist())
@@ -255,16 +269,12 @@ def similar(a: str | None, b: str | None, k: int, percent: int) -> bool:
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches agree often enough for the wanted similarity."""
+    """The pairs (doc_id, centre) whose sketches agree often enough for the wanted similarity."""
     q = (1 + percent / 100) / 2
     least = math.floor(SKETCH_BITS * q - 5 * math.sqrt(SKETCH_BITS * q * (1 - q)))
-    x, y = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    x, y = sketches.select("doc_id", F.col("sketch").alias("x")), sketches.select(F.col("doc_id").alias("centre"), F.col("sketch").alias("y"))
     differ = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").where(SKETCH_BITS - differ >= least).select("a", "b").distinct()
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return pairs.join(x, "doc_id").join(y, "centre").where(SKETCH_BITS - differ >= least).select("doc_id", "centre")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

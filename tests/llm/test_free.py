@@ -142,6 +142,14 @@ def test_token_files(spark, sf, encoded):
     assert sorted(map(tuple, huffman.op8_token_files(spark, sf).collect())) == want
 
 
+def test_token_files_of_many_shards(spark, sf, documents, monkeypatch):
+    """Starts run on over shards and over stretches of shards."""
+    want = sorted(map(tuple, huffman.op8_token_files(spark, sf).collect()))
+    monkeypatch.setattr(huffman, "SHARD_TOKENS", 1 << 13)
+    monkeypatch.setattr(huffman, "STRETCH", 4)
+    assert sorted(map(tuple, huffman.op8_token_files(spark, sf).collect())) == want
+
+
 def test_token_files_odd_rows(spark, odd, empty):
     got = huffman.read_tokens(spark, huffman.write_tokens(odd), with_ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 3, 4, 5, 6, 7] and got[3]["n_tokens"] == 1
@@ -279,6 +287,14 @@ def test_near_duplicates_equal_brute_force(spark, sf, documents):
     assert sorted(map(tuple, neardup.op3_near_duplicates(spark, sf).collect())) == brute_components(docs, 2, 80)
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """Id 5 has two texts, so what equals either of them is of one component; a blank row of an id is its own."""
+    one, two = "a b c d e f", "x y z w v u"
+    rows = [(3, one), (2, one), (5, one), (5, two), (7, two), (9, two), (9, ""), (8, "other words here"), (None, one)]
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect()), key=str)
+    assert got == sorted([(2, 5, 2, True), (3, 5, 2, False), (5, 5, 2, False), (5, 5, 2, False), (7, 5, 2, False), (8, 2, 8, True), (9, 5, 2, False), (9, 0, 9, True), (None, 5, None, True)], key=str)
+
+
 def test_near_copies_of_copies(spark):
     """A family in which many members are too far from its centre: the second step has to find their links."""
     rng, words = random.Random(8), [f"w{i}" for i in range(3000)]
