@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import shared_dir, stored
@@ -27,6 +27,8 @@ from stratalens.llm.tokens import Encoder
 END_ID = 0
 MAGIC, HEAD = b"SLHB", "<4sIQQII"  # magic, checkpoint distance, first token, tokens, documents, payload bytes
 CHECKPOINT, BLOCK_TOKENS, SHARD_TOKENS = 64, 1 << 17, 1 << 22
+#: Shards whose sizes are summed together.
+STRETCH = 1024
 NULL_ID = -(1 << 63)
 
 
@@ -209,9 +211,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     bits = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, np.uint8)
     bits[book["id"].to_numpy(np.int64)] = book["bits"].to_numpy(np.uint8)
     shards = spark.read.parquet(f"{path}/shards")
-    base, at = {}, 0
-    for r in shards.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # one row a shard
-        base[r["shard"]], at = at, at + r["n"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = decode_table(bits)
@@ -220,10 +219,21 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 first, names, lengths, ids = decode_block(data.as_py(), book)
                 begins = np.cumsum(lengths) - lengths
                 cut = [ids[s : s + k].astype("<u4", copy=False).tobytes() for s, k in zip(begins.tolist(), lengths.tolist())]
-                cols = [pa.array(names, pa.int64(), mask=names == NULL_ID), pa.array(begins + first + base[shard]), pa.array(lengths), pa.array(map(zlib.crc32, cut), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(cut, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                cols = [pa.array([shard] * len(names), pa.int64()), pa.array(names, pa.int64(), mask=names == NULL_ID), pa.array(begins + first), pa.array(lengths), pa.array(map(zlib.crc32, cut), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(cut, pa.binary())] * with_ids, ["shard", "doc_id", "within", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return shards.select("shard", "data").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    rows = shards.select("shard", "data").mapInArrow(decode, "shard bigint, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    start = (F.col("base") + F.col("within")).alias("start")
+    return rows.join(_bases(shards), "shard").select("doc_id", start, "n_tokens", "ids_crc32", *(["ids"] * with_ids))
+
+
+def _bases(shards: DataFrame) -> DataFrame:
+    """(shard, base): the ids of all shards before it, summed in stretches, so that no task sees one row of every shard."""
+    n = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("stretch", F.floor(F.col("shard") / STRETCH))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = n.groupBy("stretch").agg(F.sum("n").alias("n")).select("stretch", before(Window.orderBy("stretch")).alias("first"))
+    inside = n.select("shard", "stretch", before(Window.partitionBy("stretch").orderBy("shard")).alias("inside"))
+    return inside.join(stretches, "stretch").select("shard", (F.col("first") + F.col("inside")).alias("base"))
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
