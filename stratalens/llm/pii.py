@@ -54,6 +54,8 @@ CONTEXT_WORDS = {
     "national_id": "ssn|social security|national id|tax id|identity",
 }
 CONTEXT_BONUS, THRESHOLD, CONTEXT_CHARS = 0.3, 0.6, 48
+#: Matches that are placed one after the other; longer lists are placed run by run, as each step copies its list.
+RUN = 512
 
 
 def _digits(m: Column) -> Column:
@@ -94,6 +96,11 @@ VALID: dict[str, Callable[[Column], Column]] = {
 NEEDS = {"email": "@", "phone": "+"}
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _candidates(text: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches with positions in code points: an array of (start, end, m, before, after)."""
     pattern = FOUND_BY.get(kind, PATTERNS[kind])
@@ -110,19 +117,34 @@ def _candidates(text: Column, kind: str) -> Column:
     zipped = F.arrays_zip(F.slice(parts, 1, n), matches, F.slice(parts, 2, n))
     zipped = F.transform(zipped, lambda z: F.struct(z["0"].alias("0"), z["1"].alias("1"), z["2"].alias("2")))
     start = F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out"))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    run = lambda rows: F.aggregate(rows, start, step)
+
+    def in_runs(rows):
+        """Every run of RUN matches for itself, then moved to where the runs before it end."""
+        ends = lambda runs: F.aggregate(runs, F.array(F.lit(0).cast("bigint")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["pos"])))
+        at = lambda x, by: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
+        moved = lambda runs, by: F.flatten(F.transform(runs, lambda r, i: F.transform(r["out"], lambda x: at(x, F.get(by, i)))))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda i: run(F.slice(rows, i * RUN + 1, RUN)))
+        return _let(runs, lambda x: _let(ends(x), lambda by: moved(x, by)))
+
+    found = F.when(n <= RUN, run(zipped)["out"]).otherwise(_let(zipped, in_runs))
     test = text.contains(NEEDS[kind]) & text.rlike(pattern) if kind in NEEDS else text.rlike(pattern)
     return F.when(test, found).otherwise(none)
 
 
 def _spans(text: Column, kind: str) -> Column:
-    near = lambda x: F.lower(F.substr(text, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, (F.least(x["s"], F.lit(CONTEXT_CHARS)) + x["e"] - x["s"] + CONTEXT_CHARS).cast("int")))
-    scored = lambda x: F.lit(BASE_SCORE[kind]) + F.when(near(x).rlike(f"(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+    # in UTF-32 a position is found at once, in a text only by reading all before it
+    part = lambda w, s, n: F.decode(F.substr(w, (4 * s + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
+    near = lambda w, x: F.lower(part(w, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)), F.least(x["s"], F.lit(CONTEXT_CHARS)) + x["e"] - x["s"] + CONTEXT_CHARS))
+    scored = lambda w, x: F.lit(BASE_SCORE[kind]) + F.when(near(w, x).rlike(f"(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
     found = F.filter(_candidates(text, kind), lambda x: VALID[kind](x["m"]))
     if kind not in BASE_KINDS:  # these must stand alone: no letter or digit at either side
         found = F.filter(found, lambda x: ~F.coalesce(x["before"].rlike("[A-Za-z0-9]"), F.lit(False)) & ~F.coalesce(x["after"].rlike("[A-Za-z0-9]"), F.lit(False)))
     rank = list(PATTERNS).index(kind)
-    out = F.transform(found, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("end"), F.round(F.least(scored(x), F.lit(1.0)), 2).alias("score")))
+    span = lambda w, x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("end"), F.round(F.least(scored(w, x), F.lit(1.0)), 2).alias("score"))
+    wide = F.encode(text, "UTF-32")
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
+    out = _let(found, lambda f: F.when(F.size(f) > 0, _let(wide, lambda w: F.transform(f, lambda x: span(w, x)))).otherwise(none))
     return out if kind in BASE_KINDS else F.filter(out, lambda x: x["score"] >= THRESHOLD)
 
 
@@ -138,8 +160,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Base kinds (email, ip, card with Luhn, phone) keep every confirmed match. The method adds IBANs that pass mod-97
     and national ids that nearby context words lift over the threshold. A null text counts as empty; a null id and
     repeated rows are passed through row by row; other columns are not read, so their names cannot clash. An empty
-    table gives an empty result. Time and memory are linear in the text and, for a text's own matches, quadratic only
-    in copying references.
+    table gives an empty result. Time and memory are linear in the text and its matches.
     """
     return docs.select(F.col(id_col), pii_spans(F.col(text_col)).alias("spans"))
 
