@@ -52,16 +52,17 @@ def gated_callers(symbols: DataFrame, edges: DataFrame, stems: DataFrame, standa
     """(path, name, from_path): files that plausibly call each callable symbol of other files.
 
     A call of the leaf name counts if the caller imports the defining module or the class; a call of the whole dotted
-    name counts by itself. stems is (path, stem). Imports are opened to one key per segment, so the gate is an equi
-    semi-join, not a pattern match per pair.
+    name counts by itself. stems is (path, stem). Imports are opened to one key per segment, so the gate is an equi-join, not
+    a pattern match per pair.
     """
     own = symbols.where(F.col("kind").isin(*CALLABLE)).select("path", "name").join(stems, "path")
     own = own.withColumns({"l": leaf(F.col("name")), "c": F.when(dotted(F.col("name")), head(F.col("name")))})
     module = F.when(~F.col("stem").isin(*standard_stems) if standard_stems else F.lit(True), F.concat(F.lit("m:"), F.lower("stem")))
     gates = F.array_compact(F.array(module, F.concat(F.lit("c:"), F.lower("c"))))
     calls = edges.where("kind = 'call'").select("from_path", "to_name").distinct()
-    met = own.join(calls, F.col("l") == F.col("to_name")).where("from_path <> path").select("path", "name", "from_path", F.explode(gates).alias("gate"))
-    by_leaf = met.join(import_keys(edges), ["from_path", "gate"], "left_semi").select("path", "name", "from_path")
+    # what a file's imports open comes first: a leaf name that very many files define and call never pairs them up
+    opened = own.select("path", "name", "l", F.explode(gates).alias("gate")).join(import_keys(edges), "gate").where("from_path <> path").select("path", "name", "l", "from_path")
+    by_leaf = opened.join(calls.withColumnRenamed("to_name", "l"), ["from_path", "l"], "left_semi").select("path", "name", "from_path")
     whole = own.where("c is not null").join(calls, F.col("name") == F.col("to_name")).where("from_path <> path").select("path", "name", "from_path")
     return by_leaf.union(whole).distinct()
 
@@ -127,10 +128,16 @@ def targets_or_null(resolved: DataFrame) -> DataFrame:
 
 
 def shared_names(names: DataFrame, tokens_of, least: int = 2) -> DataFrame:
-    """(a, b, shared) of names that share `least` tokens or more. Tokens that no other name has meet nobody."""
-    t = names.select("name", F.explode(tokens_of(F.col("name"))).alias("t")).distinct()
-    met = t.alias("x").join(t.alias("y"), F.col("x.t") == F.col("y.t")).where(F.col("x.name") < F.col("y.name"))
-    return met.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """(a, b, shared) of names that share `least` tokens or more.
+
+    Names meet under two tokens at once where two are wanted, so a token that very many names have pairs none of them.
+    """
+    t = names.select("name", F.array_sort(F.array_distinct(tokens_of(F.col("name")))).alias("tokens")).distinct()
+    keys = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.array(x, y)))) if least > 1 else F.transform("tokens", lambda x: F.array(x))
+    k = t.select("name", "tokens", F.explode(keys).alias("k"))
+    met = k.alias("x").join(k.alias("y"), F.col("x.k") == F.col("y.k")).where(F.col("x.name") < F.col("y.name"))
+    pairs = met.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.size(F.array_intersect("x.tokens", "y.tokens")).cast("bigint").alias("shared")).distinct()
+    return pairs.where(F.col("shared") >= least)
 
 
 def stats(files: DataFrame, symbols: DataFrame, resolved: DataFrame, sidecars: DataFrame) -> DataFrame:

@@ -27,17 +27,26 @@ def next_end(line: Column, following: Column, total: Column) -> Column:
 
 
 def unique_names(sections: DataFrame) -> DataFrame:
-    """sections with name: the label, or 'label #k' with the least k that no earlier section of the document took."""
-    rows = sections.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "label", "line"))).alias("h"))
+    """(path, idx, name): the label, or 'label #k' with the least k that no earlier section of the document took.
+
+    k is the ordinal among equal labels. Only where a label itself reads like a numbered one of its document are the
+    sections named one after the other.
+    """
+    base = F.when(F.col("label") == "", F.concat(F.lit("section-"), F.col("line").cast("string"))).otherwise(F.col("label"))
+    rows = sections.select("path", "idx", base.alias("base"))
+    k = F.row_number().over(Window.partitionBy("path", "base").orderBy("idx"))
+    numbered = rows.select("path", "idx", "base", k.alias("k"), F.regexp_extract("base", "^(.*) #[0-9]+$", 1).alias("stem"))
+    alike = numbered.where("stem <> ''").select("path", F.col("stem").alias("base")).join(numbered.where("k > 1").select("path", "base"), ["path", "base"], "left_semi").select("path").distinct()
+    plain = numbered.join(alike, "path", "left_anti").select("path", "idx", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" #"), F.col("k").cast("string"))).alias("name"))
 
     def add(acc, x):
-        base = F.when(x["label"] == "", F.concat(F.lit("section-"), x["line"].cast("string"))).otherwise(x["label"])
-        tries = F.concat(F.array(base), F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(base, F.lit(" #"), k.cast("string"))))
+        tries = F.concat(F.array(x), F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(x, F.lit(" #"), k.cast("string"))))
         return F.concat(acc, F.array(F.get(F.filter(tries, lambda t: ~F.array_contains(acc, t)), F.lit(0))))
 
-    names = F.aggregate("h", F.array().cast("array<string>"), add)
-    named = rows.select("path", F.posexplode(F.arrays_zip(F.col("h"), names.alias("names"))).alias("i", "z"))
-    return named.select("path", F.col("z.h.idx").alias("idx"), F.col("z.names").alias("name"))
+    held = numbered.join(alike, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "base"))).alias("h"))
+    names = F.aggregate(F.transform("h", lambda x: x["base"]), F.array().cast("array<string>"), add)
+    named = held.select("path", F.posexplode(F.arrays_zip(F.col("h"), names.alias("names"))).alias("i", "z"))
+    return plain.union(named.select("path", F.col("z.h.idx").alias("idx"), F.col("z.names").alias("name")))
 
 
 def toc(files: DataFrame, sections: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tool names and keys that hosts use.
+# Tool names and keys that hosts use, and the shapes of their search and listing results.
 READ_TOOLS = ("read", "read_file", "view", "cat")
 PATH_KEYS = ("file_path", "path", "target_file", "filename")
 VIRTUAL_PREFIX = "index_"
@@ -14,6 +14,7 @@ LIST_TOOLS = r"(?i)^(?:ls|find|glob|list_dir|list_files)$"
 SUMMARY_MARK, BOUNDED_MARK = "⟪summary:", "⟪bounded:"
 MIN_CHARS = 1500
 HIT = r"(?U)^((?:[A-Za-z]:[\\/])?[^\n:]+):(\d+):(.*)$"
+HIT_BEGIN = r"(?U)^(?:[A-Za-z]:[\\/])?[^\n:]+:\d+:"
 CONTEXT = r"(?U)^((?:[A-Za-z]:[\\/])?[^\n:]+)-\d+-"
 PATHISH, LS_LONG = r"(?U)^[\w ./\\-]+$", r"^(?:[-dlbcps][-rwxsStT]{9}\s|total\s)"
 
@@ -63,26 +64,40 @@ def _lines(text: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), value being computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
     """A search result in fewer lines: hits by file, capped; null where most lines are no hits.
 
-    Context lines count as structure only if their file has a hit. Everything is arrays of one row: no shuffle.
+    Context lines count as structure only if their file has a hit. Everything is arrays of one row, each computed once:
+    no shuffle, and one match of the pattern a line.
     """
-    lines = _lines(text)
-    hit = lambda x: x.rlike(HIT)
-    hits = F.transform(F.filter(lines, hit), lambda x: F.struct(F.regexp_extract(x, HIT, 1).alias("p"), F.regexp_extract(x, HIT, 2).alias("n"), F.trim(F.regexp_extract(x, HIT, 3)).alias("r")))
-    files = F.array_distinct(F.transform(hits, lambda h: h["p"]))
-    quiet = F.filter(lines, lambda x: ~hit(x) & ((F.trim(x) == "") | (x.rlike(CONTEXT) & F.array_contains(files, F.regexp_extract(x, CONTEXT, 1)))))
-    parsed, other = F.size(hits), F.size(lines) - F.size(hits) - F.size(quiet)
-    of = lambda p: F.filter(hits, lambda h: h["p"] == p)
-    row = lambda h: F.concat(F.lit("  "), h["n"], F.lit(": "), h["r"])
-    more = lambda p: F.when(F.size(of(p)) > per_file, F.array(F.concat(F.lit("  (+"), (F.size(of(p)) - per_file).cast("string"), F.lit(" more matches in this file)")))).otherwise(F.array().cast("array<string>"))
-    shown = F.flatten(F.transform(F.slice(files, 1, max_files), lambda p: F.concat(F.array(p), F.transform(F.slice(of(p), 1, per_file), row), more(p))))
-    rest = F.slice(files, max_files + 1, F.greatest(F.size(files) - max_files, F.lit(0)))
-    dropped = F.size(F.filter(hits, lambda h: F.array_contains(rest, h["p"])))
-    tail = F.when(F.size(files) > max_files, F.array(F.concat(F.lit("(+"), (F.size(files) - max_files).cast("string"), F.lit(" more files, "), dropped.cast("string"), F.lit(" matches)")))).otherwise(F.array().cast("array<string>"))
-    first = F.concat(F.lit("grep: "), parsed.cast("string"), F.lit(" matches in "), F.size(files).cast("string"), F.lit(" files"))
-    return F.when((parsed == 0) | (parsed < F.floor(F.greatest(other, F.lit(1)) / 2)), None).otherwise(F.array_join(F.concat(F.array(first), shown, tail), "\n"))
+    none = F.array().cast("array<string>")
+
+    def parsed(x):  # path and number are taken from the matched beginning, which is short
+        begin = F.regexp_extract(x, HIT_BEGIN, 0)
+        number = F.regexp_extract(begin, r"(?U):(\d+):$", 1)
+        path = F.left(begin, F.length(begin) - F.length(number) - 2)
+        return F.struct(x.alias("x"), path.alias("p"), number.alias("n"), F.trim(F.substr(x, F.length(begin) + 1)).alias("r"))
+
+    def shown(rows, hits, files):
+        quiet = F.filter(rows, lambda h: (h["n"] == "") & ((F.trim(h["x"]) == "") | (h["x"].rlike(CONTEXT) & F.array_contains(files, F.regexp_extract(h["x"], CONTEXT, 1)))))
+        n, other = F.size(hits), F.size(rows) - F.size(hits) - F.size(quiet)
+        row = lambda h: F.concat(F.lit("  "), h["n"], F.lit(": "), h["r"])
+        more = lambda of: F.when(F.size(of) > per_file, F.array(F.concat(F.lit("  (+"), (F.size(of) - per_file).cast("string"), F.lit(" more matches in this file)")))).otherwise(none)
+        part = lambda p: _let(F.filter(hits, lambda h: h["p"] == p), lambda of: F.concat(F.array(p), F.transform(F.slice(of, 1, per_file), row), more(of)))
+        body = F.flatten(F.transform(F.slice(files, 1, max_files), part))
+        rest = F.slice(files, max_files + 1, F.greatest(F.size(files) - max_files, F.lit(0)))
+        dropped = F.size(F.filter(hits, lambda h: F.array_contains(rest, h["p"])))
+        tail = F.when(F.size(files) > max_files, F.array(F.concat(F.lit("(+"), (F.size(files) - max_files).cast("string"), F.lit(" more files, "), dropped.cast("string"), F.lit(" matches)")))).otherwise(none)
+        first = F.concat(F.lit("grep: "), n.cast("string"), F.lit(" matches in "), F.size(files).cast("string"), F.lit(" files"))
+        return F.when((n == 0) | (n < F.floor(F.greatest(other, F.lit(1)) / 2)), None).otherwise(F.array_join(F.concat(F.array(first), body, tail), "\n"))
+
+    of_rows = lambda rows: _let(F.filter(rows, lambda h: h["n"] != ""), lambda hits: _let(F.array_distinct(F.transform(hits, lambda h: h["p"])), lambda files: shown(rows, hits, files)))
+    return _let(F.transform(_lines(text), parsed), of_rows)
 
 
 def listing_paths(text: Column) -> Column:

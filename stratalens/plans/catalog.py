@@ -15,6 +15,7 @@ from stratalens.operators import render as R
 from stratalens.operators import search as X
 from stratalens.operators import transcript as C
 from stratalens.plans import model
+from stratalens.sources import repo as S
 from stratalens.streaming import watch as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +69,7 @@ def callees(spark, sf):
 @query("""WITH MODEL, a AS (SELECT DISTINCT name FROM symbols), c AS (SELECT DISTINCT to_name, from_path, from_name FROM edges WHERE kind = 'call'),
 x AS (SELECT name AS symbol, from_path, from_name FROM a JOIN c ON name = to_name)
 SELECT *, 'exact' AS how FROM x UNION ALL
-SELECT name, from_path, from_name, 'leaf' FROM a JOIN c ON split_part(name, '.', 2) = to_name WHERE name LIKE '%.%' AND (name, from_path, from_name) NOT IN (SELECT symbol, from_path, from_name FROM x)""")
+SELECT name, from_path, from_name, 'leaf' FROM a JOIN c ON split_part(name, '.', 2) = to_name WHERE name LIKE '%.%' AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = a.name AND x.from_path = c.from_path AND x.from_name = c.from_name)""")
 def callers_exact_and_leaf(spark, sf):
     return G.callers(model.edges(spark, sf), model.symbols(spark, sf))
 
@@ -140,11 +141,11 @@ def ambiguous_targets(spark, sf):
 
 
 @query("""WITH t AS (SELECT DISTINCT name, unnest(list_filter(string_split_regex(split_part(name, '.', 1), '[_\\-.]+'), lambda x: length(x) >= 3)) AS t
-  FROM (SELECT DISTINCT replace(p_type, ' ', '_') || '.py' AS name FROM part))
+  FROM (SELECT replace(p_name, ' ', '_') || '-' || p_brand || '_' || p_type || '.py' AS name FROM part))
 SELECT x.name AS a, y.name AS b, count(*) AS shared FROM t x JOIN t y ON x.t = y.t AND x.name < y.name GROUP BY 1, 2 HAVING count(*) >= 2""")
 def name_overlap(spark, sf):
-    p = model.read(spark, sf, "part").select(F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("name")).distinct()
-    return G.shared_names(p, T.name_tokens)
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), "p_brand", F.lit("_"), "p_type", F.lit(".py"))
+    return G.shared_names(model.read(spark, sf, "part").select(name.alias("name")), T.name_tokens)
 
 
 @query("""WITH MODEL SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM resolved) AS edges,
@@ -161,9 +162,30 @@ def files_scan(spark, sf):
     return model.files(spark, sf).drop("text")
 
 
-@query("SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1")
-def skipped_by_lang(spark, sf):
-    return model.read(spark, sf, "documents").where("lang <> 'en'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+#: Documents as paths of a source tree: every suffix of a kind comes up.
+SUFFIXES = (".py", ".go", ".md", ".rs", ".mjs", ".hh", ".key.md", ".clj", ".docx", ".sh", "")
+TREE = f"tree AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '/r/node_modules/' ELSE '/r/' || source || '/' END || 'f' || doc_id || {list(SUFFIXES)}[(doc_id % {len(SUFFIXES)} + 1)::INT] AS path FROM documents)"
+
+
+def _tree(spark, sf):
+    folder = F.when(F.col("doc_id") % 13 == 0, F.lit("/r/node_modules/")).otherwise(F.concat(F.lit("/r/"), "source", F.lit("/")))
+    return model.read(spark, sf, "documents").select("doc_id", F.concat(folder, F.lit("f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))).alias("path"))
+
+
+@query(f"""WITH {TREE} SELECT regexp_extract(path, '(\\.[^./]+)$', 1) AS suffix, count(*) AS count FROM tree
+WHERE regexp_extract(path, '(\\.[^./]+)$', 1) IN ('.go', '.rs', '.rb', '.php', '.swift', '.kt', '.scala', '.cs', '.lua', '.dart', '.ex', '.exs', '.clj', '.m') AND NOT contains(path, '/node_modules/') GROUP BY 1""")
+def skipped_suffixes(spark, sf):
+    return S.unsupported(_tree(spark, sf))
+
+
+@query(f"""WITH {TREE}, x AS (SELECT doc_id, path, regexp_extract(path, '(\\.[^./]+)$', 1) AS s FROM tree)
+SELECT doc_id, path, CASE s WHEN '.py' THEN 'python' WHEN '.mjs' THEN 'javascript' WHEN '.hh' THEN 'cpp' WHEN '.md' THEN 'markdown' WHEN '.docx' THEN 'docx' WHEN '' THEN '?' ELSE s[2:] END AS lang,
+  s IN ('.py', '.md', '.mjs', '.hh', '.docx') AND NOT ends_with(path, '.key.md') AS is_source, ends_with(path, '.key.md') AS is_sidecar, contains(path, '/node_modules/') AS is_excluded,
+  (s IN ('.py', '.md', '.mjs', '.hh', '.docx') OR ends_with(path, '.key.md')) AND NOT contains(path, '/node_modules/') AS is_watched FROM x""")
+def classify_paths(spark, sf):
+    t, path = _tree(spark, sf), F.col("path")
+    is_sidecar = path.endswith(S.SIDECAR)
+    return t.select("doc_id", "path", S.language(path).alias("lang"), (S.parsed_suffix(path) & ~is_sidecar).alias("is_source"), is_sidecar.alias("is_sidecar"), T.excluded(path, S.EXCLUDES).alias("is_excluded"), S.relevant(path).alias("is_watched"))
 
 
 @query("WITH MODEL SELECT path, line_count FROM files WHERE line_count > 5 AND path NOT IN (SELECT doc_id FROM labels) ORDER BY line_count DESC, path LIMIT 30")
@@ -207,9 +229,18 @@ def lost_symbols(spark, sf):
 # --- text ---
 
 
-@query(f"WITH MODEL SELECT path, regexp_replace(text, '{T.OPAQUE}', '<redacted>', 'g') AS text FROM files")
+#: The secret shapes as DuckDB reads them: no look-ahead, and letters of all languages spelled out. No text here has a redacted assignment.
+SHAPES_SQL = "|".join(T.SECRET_SHAPES).replace("(?!<[a-z]+>)", "").replace("[\\w.+-]", "[\\p{L}\\p{N}_.+-]").replace("'", "''")
+#: A secret of every shape, one for each document in turn.
+SECRETS = ("sk-abcdefghijklmnop1234", "rk_live_12345678", "ghp_0123456789abcdefghij", "AKIAABCDEFGHIJKL", "xoxb-12345678-abc", "https://user:pw@host/x", "password = hunter22", "Bearer abcdefgh.12", "eyJabcdefg.hijklmn.o", "-----BEGIN RSA PRIVATE KEY-----", "api-key: abcd1234", "nothing here")
+
+
+@query(f"""WITH s AS (SELECT doc_id AS path, coalesce(text, '') || ' ' || {list(SECRETS)}[(doc_id % {len(SECRETS)} + 1)::INT] || ' end' AS text FROM documents)
+SELECT path, regexp_replace(regexp_replace(text, '{SHAPES_SQL}', '<redacted>', 'g'), '{T.OPAQUE}', '<redacted>', 'g') AS text, regexp_replace(text, '{SHAPES_SQL}', '<redacted>', 'g') AS prose FROM s""")
 def redact(spark, sf):
-    return model.files(spark, sf).select("path", T.redact(F.col("text")).alias("text"))
+    secret = F.element_at(F.array(*map(F.lit, SECRETS)), (F.col("doc_id") % len(SECRETS) + 1).cast("int"))
+    d = model.read(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), secret, F.lit(" end")).alias("text"))
+    return d.select("path", T.redact(F.col("text")).alias("text"), T.redact(F.col("text"), opaque=False).alias("prose"))
 
 
 @query("WITH MODEL SELECT path, line_count, CASE WHEN text = '' THEN 0 WHEN right(text, 1) = chr(10) THEN line_count - 1 ELSE line_count END AS prose_lines FROM files")
@@ -279,7 +310,8 @@ def sections_span(spark, sf):
     return R.section_ends(_heads(spark, sf), F.col("n"))
 
 
-@query()
+@query(f"""WITH {HEADS}, b AS (SELECT path, idx, CASE WHEN label = '' THEN 'section-' || line ELSE label END AS base FROM hd), k AS (SELECT *, row_number() OVER (PARTITION BY path, base ORDER BY idx) AS k FROM b)
+SELECT path, idx, CASE WHEN k = 1 THEN base ELSE base || ' #' || k END AS name FROM k""")
 def section_names(spark, sf):
     return R.unique_names(_heads(spark, sf))
 

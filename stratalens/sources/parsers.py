@@ -1,7 +1,7 @@
 """Parsers: bytes of one file to (path, lang, sha256, line_count, symbols, edges).
 
 PARSERS maps suffixes to functions text -> (line count, symbols, edges) and may be added to. Python and Markdown are
-complete. The brace languages are read by patterns, best effort: declarations at any depth, calls, imports.
+complete; DOCX needs the standard library only. The brace languages are read by patterns, best effort: declarations at any depth, calls, imports.
 String contents never enter a signature.
 """
 
@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
+import os
 import re
+import zipfile
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 from stratalens.functions.text import OPAQUE, SECRET_SHAPES
 
@@ -234,15 +238,94 @@ def braces(text: str):
     return lines, symbols, edges
 
 
-PARSERS: dict[str, Callable] = {".py": python, ".md": markdown, **dict.fromkeys((".js", ".jsx", ".ts", ".tsx", ".java", ".c", ".h", ".cc", ".cpp", ".hpp"), braces)}
-_LANG = {".py": "python", ".md": "markdown", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp"}
+def outline(heads: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """(level, label, line) of a document's outline in line order; of equal lines the order they came in."""
+    return sorted(heads, key=lambda h: h[2])
+
+
+def paged(pages: list[str], heads: list[tuple[int, str, int]]):
+    """A document of pages, its outline given as (level, label, page index): lines run on over the pages."""
+    starts, lines = [], []
+    for text in pages:
+        starts.append(len(lines) + 1)
+        lines += text.splitlines()
+    placed = outline([(level, label, starts[i]) for level, label, i in heads if 0 <= i < len(starts)])
+    return len(lines), sections(placed, len(lines)), []
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_lines(content: bytes) -> tuple[list[str], list[tuple[int, str, int]]]:
+    """(a line for each paragraph, headings) of a DOCX file: the paragraphs of the body whose style is named 'Heading N'."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else ElementTree.Element("none")
+    named = {x.get(f"{_W}styleId"): (x.find(f"{_W}name").get(f"{_W}val") or "") for x in styles.iter(f"{_W}style") if x.find(f"{_W}name") is not None}
+    text_of = {f"{_W}t": lambda x: x.text or "", f"{_W}tab": lambda x: "\t", f"{_W}br": lambda x: " ", f"{_W}cr": lambda x: " "}
+    lines, heads = [], []
+    for p in body.findall(f"{_W}p") if body is not None else []:
+        text = re.sub("[\r\n]", " ", "".join(text_of[x.tag](x) for r in p.iter(f"{_W}r") for x in r if x.tag in text_of))
+        lines.append(text)
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        name = named.get(style.get(f"{_W}val"), "") if style is not None else ""
+        if name.lower().startswith("heading "):  # files store the built-in style in lower case
+            level = name.split()[1] if len(name.split()) > 1 else ""
+            heads.append((int(level) if level.isdigit() else 1, text.strip() or f"section-{len(lines)}", len(lines)))
+    return lines, heads
+
+
+def docx(content: bytes):
+    """Sections of a DOCX file; one that cannot be read has no line."""
+    try:
+        lines, heads = docx_lines(content)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return 0, [], []
+    return len(lines), sections(heads, len(lines)), []
+
+
+def docx_text(content: bytes) -> str:
+    """The text that range reads of a DOCX file see: one line a paragraph, without secrets."""
+    try:
+        return redacted("\n".join(docx_lines(content)[0]), opaque=False)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return ""
+
+
+def function_doc(text: str | None, qualified: str, most: int = 200) -> str | None:
+    """The first line of the docstring of a function or class by its dotted name; null where there is none."""
+    try:
+        node = ast.parse(text or "")
+    except (SyntaxError, ValueError):
+        return None
+    for part in qualified.split("."):
+        node = next((x for x in getattr(node, "body", []) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and x.name == part), None)
+        if node is None:
+            return None
+    first = next((x.strip() for x in (ast.get_docstring(node) or "").splitlines() if x.strip()), "")
+    return redacted(first)[:most] or None
+
+
+#: Labels of suffixes.
+LANGS = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".md": "markdown", ".pdf": "pdf", ".docx": "docx",
+}
+BRACES = ("javascript", "typescript", "java", "c", "cpp")
+PARSERS: dict[str, Callable] = {".py": python, ".md": markdown, **{s: braces for s, lang in LANGS.items() if lang in BRACES}}
+#: Parsers that take the bytes of a file.
+BINARY: dict[str, Callable] = {".docx": docx}
 
 
 def parse(path: str, content: bytes) -> tuple:
     """The row of one file; a suffix without a parser gives the file alone. The longest matching suffix decides."""
-    text = content.decode("utf-8", "replace")
-    ends = max((s for s in PARSERS if path.endswith(s)), key=len, default=None)
-    lines, symbols, edges = PARSERS[ends](text) if ends else (text.count("\n") + 1, [], [])
+    ends = max((s for s in (*PARSERS, *BINARY) if path.endswith(s)), key=len, default=None)
+    if ends in BINARY:
+        lines, symbols, edges = BINARY[ends](content)
+    else:
+        text = content.decode("utf-8", "replace")
+        lines, symbols, edges = PARSERS[ends](text) if ends else (text.count("\n") + 1, [], [])
     symbols = [{"name": n, "kind": k, "line": a, "signature": redacted(s, opaque=k != "section") if s else s, "end_line": e} for n, k, a, s, e in symbols]
     edges = [{"from_name": f, "to_name": redacted(t), "kind": k, "line": a} for f, t, k, a in edges]
-    return path, _LANG.get(ends, "?"), hashlib.sha256(content).hexdigest(), lines, symbols, edges
+    last = os.path.splitext(path)[1]
+    return path, LANGS.get(ends) or LANGS.get(last) or last[1:] or "?", hashlib.sha256(content).hexdigest(), lines, symbols, edges

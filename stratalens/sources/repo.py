@@ -7,38 +7,56 @@ each task opens its own. Where executors share no file system with the driver, g
 from __future__ import annotations
 
 import os
+import subprocess
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.sources.parsers import PARSERS, parse
+from stratalens.functions.text import excluded
+from stratalens.sources.parsers import BINARY, LANGS, PARSERS, function_doc, parse
 
-# Folders that hold no sources of the project, labels of suffixes, and suffixes that are known but not parsed.
+# Folders that hold no sources of the project, and suffixes that are known but not parsed.
 EXCLUDES = ("/__pycache__/", "/.git/", "/.venv/", "/venv/", "/node_modules/", "/.next/", "/dist/", "/build/", "/.ruff_cache/", "/.pytest_cache/", "/.mypy_cache/")
 SKIP_DIRS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".next", ".git", ".ruff_cache", ".pytest_cache", ".mypy_cache", "target")
-LANGS = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".md": "markdown", ".pdf": "pdf", ".docx": "docx"}
-UNPARSED = (".go", ".rs", ".rb", ".php", ".cs", ".swift", ".kt", ".scala", ".sh", ".lua")
+UNPARSED = (".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".cs", ".lua", ".dart", ".ex", ".exs", ".clj", ".m")
 SIDECAR = ".key.md"
 
 PARSED = "path string, lang string, sha256 string, line_count bigint, symbols array<struct<name:string,kind:string,line:bigint,signature:string,end_line:bigint>>, edges array<struct<from_name:string,to_name:string,kind:string,line:bigint>>"
 
 
-def listing(roots: Iterable[str]) -> list[str]:
-    """Canonical paths of all files under the roots, each once, excluded folders left out."""
-    out: dict[str, None] = {}
+def project_root(variable: str | None = None) -> str:
+    """The folder that a variable names, else the top of the git work tree around here, else this folder."""
+    named = os.path.expanduser(os.path.expandvars(os.environ.get(variable or "", "")))
+    if named and os.path.exists(named):
+        return os.path.realpath(named)
+    try:
+        top = subprocess.run(["git", "rev-parse", "--show-toplevel"], capture_output=True, text=True, check=True, timeout=2).stdout.strip()
+        if os.path.exists(top):
+            return os.path.realpath(top)
+    except (OSError, subprocess.SubprocessError):
+        pass
+    return os.path.realpath(os.getcwd())
+
+
+def listing(roots: Iterable[str], excludes: Iterable[str] = EXCLUDES) -> list[str]:
+    """Canonical paths of all files under the roots, each once; a path that contains one of excludes is left out."""
+    out, excludes = {}, tuple(excludes)
     for root in roots:
         for folder, dirs, names in os.walk(root):
-            dirs[:] = sorted(d for d in dirs if f"/{d}/" not in EXCLUDES)
+            dirs[:] = sorted(d for d in dirs if not any(x in f"{folder}/{d}/" for x in excludes))
             for n in sorted(names):
-                out[os.path.realpath(os.path.join(folder, n))] = None
+                if not any(x in f"{folder}/{n}" for x in excludes):
+                    out[os.path.realpath(os.path.join(folder, n))] = None
     return list(out)
 
 
-def index_roots(root: str) -> list[str]:
-    """Visible child folders with at least one file that a parser takes."""
-    takes = tuple(PARSERS)
+def index_roots(root: str, variable: str | None = None) -> list[str]:
+    """The folders that a variable lists, else visible child folders with at least one file that a parser takes."""
+    if named := [x.strip() for x in os.environ.get(variable or "", "").split(":") if x.strip()]:
+        return [x for x in (os.path.join(root, x) for x in named) if os.path.isdir(x)]
+    takes = (*PARSERS, *BINARY)
     found = []
     for d in sorted(os.listdir(root)):
         full = os.path.join(root, d)
@@ -52,9 +70,14 @@ def suffix(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    s = F.lower(suffix(path))
+    """The label of the suffix, else the bare suffix, else ?."""
+    s = suffix(path)
     known = F.create_map(*(x for k, v in LANGS.items() for x in (F.lit(k), F.lit(v))))
-    return F.coalesce(known[s], F.when(s != "", F.substring(s, 2, 20)), F.lit("?"))
+    return F.coalesce(known[s], F.when(s != "", F.substring(s, 2, 1 << 20)), F.lit("?"))
+
+
+def parsed_suffix(path: Column) -> Column:
+    return path.rlike("(?:" + "|".join(k.replace(".", "\\.") for k in (*PARSERS, *BINARY)) + ")$")
 
 
 def paths(spark: SparkSession, roots: Iterable[str], files_per_task: int = 200) -> DataFrame:
@@ -63,8 +86,13 @@ def paths(spark: SparkSession, roots: Iterable[str], files_per_task: int = 200)
     return df.repartition(max(1, -(-len(found) // files_per_task)))
 
 
+def relevant(path: Column) -> Column:
+    """Whether a change of the file matters to the index: a sidecar or a parsed suffix, outside of excluded folders."""
+    return ~excluded(path, EXCLUDES) & (path.endswith(SIDECAR) | parsed_suffix(path))
+
+
 def sources(listed: DataFrame) -> DataFrame:
-    return listed.where(F.lower("path").rlike("(?:" + "|".join(k.replace(".", "\\.") for k in PARSERS) + ")$") & ~F.col("path").endswith(SIDECAR))
+    return listed.where(parsed_suffix(F.col("path")) & ~F.col("path").endswith(SIDECAR))
 
 
 def sidecars(listed: DataFrame) -> DataFrame:
@@ -72,7 +100,9 @@ def sidecars(listed: DataFrame) -> DataFrame:
 
 
 def unsupported(listed: DataFrame) -> DataFrame:
-    return listed.select(suffix(F.col("path")).alias("suffix")).where(F.col("suffix").isin(*UNPARSED)).groupBy("suffix").count().orderBy(F.desc("count"), "suffix")
+    """(suffix, count) of files of known languages that no parser takes, the most frequent first."""
+    s = listed.where(~excluded(F.col("path"), EXCLUDES)).select(suffix(F.col("path")).alias("suffix")).where(F.col("suffix").isin(*UNPARSED))
+    return s.groupBy("suffix").count().orderBy(F.desc("count"), "suffix")
 
 
 def parse_files(listed: DataFrame) -> DataFrame:
@@ -103,6 +133,17 @@ def parse_contents(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInPandas(run, PARSED)
 
 
+def function_docs(asked: DataFrame) -> DataFrame:
+    """(path, name, doc) for (path, name, content): the first line of the named function's docstring, read on demand."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["path", "name"]].assign(doc=[function_doc(t, n or "") for t, n in zip(b["content"], b["name"])])
+
+    kinds = dict(asked.dtypes)
+    return asked.select("path", "name", "content").mapInPandas(run, f"path {kinds['path']}, name string, doc string")
+
+
 def scan_binary(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content")
 
