@@ -36,6 +36,11 @@ READ_CAP = 400
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), value being computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def redact(text: Column, opaque: bool = True) -> Column:
     """Secret-shaped parts become <redacted>; opaque=False spares long blobs, for prose. Null stays null."""
     out = F.regexp_replace(text, "(?U)" + "|".join(SECRET_SHAPES), REDACTED)
@@ -130,6 +135,19 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("bigint")
 
 
+def like(text: Column, pattern: str) -> Column:
+    """SQL's LIKE as an index database has it: ASCII letters match in either case, and nothing escapes a wildcard."""
+    parts = {"%": ".*", "_": "."}
+    return text.rlike("(?is)^" + "".join(parts.get(c) or (c if c.isalnum() or ord(c) > 127 else "\\" + c) for c in pattern) + "$")
+
+
+def approx_tokens(chars: Column) -> Column:
+    """A rough count for display: characters / 4, in thousands from a thousand on."""
+    t = chars / 4
+    whole = lambda x: F.bround(x, 0).cast("bigint").cast("string")
+    return F.when(t >= 1000, F.concat(F.lit("≈ "), whole(t / 1000), F.lit("k tokens"))).otherwise(F.concat(F.lit("≈ "), whole(t), F.lit(" tokens")))
+
+
 def version_tuple(version: Column) -> Column:
     return F.transform(F.split(F.ltrim(version, F.lit("v")), "\\."), lambda x: F.coalesce(F.regexp_extract(x, "^\\d+", 0).try_cast("int"), F.lit(0)))
 

@@ -45,6 +45,11 @@ def summarize(todo: DataFrame, model, text_col: str = "text") -> DataFrame:
     return todo.select("path", "sha256", F.col(text_col).alias("text")).mapInPandas(run, f"path {kinds['path']}, sha256 string, summary string")
 
 
+def within_budget(summaries: DataFrame, limit: int) -> DataFrame:
+    """The first successes in path order; failed calls, which gave no row, cost nothing of the budget."""
+    return summaries.orderBy("path").limit(limit)
+
+
 def missing(files: DataFrame, sidecars: DataFrame, top: int = 30, least: int = 50) -> DataFrame:
     """The longest files without a sidecar."""
     return files.where(F.col("line_count") > least).join(sidecars.select("path").distinct(), "path", "left_anti").select("path", "line_count").orderBy(F.desc("line_count"), "path").limit(top)

@@ -90,3 +90,9 @@ def with_p_value(one_row: DataFrame) -> DataFrame:
 def spotlight(files: DataFrame) -> DataFrame:
     """Totals over all files, and the file with the most characters (the smaller path of equals)."""
     return files.agg(F.sum("n_chars").alias("chars"), F.sum("line_count").alias("lines"), F.max_by("path", F.struct("n_chars", -F.col("path"))).alias("spotlight"), F.max("n_chars").alias("spotlight_chars"))
+
+
+def top_files(files: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(path, line_count, full_tokens, short_tokens, cut) of the files with the most tokens among those longer than the threshold."""
+    large = files.where(F.col("line_count") > threshold).orderBy(F.desc("full_tokens"), "path").limit(most)
+    return large.select("path", "line_count", "full_tokens", "short_tokens", F.round(percent_cut(F.col("full_tokens"), F.col("short_tokens")), 4).alias("cut"))

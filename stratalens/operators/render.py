@@ -22,6 +22,11 @@ def section_ends(heads: DataFrame, total: Column) -> DataFrame:
     return rows.select("path", F.inline(out))
 
 
+def outline(heads: Column) -> Column:
+    """An array of (line, ...) structs in line order."""
+    return F.array_sort(heads)
+
+
 def next_end(line: Column, following: Column, total: Column) -> Column:
     return F.coalesce(F.greatest(line, following - 1), total)
 

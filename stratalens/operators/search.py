@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.functions.text import search_tokens
+from stratalens.functions.text import let, like, search_tokens
 
 _LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|(\^)|([()+*:,])|([^\s"()^+*:,]+))')
 _WORD = re.compile(r"^[\w\x80-\U0010ffff]+$")
@@ -198,20 +198,39 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def snippet(tokens: Column, words: list[str], size: int = 32) -> Column:
-    """The first `size` tokens from the first match on, matches between << and >>; marks with ... what is cut."""
-    hit = F.filter(F.transform(tokens, lambda x, i: F.when(x.isin(*words), i)), lambda i: i.isNotNull())
-    start = F.greatest(F.coalesce(F.get(hit, F.lit(0)), F.lit(0)) - size // 4, F.lit(0))
-    marked = F.transform(F.slice(tokens, start + 1, F.lit(size)), lambda x: F.when(x.isin(*words), F.concat(F.lit("<<"), x, F.lit(">>"))).otherwise(x))
-    return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(start + size < F.size(tokens), "...").otherwise(""))
+    """The best `size` tokens, matches between << and >>; marks with ... what is cut.
 
+    Windows begin at a match. A different word counts 1000, a repeated one 1; the first of the best is taken and moved
+    so that its matches lie in the middle.
+    """
+    def chosen(hits):
+        def scored(h):
+            inside = F.filter(hits, lambda x: (x["i"] >= h["i"]) & (x["i"] < h["i"] + size))
+            kinds = F.size(F.array_distinct(F.transform(inside, lambda x: x["w"])))
+            return F.struct((999 * kinds + F.size(inside)).alias("score"), (-h["i"]).alias("neg"), F.array_max(F.transform(inside, lambda x: x["i"])).alias("last"))
 
-def search(indexed: DataFrame, text: str, centrality: DataFrame | None = None, symbols: DataFrame | None = None, limit: int = 15) -> DataFrame:
-    """(path, snippet, called_by[, symbol]) of the best hits: most called files first, then in path order."""
+        best = F.array_max(F.transform(hits, scored))
+        middle = -best["neg"] - F.floor((size - (best["last"] + 1 + best["neg"])) / 2).cast("int")
+        return F.coalesce(F.greatest(F.least(middle, F.size(tokens) - size), F.lit(0)), F.lit(0))
+
+    hits = F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda h: h["w"].isin(*words))
+    start = let(hits, chosen)
+
+    def shown(at):
+        marked = F.transform(F.slice(tokens, at + 1, F.lit(size)), lambda x: F.when(x.isin(*words), F.concat(F.lit("<<"), x, F.lit(">>"))).otherwise(x))
+        return F.concat(F.when(at > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(at + size < F.size(tokens), "...").otherwise(""))
+
+    return let(start, shown)
+
+
+def search(indexed: DataFrame, text: str, centrality: DataFrame | None = None, symbols: DataFrame | None = None, limit: int = 15, pool: int | None = None, size: int = 32) -> DataFrame:
+    """(path, snippet, called_by[, symbol]) of the best hits: of the pool, the first max(4 * limit, 50) in path order, the most called."""
     words = tokens_of(text) or [""]
-    hits = indexed.where(predicate(text, F.col("padded"), F.col("tokens"))).select("path", snippet(F.col("tokens"), words).alias("snippet"))
+    found = indexed.where(predicate(text, F.col("padded"), F.col("tokens"))).orderBy("path").limit(pool or max(4 * limit, 50))
+    hits = found.select("path", snippet(F.col("tokens"), words, size).alias("snippet"))
     hits = hits.join(centrality, "path", "left").withColumn("called_by", F.coalesce("called_by", F.lit(0).cast("bigint"))) if centrality is not None else hits.withColumn("called_by", F.lit(0).cast("bigint"))
     if symbols is not None:
         term = text.strip().strip('"').split()[0] if text.strip().strip('"') else ""
-        top = symbols.where(F.lower("name").contains(term.lower())).groupBy("path").agg(F.min_by("name", F.struct("line", "name")).alias("symbol"))
+        top = symbols.where(like(F.col("name"), f"%{term}%") if term else F.lit(False)).groupBy("path").agg(F.min_by("name", F.struct("line", "name")).alias("symbol"))
         hits = hits.join(top, "path", "left")
     return hits.orderBy(F.desc("called_by"), "path").limit(limit)

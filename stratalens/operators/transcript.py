@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.functions.text import let
+
 # Tool names and keys that hosts use, and the shapes of their search and listing results.
 READ_TOOLS = ("read", "read_file", "view", "cat")
 PATH_KEYS = ("file_path", "path", "target_file", "filename")
@@ -64,11 +66,6 @@ def _lines(text: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), value being computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
     """A search result in fewer lines: hits by file, capped; null where most lines are no hits.
 
@@ -88,7 +85,7 @@ def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
         n, other = F.size(hits), F.size(rows) - F.size(hits) - F.size(quiet)
         row = lambda h: F.concat(F.lit("  "), h["n"], F.lit(": "), h["r"])
         more = lambda of: F.when(F.size(of) > per_file, F.array(F.concat(F.lit("  (+"), (F.size(of) - per_file).cast("string"), F.lit(" more matches in this file)")))).otherwise(none)
-        part = lambda p: _let(F.filter(hits, lambda h: h["p"] == p), lambda of: F.concat(F.array(p), F.transform(F.slice(of, 1, per_file), row), more(of)))
+        part = lambda p: let(F.filter(hits, lambda h: h["p"] == p), lambda of: F.concat(F.array(p), F.transform(F.slice(of, 1, per_file), row), more(of)))
         body = F.flatten(F.transform(F.slice(files, 1, max_files), part))
         rest = F.slice(files, max_files + 1, F.greatest(F.size(files) - max_files, F.lit(0)))
         dropped = F.size(F.filter(hits, lambda h: F.array_contains(rest, h["p"])))
@@ -96,8 +93,8 @@ def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
         first = F.concat(F.lit("grep: "), n.cast("string"), F.lit(" matches in "), F.size(files).cast("string"), F.lit(" files"))
         return F.when((n == 0) | (n < F.floor(F.greatest(other, F.lit(1)) / 2)), None).otherwise(F.array_join(F.concat(F.array(first), body, tail), "\n"))
 
-    of_rows = lambda rows: _let(F.filter(rows, lambda h: h["n"] != ""), lambda hits: _let(F.array_distinct(F.transform(hits, lambda h: h["p"])), lambda files: shown(rows, hits, files)))
-    return _let(F.transform(_lines(text), parsed), of_rows)
+    of_rows = lambda rows: let(F.filter(rows, lambda h: h["n"] != ""), lambda hits: let(F.array_distinct(F.transform(hits, lambda h: h["p"])), lambda files: shown(rows, hits, files)))
+    return let(F.transform(_lines(text), parsed), of_rows)
 
 
 def listing_paths(text: Column) -> Column:

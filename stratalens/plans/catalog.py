@@ -287,7 +287,7 @@ _fts("fts_near", "NEAR(the onst, 2)", "len(list_filter(range(1, len(tokens) + 1)
 
 
 @query(f"""WITH MODEL, {TOKENS}, h AS (SELECT s.path, count(DISTINCT from_path) AS n FROM symbols s JOIN edges e ON e.to_name = s.name AND e.kind = 'call' AND from_path <> s.path GROUP BY 1)
-SELECT path, coalesce(n, 0) AS called_by FROM pad LEFT JOIN h USING (path) WHERE list_contains(tokens, 'the') ORDER BY 2 DESC, path LIMIT 15""")
+SELECT path, coalesce(n, 0) AS called_by FROM (SELECT * FROM pad WHERE list_contains(tokens, 'the') ORDER BY path LIMIT 60) LEFT JOIN h USING (path) ORDER BY 2 DESC, path LIMIT 15""")
 def search_ranked(spark, sf):
     s = model.symbols(spark, sf)
     return X.search(_index(spark, sf), "the", G.centrality_by_name(s, s, model.edges(spark, sf))).select("path", "called_by")
@@ -479,9 +479,10 @@ def debounce_sessions(spark, sf):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events))
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
 def debounce_stream(spark, sf):
-    """The stream's closed sessions: written by a finished stream, read back as a table."""
+    """The stream's closed sessions, written by a finished stream and read back: all but those open at the last event."""
     import tempfile
     import uuid
 
@@ -491,7 +492,8 @@ def debounce_stream(spark, sf):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("t"))
     q = W.debounced(events, "user_id", "t", "30 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("user_id bigint, first_ts timestamp, last_ts timestamp, n bigint").parquet(out)
+    out = spark.read.schema("user_id bigint, first_ts timestamp, last_ts timestamp, n bigint").parquet(out)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
 __all__ = ["ORACLES", "QUERIES", "Window"]
