@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import decontaminate, lines, neardup, packing, quality
-from stratalens.llm.common import stored
+from stratalens.llm.common import fresh, stored
+
+
+def has_word(text: Column) -> Column:
+    return F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another line stands for go; n_chars follows the text. Every document stays."""
-    out = lines.dedup_lines(docs)
+    """Lines that another line stands for go; n_chars, where there is one, follows the text.
+
+    A document that loses all its lines with a word is a copy of what stays elsewhere, and goes; a document that had
+    none stays.
+    """
+    had = fresh(docs, "__had_words")
+    out = lines.dedup_lines(docs.withColumn(had, has_word(F.col("text"))))
+    out = out.where(~F.col(had) | has_word(F.col("text"))).drop(had)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
@@ -31,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids in sequences of at most 2048 (see packing.pack); a blank text is the end id alone."""
     return packing.pack(docs)
 
 
@@ -42,7 +53,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Fuzzy matching over all pairs and tokenizing are beyond SQL; tests compare each stage with brute force instead.
+#: Fuzzy matching over all pairs and tokenizing are beyond SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 

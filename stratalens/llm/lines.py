@@ -1,14 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line's shingles are the SHINGLE characters that begin at each of its positions, spaces included; a shorter line is one
-shingle. They are hashed once; the hashes' top bits deal them to bins, and the minimum of each bin is the signature
-(one-permutation hashing). Neighbouring bins give a band key; four bits of every minimum make a fingerprint of 64 bits. Equal lines are one class first. Classes that share a band
-key with fingerprints alike enough are compared with the key's centre on their exact shingle sets; links become
-components by union-find. Where a key still joins different components, its members are compared with each other, by
-blocks. One line of each component stays.
-
-Simulated, two lines of similarity 0.8 share no band key, or have fingerprints that agree in under two fifths of the
-bins, once in ten thousand for 5 and for 100 shingles, less often between, and 2.5 times in ten thousand for 200.
+shingle. The SKETCH least hashes of its different shingles are its signature. Two signature values that follow each other
+make a band key; the signature's bits, or-ed, make a fingerprint.
+
+Equal lines are one class first. Classes that share a key are compared with the key's centre, if their sizes fit and their
+fingerprints are alike enough, on the sets of all their shingles; links become components by union-find. Where a key
+still joins different components, the members outside of its largest one are compared with a few others, and then,
+where the key is still open, with all, by blocks. In crowded keys a sample of the shingles, a quarter of them, turns pairs
+away before their lines are read. One line of each component stays.
+
+Two lines of similarity 0.8 share no key three times in ten thousand, and never if they have up to BANDS shingles. Their
+fingerprints are not alike once in 100,000, or four times in ten thousand if one's shingles are all the other's; their
+samples differ too much three times in 100,000.
 """
 
 from __future__ import annotations
@@ -18,16 +22,14 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import components, fresh, stored
+from stratalens.llm.common import components, fresh, merged, sifted, stored
 
-SHINGLE, BIN_BITS, PERCENT = 8, 4, 80
-BINS = 1 << BIN_BITS
-#: Where the bins begin, and the end of the last.
-EDGES = [(i - BINS // 2) << (64 - BIN_BITS) for i in range(BINS)] + [(1 << 63) - 1]
-#: Bits of the membership map that spares lines without a candidate the shuffle of their text: 4 MB, whatever the input.
-MAP_BITS = 1 << 25
-#: Members of a key in a block of the second pass.
-BLOCK = 1024
+SHINGLE, PERCENT = 8, 80
+#: Signature values, and those of them that make band keys.
+SKETCH, BANDS = 28, 13
+#: Members that others of a key are compared with before all, members from which on a key is crowded, and members in a
+#: block when all are compared.
+SAMPLES, CROWD, BLOCK = 8, 64, 1024
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -37,40 +39,53 @@ def shingles(line: Column, n: int = SHINGLE) -> Column:
     return F.transform(F.array(wide), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substr(b, i, F.lit(4 * n)))))[0]
 
 
-def marked(hashes: Column) -> Column:
-    """The hashes in order, with EDGES between those of different bins."""
-    return F.sort_array(F.concat(hashes, F.array(*map(F.lit, EDGES))))
+def hashes(line: Column) -> Column:
+    """The hashes of the line's different shingles, in order."""
+    return F.sort_array(F.array_distinct(shingles(line)))
 
 
-def signature(marked: Column) -> Column:
-    """The least hash of each bin, in bin order; for an empty bin the edge above it."""
-    return F.array(*(F.get(marked, F.array_position(marked, F.lit(x)).cast("int")) for x in EDGES[:-1]))
-
-
-def _empty(sig: Column, i: int) -> Column:
-    return F.get(sig, F.lit(i)) == F.lit(EDGES[i + 1])
+def sample(hashes: Column) -> Column:
+    """A quarter of the shingles, chosen by their hashes' last bits, in 32 bits each."""
+    return F.transform(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(3)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
 
 
 def band_keys(sig: Column) -> Column:
-    """A key for each pair of bins that is not empty: of the two minima."""
-    key = lambda i: F.xxhash64(F.get(sig, F.lit(i)), F.get(sig, F.lit(i + 1)))
-    return F.array_compact(F.array(*(F.when(~(_empty(sig, i) & _empty(sig, i + 1)), key(i)) for i in range(0, BINS, 2))))
+    """A key for each two of the first BANDS values that follow each other; of up to three values, one for all of them.
+
+    Sets of up to three shingles are near only to equal ones.
+    """
+    pair = lambda i: F.xxhash64(F.lit(2), F.get(sig, F.lit(i)), F.get(sig, F.lit(i + 1)))
+    pairs = F.array_compact(F.array(*(F.when(F.size(sig) > i + 1, pair(i)) for i in range(BANDS - 1))))
+    return F.when(F.size(sig) <= 3, F.array(F.xxhash64(sig))).otherwise(pairs)
 
 
 def fingerprint(sig: Column) -> Column:
-    """Four bits a bin: 0 for an empty one, else 1 to 15 by its minimum."""
-    four = lambda i: F.when(_empty(sig, i), F.lit(0).cast("bigint")).otherwise(F.pmod(F.get(sig, F.lit(i)), F.lit(15)) + 1)
-    return functools.reduce(Column.bitwiseOR, (F.shiftleft(four(i), 4 * i) for i in range(BINS)))
+    """128 bits in two words; each value of the signature sets one."""
+    none = F.lit(0).cast("bigint")
+
+    def word(w: int) -> Column:
+        bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * w, F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
+        return functools.reduce(Column.bitwiseOR, (F.coalesce(bit(F.get(sig, F.lit(i))), none) for i in range(SKETCH)))
+
+    return F.struct(word(0).alias("w0"), word(1).alias("w1"))
 
 
 def alike(x: Column, y: Column) -> Column:
-    """Whether two fingerprints agree in two fifths or more of the bins that either fills."""
-    ones = F.lit(0x1111111111111111)
-    filled = lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3)).bitwiseAND(ones)
-    either = filled(x.bitwiseOR(y))
-    differ = filled(x.bitwiseXOR(y))
-    union = F.bit_count(either)
-    return 5 * (union - F.bit_count(differ)) >= 2 * union
+    """Whether two fingerprints share three eighths or more of the bits that either sets."""
+    count = lambda f: sum(F.bit_count(f(x[w], y[w])) for w in ("w0", "w1"))
+    return 8 * count(Column.bitwiseAND) >= 3 * count(Column.bitwiseOR)
+
+
+def fits(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m can be so similar."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def samples_agree(x: Column, y: Column, percent: int) -> Column:
+    """Whether two samples agree as far as the similarity asks for, less four standard deviations; true without samples."""
+    p, both = percent / 100, F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - both
+    return x.isNull() | (both >= p * union - 4 * F.sqrt(p * (1 - p) * union))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -80,42 +95,86 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs of lines with 100 * |A and B| >= percent * |A or B| on their whole shingle sets."""
-    x, y = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    met = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    both = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
-    return met.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    x, y = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    some = lambda k: F.array_distinct(shingles(F.col(f"line_{k}")))
+    sizes = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect(some("a"), some("b"))).alias("both"), "n_a", "n_b")
+    return sizes.where((100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _texts(d: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lid, line, n) of the lines in pairs, n being the number of different shingles."""
-    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+def _texts(d: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, line) of the wanted lids' lines."""
     places = stored(classes.select("first.lid", "first.dkey", "first.pos").join(wanted, "lid", "left_semi").select("lid", "dkey", "pos"), "places")
-    # a map of fixed size keeps the text of all other lines out of the shuffle
-    slot = lambda: F.pmod(F.xxhash64("dkey", "pos"), F.lit(MAP_BITS))
-    member = places.select(slot().alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
-    some = _lines(d, "text").withColumn("s", slot()).withColumn("word", (F.col("s") / 64).cast("int")).join(F.broadcast(member), "word")
-    some = some.where(F.expr("shiftright(bits, cast(pmod(s, 64) AS int)) & 1 = 1")).select("dkey", "pos", "line")
-    found = some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"])
-    return stored(found.select("lid", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "line-texts")
+    some = sifted(_lines(d, "text").select("dkey", "pos", "line"), places, ["dkey", "pos"])
+    return stored(some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", "line"), "line-texts")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+
+
+def _side(rows: DataFrame, k: str, *more) -> DataFrame:
+    return rows.select(*more, F.col("lid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "fp", "n", "sample") if c in rows.columns))
+
+
+def _alike(percent: int) -> Column:
+    """The test of a pair of _side() rows before their lines are read."""
+    return fits(F.col("n_a"), F.col("n_b"), percent) & alike(F.col("fp_a"), F.col("fp_b"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b), each pair once."""
+    swap = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    return found.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("n_a", "n_b").alias("n_a"), swap("n_b", "n_a").alias("n_b")).distinct()
+
+
+def _centred(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): lines and the centres of their keys, if alike."""
+    pairs = members.where("lid <> centre").select(F.col("lid").alias("a"), F.col("centre").alias("b")).distinct()
+    return pairs.join(_side(prints, "a"), "a").join(_side(prints, "b"), "b").where(_alike(percent)).select("a", "b", "n_a", "n_b")
+
+
+def _open(members: DataFrame, prints: DataFrame, roots: DataFrame, texts_of) -> DataFrame:
+    """(key, lid, root, fp, n, sample, other, blocks): the members of keys that still join different components.
+
+    Two members of different components are never both of the key's largest one, so only the others go against all. The
+    centre has met them all.
+    """
+    rooted = members.where("n > 2").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "centre", F.coalesce("root", "lid").alias("root"))
+    open_ = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
+    open_ = open_.where("main.m < all").select("key", F.col("main.root").alias("main"), "all", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    dealt = stored(rooted.join(open_, "key").where("lid <> centre").withColumn("other", F.col("root") != F.col("main")).drop("main"), "open-members")
+    crowd = dealt.where(F.col("all") > CROWD).select("lid").distinct()
+    samples = stored(texts_of(crowd).select("lid", sample(hashes(F.col("line"))).alias("sample")), "samples")
+    crowded, rest = dealt.where(F.col("all") > CROWD).join(samples, "lid"), dealt.where(F.col("all") <= CROWD).withColumn("sample", F.lit(None).cast("array<int>"))
+    return stored(crowded.unionByName(rest).join(prints, "lid").select("key", "lid", "root", "fp", "n", "sample", "other", "blocks"), "open-prints")
+
+
+def _test(percent: int) -> Column:
+    """The test of a pair of members of one open key before their lines are read."""
+    return (F.col("root_a") != F.col("root_b")) & _alike(percent) & samples_agree(F.col("sample_a"), F.col("sample_b"), percent)
+
+
+def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): others of a key and those of its members with the least hashes in SAMPLES parts of them, if alike.
+
+    Families grow together by these few pairs, which leaves few others for all pairs.
+    """
+    mark = F.xxhash64("lid")
+    row = F.struct(mark.alias("mark"), "lid", "root", "fp", "n", "sample")
+    some = dealt.groupBy("key", F.pmod(mark, F.lit(SAMPLES)).alias("part")).agg(F.min(row).alias("m")).select("key", "m.*")
+    return _pairs(_side(dealt.where("other"), "a", "key").join(_side(some, "b", "key"), "key").where(_test(percent)))
 
 
-def _apart(reps: DataFrame, centres: DataFrame, star: DataFrame) -> DataFrame:
-    """(a, b): lines that share a key, have fingerprints alike enough and are not of one component yet.
+def _apart(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): all lines of different components that share a key and are alike.
 
-    Two members of different components are never both of the key's largest one, so only the others go against all.
     Members are dealt to blocks, so that a crowded key is many tasks.
     """
-    rooted = reps.join(star, F.col("lid") == F.col("node"), "left").select("lid", "fp", F.coalesce("root", "lid").alias("root"), F.explode("keys").alias("key"))
-    members = stored(rooted.join(centres.where("n > 2").select("key", "centre"), "key"), "members")
-    open_ = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"))
-    open_ = open_.where("main.m < n").select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(open_, "key").where("lid <> centre").withColumn("other", F.col("root") != F.col("main"))  # all have met the centre
-    x = dealt.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lid").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("fp_a"))
-    y = dealt.select("key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), F.col("lid").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), "other")
+    x = _side(dealt.where("other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block")
+    y = _side(dealt, "b", "key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), "other")
     once = ~F.col("other") | (F.col("a") < F.col("b"))
     # a merge join: it tests the pairs of a block as they meet, so none but those alike are rows
-    found = x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("root_a") != F.col("root_b")) & once & alike(F.col("fp_a"), F.col("fp_b")))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _pairs(x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & once & _test(percent)))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -125,21 +184,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no lines and stay. Null texts have no lines. Rows equal in id and text count as one.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("dkey"), F.col(text_col).alias("text"))
-    lines = _lines(d, "text").select("doc_id", "dkey", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), marked(shingles(F.col("line"))).alias("marked"))
-    lines = lines.select("doc_id", "dkey", "pos", "h1", "h2", signature(F.col("marked")).alias("sig"))
-    lines = stored(lines.select("doc_id", "dkey", "pos", "h1", "h2", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "lines")
-    first = F.struct("doc_id", "pos", "lid", "dkey", "fp", "keys")
+    lines = _lines(d, "text").select("doc_id", "dkey", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("hashes"))
+    lines = lines.select("doc_id", "dkey", "pos", "h1", "h2", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("sig"))
+    lines = stored(lines.select("doc_id", "dkey", "pos", "h1", "h2", "n", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "lines")
+    first = F.struct("doc_id", "pos", "lid", "dkey", "n", "fp", "keys")
     classes = stored(lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = classes.select("first.lid", "first.fp", "first.keys")
-    keyed = reps.select("lid", "fp", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min(F.struct("lid", "fp")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centres = stored(centres.select("key", F.col("c.lid").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
-    met = keyed.join(centres, "key").where((F.col("lid") != F.col("centre")) & alike(F.col("fp"), F.col("centre_fp")))
-    pairs = stored(met.select(F.col("lid").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    star = stored(components(_near(pairs, _texts(d, classes, pairs), percent)), "stars")
-    more = stored(_apart(reps, centres, star), "more-pairs")
-    links = _near(more, _texts(d, classes, more), percent).union(star.select("node", "root"))
-    roots = stored(components(links), "roots")
+    prints = classes.select("first.lid", "first.fp", "first.n")
+    keyed = classes.select("first.lid", F.explode("first.keys").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("lid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(keyed.join(centres, "key"), "members")  # of keys with company
+    texts_of = lambda wanted: _texts(d, classes, wanted)
+    pairs = stored(_centred(members, prints, percent), "pairs")
+    roots = stored(components(_near(pairs, texts_of(_ends(pairs)), percent)), "stars")
+    for find in (_sampled, _apart):
+        pairs = stored(find(_open(members, prints, roots, texts_of), percent), "more-pairs")
+        roots = merged(roots, _near(pairs, texts_of(_ends(pairs)), percent))
     best = classes.select(F.col("first.lid").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "h1", "h2").join(roots, "node")
     keep = best.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "node")).alias("m")).select(F.col("m.node").alias("node"))
     lost = best.join(keep, "node", "left_anti").select("h1", "h2")  # whole classes that another line stands for
@@ -160,9 +219,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document that loses all its lines has an empty text; null texts stay null; an empty table stays empty.
     """
     key, gone = fresh(docs, "__line_key"), fresh(docs, "__lines_gone")
-    drop = repeated_lines(docs, id_col, text_col, percent).groupBy("dkey").agg(F.collect_list("pos").alias(gone)).withColumnRenamed("dkey", key)
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    drop = repeated_lines(docs, id_col, text_col, percent).groupBy("dkey").agg(F.sort_array(F.collect_list("pos")).alias(gone)).withColumnRenamed("dkey", key)
+    n, start = F.size(gone), lambda i: F.when(i > 0, F.get(F.col(gone), i - 1) + 1).otherwise(0)
+    part = lambda x, i: F.slice(x, start(i) + 1, F.when(i < n, F.get(F.col(gone), i)).otherwise(F.size(x)) - start(i))
+    stretches = lambda x: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: part(x, i))), "\n")
+    left = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), stretches)[0]  # what lies between the lines that go
     # what is to go grows with the documents, so it is never broadcast, however small it may be here
     out = docs.withColumn(key, row_key(id_col, text_col)).join(stored(drop, "gone").hint("merge"), key, "left")
     return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)

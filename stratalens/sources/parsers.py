@@ -1,8 +1,8 @@
 """Parsers: bytes of one file to (path, lang, sha256, line_count, symbols, edges).
 
 PARSERS maps suffixes to functions text -> (line count, symbols, edges) and may be added to. Python and Markdown are
-complete; DOCX needs the standard library only. The brace languages are read by patterns, best effort: declarations at any depth, calls, imports.
-String contents never enter a signature.
+complete; DOCX needs the standard library only; the brace languages are in braces.py. String contents never enter a
+signature.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 from stratalens.functions.text import OPAQUE, SECRET_SHAPES
+from stratalens.sources.braces import script, typed
 
 _SECRETS, _OPAQUE = re.compile("|".join(SECRET_SHAPES)), re.compile(OPAQUE)
 VALUE_CHARS, DOC_CHARS = 60, 160
@@ -179,65 +180,6 @@ def markdown(text: str):
     return len(lines), sections(headings(lines), len(lines)), []
 
 
-_QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/", re.S)
-_BRACE = {
-    "class": re.compile(r"\b(?:class|interface|enum|struct)\s+([A-Za-z_]\w*)([^;{}()]*)\{"),
-    "function": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(\([^{};]*?\))|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(\([^(){};]*\)|[\w$]+)\s*=>|^[ \t]*(?!return\b|else\b|new\b|throw\b)(?:[\w<>\[\],&*:~]+[ \t]+[*&]*)+([A-Za-z_~][\w:~]*)\s*(\([^(){};]*\))\s*(?:const\s*)?(?:throws [\w, ]+)?\{|^[ \t]+(?:async\s+)?([A-Za-z_$][\w$]*)\s*(\([^(){};]*\))\s*\{", re.M),
-    "import": re.compile(r"^\s*(?:import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;|#\s*include\s*[<\"]([^>\"\n]+)[>\"]|import\s+(?:[^\n;]*?\bfrom\s+)?['\"]([^'\"\n]+)['\"])", re.M),
-    "call": re.compile(r"(?:\bnew\s+)?\b([A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*)\s*\("),
-}
-_NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "sizeof", "new", "else", "do", "typeof", "await", "super"}
-
-
-def _blank(m: re.Match) -> str:
-    """Comments vanish, string contents too; line feeds stay, so that lines keep their numbers."""
-    t = m[0]
-    return re.sub(r"[^\n]", " ", t) if t.startswith("/") else t[0] + re.sub(r"[^\n]", " ", t[1:-1]) + t[-1]
-
-
-def braces(text: str):
-    lines = text.count("\n") + 1
-    plain = _QUOTED.sub(_blank, text)
-    line_of = lambda at: text.count("\n", 0, at) + 1
-
-    def block_end(at: int) -> int:
-        depth = 0
-        for m in re.finditer(r"[{}]", plain[at:]):
-            depth += 1 if m[0] == "{" else -1
-            if depth == 0:
-                return at + m.start()
-        return len(plain)
-
-    found = [("class", m[1], m.start(), f"class {m[1]}", m.end() - 1) for m in _BRACE["class"].finditer(plain)]
-    for m in _BRACE["function"].finditer(plain):
-        name, args = next(((m[i], m[i + 1]) for i in (1, 3, 5, 7) if m[i]), (None, ""))
-        if name and name not in _NO_CALL:
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
-            found.append(("function", name.replace("::", "."), at, f"{name}{' '.join(re.sub(chr(34) + ' *' + chr(34), '<str>', args or '').split())}", plain.find("{", m.end() - 1)))
-    spans = sorted((at, block_end(brace) if brace >= 0 else at, kind, name, sig) for kind, name, at, sig, brace in found)
-    symbols, around = [], []
-    for at, end, kind, name, sig in spans:
-        while around and around[-1][1] < at:
-            around.pop()
-        full = f"{around[-1][0]}.{name}" if around else name
-        inside = around and around[-1][2] == "class"
-        symbols.append((full, "class" if kind == "class" else "method" if inside or "." in name else "function", line_of(at), redacted(sig), line_of(end)))
-        around.append((full, end, kind))
-    heads = {(at, name) for at, _, _, name, _ in spans}
-    scopes = [(at, end, s[0]) for (at, end, *_), s in zip(spans, symbols)]
-
-    def owner(at: int) -> str:
-        return next((n for s, e, n in reversed(scopes) if s <= at <= e), "<module>")
-
-    edges = [("<module>", next(g for g in m.groups() if g), "import", line_of(m.start(0) + len(m[0]) - len(m[0].lstrip()))) for m in _BRACE["import"].finditer(_QUOTED.sub(lambda m: m[0] if m[0][0] != "/" else _blank(m), text))]
-    for m in _BRACE["call"].finditer(plain):
-        name = re.sub("->|::", ".", m[1])
-        if name in _NO_CALL or any(s <= m.start() <= s + 200 and n == name and plain[s : m.start()].count("{") == 0 for s, n in heads):
-            continue
-        edges += [(owner(m.start()), x, "call", line_of(m.start())) for x in dict.fromkeys((name, name.rpartition(".")[2]))]
-    return lines, symbols, edges
-
-
 def outline(heads: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """(level, label, line) of a document's outline in line order; of equal lines the order they came in."""
     return sorted(heads, key=lambda h: h[2])
@@ -311,8 +253,9 @@ LANGS = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c",
     ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".md": "markdown", ".pdf": "pdf", ".docx": "docx",
 }
-BRACES = ("javascript", "typescript", "java", "c", "cpp")
-PARSERS: dict[str, Callable] = {".py": python, ".md": markdown, **{s: braces for s, lang in LANGS.items() if lang in BRACES}}
+READERS = {"python": python, "markdown": markdown, "javascript": script, "typescript": script, "java": typed("java"), "c": typed("c"), "cpp": typed("cpp")}
+#: Headers are read as C++, which takes C's declarations too.
+PARSERS: dict[str, Callable] = {s: READERS["cpp" if s == ".h" else lang] for s, lang in LANGS.items() if lang in READERS}
 #: Parsers that take the bytes of a file.
 BINARY: dict[str, Callable] = {".docx": docx}
 
