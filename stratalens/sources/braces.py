@@ -370,7 +370,8 @@ class Typed(Reader):
                 return b + 1
             return None
         self.symbols.append((".".join((*classes, name)), "class", self.line(first), self.signature(first, b), self.line(self.pair[b])))
-        self.calls(lo, b, classes, owner)
+        self.calls(lo, i, classes, owner)
+        self.calls(k, b, classes, owner)  # behind the keyword, which would lead here again
         self.scope(b + 1, self.pair[b], (*classes, name), owner)
         return self.pair[b] + 1
 
