@@ -7,6 +7,7 @@ and calls itself for the bodies that open a scope. String contents never enter a
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 
 _TOKEN = re.compile(
@@ -31,7 +32,7 @@ class Reader:
     def __init__(self, text: str):
         self.text, self.kind, self.tok, self.at, self.end, self.pair = text, [], [], [], [], {}
         self.breaks = [m.start() for m in re.finditer("\n", text)]
-        self.symbols, self.edges = [], []
+        self.symbols, self.edges, self.deepest = [], [], 0
         self._tokenize()
 
     def _tokenize(self) -> None:
@@ -57,6 +58,7 @@ class Reader:
             self.end.append(m.end())
             if kind == "sign" and t in "([{":
                 open_.append(i)
+                self.deepest = max(self.deepest, len(open_))
             elif kind == "sign" and t in _PAIRS:
                 while open_ and self.tok[open_[-1]] != _PAIRS[t]:  # a bracket that nothing closes
                     open_.pop()
@@ -78,10 +80,11 @@ class Reader:
 
     def after(self, i: int) -> int:
         """The place behind the bracket pair that opens at i; behind i where it is none."""
-        return self.pair.get(i, i) + 1
+        return max(self.pair.get(i, i), i) + 1
 
     def shown(self, lo: int, hi: int) -> str:
         """The text of the tokens lo..hi - 1, strings as <str>."""
+        hi = min(hi, len(self.tok))
         out, pos = [], self.at[lo] if lo < hi else 0
         for i in range(lo, hi):
             if self.kind[i] == "string":
@@ -137,7 +140,7 @@ class Script(Reader):
         """The brace that opens the body behind the parameters that end before i, type annotations aside."""
         if self.is_(i, ":"):
             i += 1
-            while i < len(self.tok) and not self.is_(i, ";", "=", "=>", ",", ")"):
+            while i < len(self.tok) and not self.is_(i, ";", "=", "=>", ",", ")", "]", "}"):
                 if self.is_(i, "{") and not self.is_(i - 1, ":", "|", "&", "<", ",", "=>", "is"):
                     return i
                 i = self.after(i)
@@ -169,7 +172,7 @@ class Script(Reader):
         return min(i, hi)
 
     def walk(self, lo: int, hi: int, classes: tuple, owner: str | None) -> None:
-        i = lo
+        i, hi = lo, min(hi, len(self.tok))
         while i < hi:
             t = self.tok[i] if self.kind[i] == "word" else ""
             member = self.is_(i - 1, ".", "?.")
@@ -218,9 +221,9 @@ class Script(Reader):
     def class_(self, i: int, hi: int, classes: tuple, owner: str | None) -> int:
         name = self.tok[i + 1] if self.word(i + 1) and self.tok[i + 1] not in ("extends", "implements") else None
         b = i + 1
-        while b < hi and not self.is_(b, "{"):
+        while b < hi and not self.is_(b, "{", ";") and not (b > i + 1 and self.is_(b, "class") and not self.is_(b - 1, "extends")):
             b = self.after(b)
-        if b not in self.pair:
+        if b >= hi or not self.is_(b, "{") or b not in self.pair:
             return i + 1
         self.walk(i + 2 if name else i + 1, b, classes, owner)
         if name and self.statement(i):
@@ -236,7 +239,10 @@ class Script(Reader):
             while j < hi and not self.is_(j, "=", ",", ";", "of", "in", ")") and (j == i + 1 or self.line(j - 1) == self.line(j)):
                 j = self.after(j)  # a type annotation
             if not self.is_(j, "="):
-                return j + 1 if self.is_(j, "of", "in") else max(j, i + 1) if not self.is_(j, ",") else self.variables(j + 1, hi, classes, owner)
+                if self.is_(j, ","):
+                    i = j + 1
+                    continue
+                return j + 1 if self.is_(j, "of", "in") else max(j, i + 1)
             v, end = j + 1, self.value_end(j + 1, hi)
             a = self.arrow(v)
             f = v + 1 if self.is_(v, "async") else v
@@ -249,7 +255,7 @@ class Script(Reader):
                     lo = f + 1
                     while lo < end and not self.is_(lo, "("):
                         lo += 1
-                    last = self.pair.get(lo, lo)
+                    last = max(self.pair.get(lo, lo), lo)
                     b, shown = last + 1, self.shown(lo, last + 1)
                 self.symbols.append((full, kind, self.line(start), f"{self.tok[start]}{shown}", self.line(max(end - 1, start))))
                 self.walk(lo, last + 1, classes, full)
@@ -358,13 +364,15 @@ class Typed(Reader):
         """A class from its keyword at i on; None where this is no definition of one."""
         b = i + 1
         while b < hi and not self.is_(b, "{", ";", "=") and (not self.is_(b, "(") or self.is_(i, "record")):
+            if b > i + 1 and self.tok[b] in self.opens and self.word(b) and self.word(b - 1):
+                return None  # another begins before this one's body
             b = self.after(b)
         name = self.tok[i + 1]
         k = i + 2
         while self.lang == "cpp" and self.is_(k, "::") and self.word(k + 1):
             name, k = f"{name}::{self.tok[k + 1]}", k + 2
         first = lo if self.lang == "java" else i
-        if not self.is_(b, "{") or b not in self.pair:
+        if b >= hi or not self.is_(b, "{") or b not in self.pair:
             if self.lang == "cpp" and self.is_(b, ";") and b == k:
                 self.symbols.append((".".join((*classes, name)), "class", self.line(first), self.signature(first, b), self.line(b - 1)))
                 return b + 1
@@ -459,11 +467,21 @@ class Typed(Reader):
         return b
 
 
+def _read(reader: Reader):
+    """What the reader finds; it calls itself a few times for each open bracket, so deep nesting gets its frames."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + 10 * reader.deepest))
+    try:
+        return reader.text.count("\n") + 1, *reader.read()
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def script(text: str):
     """(lines, symbols, edges) of JavaScript or TypeScript."""
-    return text.count("\n") + 1, *Script(text).read()
+    return _read(Script(text))
 
 
 def typed(lang: str):
     """The same for java, c or cpp."""
-    return lambda text: (text.count("\n") + 1, *Typed(text, lang).read())
+    return lambda text: _read(Typed(text, lang))

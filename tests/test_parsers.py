@@ -76,6 +76,15 @@ def test_braces():
     assert {("<module>", "stdio.h", "import"), ("add", "printf", "call")} <= {(x["from_name"], x["to_name"], x["kind"]) for x in edges}
 
 
+def test_braces_survive_any_tokens():
+    """Deep nesting, brackets that nothing opens or closes, keywords in odd places: always a result."""
+    for path in ("x.ts", "x.java", "x.c", "x.cpp"):
+        for text in ("[ ~ class K ] function { x", "] class A } ) {", "class A { " * 400 + "} " * 400, "function f() { " * 400 + "} " * 400, "f(" * 2000, "let a, b, c\n" * 50, "class", "", "template <", "enum class"):
+            assert parse(path, text.encode())[3] == text.count("\n") + 1
+    names = {s["name"] for s in parse("x.js", b"let a, b = () => 1, c, d = (x) => x;\n")[4]}
+    assert names == {"b", "d"}
+
+
 def test_repository_to_graph(spark, tmp_path):
     """Two modules, a call across files, a hidden-looking file name: all of them are indexed and resolved."""
     from stratalens.operators import graph as G
