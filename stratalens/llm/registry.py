@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalens.llm import chat, decontaminate, huffman, lines, lm, neardup, packing, pii, quality, warc
+from stratalens.llm import chat, decontaminate, divergence, fim, huffman, langid, lines, lm, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_token_files": huffman.op8_token_files,
     "op9_warc": warc.op9_warc,
     "op10_lm_scores": lm.op10_lm_scores,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_language_id": langid.op12_language_id,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
     "op5_preference_formatting": chat.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
