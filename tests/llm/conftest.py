@@ -1,7 +1,7 @@
 import pytest
 
 #: A document that the quality rules keep.
-GOOD = "The old harbour lies at the end of a long road, and it was built for boats that no one has seen in years. People still come here in the summer to sit on the wall."
+GOOD = "The old harbour lies at the end of a long road, and it was built for boats that nobody has seen in years. People still come here in the summer to sit on the wall."
 
 
 @pytest.fixture(scope="session")

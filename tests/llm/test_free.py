@@ -152,7 +152,7 @@ def test_token_files_of_many_shards(spark, sf, documents, monkeypatch):
 
 def test_token_files_odd_rows(spark, odd, empty):
     got = huffman.read_tokens(spark, huffman.write_tokens(odd), with_ids=True).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 3, 4, 5, 6, 7] and got[3]["n_tokens"] == 1
+    assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 3, 4, 5, 6, 7, 8] and got[3]["n_tokens"] == 1
     assert np.frombuffer(got[1]["ids"], "<u4")[:-1].tolist() == Encoder().encode(["alpha beta gamma delta epsilon"])[0].tolist()
     assert huffman.read_tokens(spark, huffman.write_tokens(empty)).count() == 0
 
