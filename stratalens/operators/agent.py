@@ -54,23 +54,6 @@ def terminal(wire: Column, text: Column) -> Column:
     return F.when(wire == "messages", F.to_json(blocks)).when(wire == "chat", F.to_json(chat)).when(wire == "responses", F.to_json(items))
 
 
-def turn_actions(turns: DataFrame, decided: DataFrame, most: int = MAX_INNER_TURNS) -> DataFrame:
-    """(conv_id, turn, n_calls, inner, action) of each turn: what the loop over a conversation does with it.
-
-    Without calls it is final; with a call of the host's it is forwarded as a whole; else all its calls are answered
-    here and the loop goes on, up to `most` turns in a row, and the next of them becomes terminal.
-    """
-    n = decided.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("kind") == "host").alias("n_host"))
-    t = turns.select("conv_id", "turn").distinct().join(n, ["conv_id", "turn"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0).cast("bigint")))
-    here = (F.col("n_calls") > 0) & (F.col("n_host") == 0)
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = t.withColumn("here", F.coalesce(here, F.lit(False))).withColumn("run", F.sum(F.when(~F.col("here"), 1).otherwise(0)).over(w))
-    inner = F.when(F.col("here"), F.sum(F.col("here").cast("bigint")).over(Window.partitionBy("conv_id", "run").orderBy("turn"))).otherwise(0).cast("bigint")
-    t = t.withColumn("inner", inner)
-    action = F.when(F.col("n_calls") == 0, "final").when(~F.col("here"), "forward").when(F.col("inner") > most, "terminal").otherwise("answer")
-    return t.select("conv_id", "turn", "n_calls", "inner", action.alias("action"))
-
-
 def lines_of(text: Column) -> Column:
     """The lines as splitlines() gives them."""
     return T.let(F.split(text, T.LINE_BREAK, -1), lambda x: F.when(text == "", F.array().cast("array<string>")).when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))

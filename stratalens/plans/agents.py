@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import text as T
 from stratalens.operators import agent as P
 from stratalens.operators import graph as G
+from stratalens.operators import loop as L
 from stratalens.operators import maintain as M
 from stratalens.operators import measure as A
 from stratalens.operators import render as R
@@ -56,17 +57,56 @@ def sent_back(spark, sf):
     return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("rid"), P.sent_back(wire, F.array(i), F.array(F.concat(F.lit("text "), F.col("turn").cast("string")))).alias("sent"), P.terminal(wire, F.lit(P.BUDGET_SPENT)).alias("closing"))
 
 
-@query(f"""WITH MODEL, {CALLS}, k AS (SELECT c.conv_id, c.turn, CASE WHEN starts_with(c.name, 'index_') THEN 'virtual' WHEN c.name = 'Read' AND f.path IS NOT NULL THEN 'gated' ELSE 'host' END AS kind
-  FROM calls c LEFT JOIN (SELECT path::VARCHAR AS path FROM files WHERE line_count > 5) f ON f.path = c.path WHERE c.turn % 4 <> 3),
-t AS (SELECT c.conv_id, c.turn, count(kind) AS n_calls, count(kind) > 0 AND count(*) FILTER (kind = 'host') = 0 AS here FROM conversations c LEFT JOIN k USING (conv_id, turn) GROUP BY 1, 2),
-r AS (SELECT *, sum(CASE WHEN here THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t),
-i AS (SELECT *, CASE WHEN here THEN sum(here::INT) OVER (PARTITION BY conv_id, run ORDER BY turn) ELSE 0 END::BIGINT AS inner_ FROM r)
-SELECT conv_id, turn, n_calls, inner_ AS inner, CASE WHEN n_calls = 0 THEN 'final' WHEN NOT here THEN 'forward' WHEN inner_ > 1 THEN 'terminal' ELSE 'answer' END AS action FROM i""")
+#: A log with two reads of each file by neighbouring turns, virtual calls, some turns without calls, some with a call of the host's.
+LOGGED = """logged AS (SELECT conv_id, turn, 0 AS idx, 'Read' AS name, ((conv_id * 8 + turn // 2) % 1000)::VARCHAR AS path FROM conversations WHERE (conv_id + turn) % 5 <> 4 AND turn % 3 <> 2
+UNION ALL SELECT conv_id, turn, 1, 'index_callers', 'x' FROM conversations WHERE (conv_id + turn) % 5 <> 4 UNION ALL SELECT conv_id, turn, 2, 'grep', 'x' FROM conversations WHERE (conv_id + turn) % 11 = 3),
+known AS (SELECT DISTINCT conv_id, ((conv_id * 8) % 1000)::VARCHAR AS path FROM conversations WHERE conv_id % 6 = 0)"""
+
+
+def _logged(spark, sf) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    call = lambda i, name, path: F.struct(F.lit(i).alias("idx"), F.lit(name).alias("name"), F.create_map(F.lit("path"), path).alias("input"))
+    none = (c + t) % 5 == 4
+    reads = F.when(~none & (t % 3 != 2), call(0, "Read", ((c * 8 + F.floor(t / 2)) % 1000).cast("string")))
+    of = F.array_compact(F.array(reads, F.when(~none, call(1, "index_callers", F.lit("x"))), F.when((c + t) % 11 == 3, call(2, "grep", F.lit("x")))))
+    return model.read(spark, sf, "conversations").select("conv_id", "turn", F.explode(of).alias("x")).select("conv_id", "turn", "x.*")
+
+
+def _loop_sql(most: int, remember: bool) -> str:
+    """The loop as a recursion over turns, one state a conversation and turn."""
+    kept = "f.seen" if remember else "f.given"
+    return f"""WITH RECURSIVE {model.SQL}, {LOGGED}, c AS (SELECT l.*, f.path AS large FROM logged l LEFT JOIN (SELECT path::VARCHAR AS path FROM files WHERE line_count > 5) f ON l.name = 'Read' AND f.path = l.path),
+k AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (name = 'grep' OR name = 'Read' AND large IS NULL) AS n_host, coalesce(list(DISTINCT large) FILTER (large IS NOT NULL), []) AS reads FROM c GROUP BY 1, 2),
+o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(n, 0) AS n, coalesce(n_host, 0) AS n_host, coalesce(reads, []) AS reads FROM (SELECT DISTINCT conv_id, turn FROM conversations) LEFT JOIN k USING (conv_id, turn)),
+f AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS turn, 0::BIGINT AS n, 0::BIGINT AS "inner", '' AS action, []::VARCHAR[] AS gated, given, given AS seen
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, list(path) AS g FROM known GROUP BY 1) USING (conv_id), LATERAL (SELECT coalesce(g, []) AS given)
+  UNION ALL SELECT o.conv_id, o.i, o.turn, o.n, CASE WHEN a = 'answer' THEN f.inner + 1 ELSE 0 END, a, CASE WHEN a IN ('answer', 'forward') THEN list_sort(fresh) ELSE [] END, f.given, CASE WHEN a = 'answer' THEN list_concat(f.seen, fresh) ELSE {kept} END
+    FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1, LATERAL (SELECT list_filter(o.reads, lambda x: NOT list_contains(f.seen, x)) AS fresh),
+    LATERAL (SELECT CASE WHEN f.inner = {most} THEN 'terminal' WHEN o.n = 0 THEN 'final' WHEN o.n_host > 0 OR len(fresh) < len(o.reads) THEN 'forward' ELSE 'answer' END AS a))"""
+
+
+def _loop(spark, sf, most: int, remember: bool) -> DataFrame:
+    f = model.files(spark, sf).select(F.col("path").cast("string").alias("path"), "line_count")
+    known = model.read(spark, sf, "conversations").where("conv_id % 6 = 0").select("conv_id", ((F.col("conv_id") * 8) % 1000).cast("string").alias("path"))
+    return L.gate_loop(model.read(spark, sf, "conversations"), _logged(spark, sf), f, known, 5, most, remember)
+
+
+@query(_loop_sql(2, True) + ' SELECT conv_id, turn, n AS n_calls, "inner", action, gated FROM f WHERE i > 0')
 def turn_actions(spark, sf):
-    calls = catalog._calls(spark, sf).where("turn % 4 <> 3")
+    """The loop over whole conversations: an answered read is seen for good."""
+    return _loop(spark, sf, 2, True)
+
+
+@query(_loop_sql(3, False) + ' SELECT conv_id, turn, n AS n_calls, "inner", action, gated FROM f WHERE i > 0')
+def request_actions(spark, sf):
+    """The loop request by request: the host's own log lacks what was answered in between."""
+    return _loop(spark, sf, 3, False)
+
+
+@query(_loop_sql(P.MAX_INNER_TURNS, True) + """ SELECT c.conv_id, c.turn, c.idx, f.action, CASE WHEN c.name = 'index_callers' THEN 'virtual' WHEN list_contains(f.gated, c.large) THEN 'gated' ELSE 'host' END AS kind FROM c JOIN f USING (conv_id, turn)""")
+def loop_calls(spark, sf):
     f = model.files(spark, sf).select(F.col("path").cast("string").alias("path"), "line_count")
-    kinds = C.classify(calls, f, spark.createDataFrame([], "conv_id bigint, path string"), 5)
-    return P.turn_actions(model.read(spark, sf, "conversations"), kinds, most=1)
+    return L.loop_calls(_logged(spark, sf), f, _loop(spark, sf, P.MAX_INNER_TURNS, True), 5).select("conv_id", "turn", "idx", "action", "kind")
 
 
 #: Calls of every tool by the conversations' turns, on documents.

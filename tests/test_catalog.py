@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from stratalens.plans import catalog
+from stratalens.plans import agents, catalog  # agents adds its queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -22,6 +22,10 @@ def test_stream_gives_the_closed_sessions(spark, sf):
     assert closed and closed <= every
 
 
+def test_all_queries_are_compared():
+    assert {agents.turn_actions.__name__, agents.loop_calls.__name__} <= set(catalog.ORACLES)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
