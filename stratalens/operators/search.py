@@ -32,11 +32,18 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
+NOTHING = ("nothing",)
+
+
 class _Parser:
-    """OR < AND < NOT and implicit AND < phrases; columns are content (searched) and path (never matches)."""
+    """OR < AND < NOT and implicit AND < phrases; columns are content (searched) and path (never matches).
+
+    The tree: (or, x, y), (and, x, y), (not, x, y: x without y), (phrase, words, whether the last is a prefix, whether at
+    the very beginning), (near, [(words, prefix)], distance) and NOTHING.
+    """
 
-    def __init__(self, text: str, padded: Column, tokens: Column):
-        self.padded, self.tokens, self.at, self.lex = padded, tokens, 0, []
+    def __init__(self, text: str):
+        self.at, self.lex = 0, []
         end = 0
         while end < len(text.rstrip()):
             m = _LEX.match(text, end)
@@ -57,40 +64,40 @@ class _Parser:
         self.at += 1
         return x
 
-    def parse(self) -> Column:
+    def parse(self) -> tuple:
         out = self.either()
         if self.peek() is not None:
             raise QueryError(self.peek())
         return out
 
-    def either(self) -> Column:
+    def either(self) -> tuple:
         out = self.all_of()
         while self.peek() == "OR":
             self.next()
-            out = out | self.all_of()
+            out = ("or", out, self.all_of())
         return out
 
-    def all_of(self) -> Column:
+    def all_of(self) -> tuple:
         out = self.without()
         while self.peek() == "AND":
             self.next()
-            out = out & self.without()
+            out = ("and", out, self.without())
         return out
 
-    def without(self) -> Column:
+    def without(self) -> tuple:
         out = self.row()
         while self.peek() == "NOT":
             self.next()
-            out = out & ~self.row()
+            out = ("not", out, self.row())
         return out
 
-    def row(self) -> Column:
+    def row(self) -> tuple:
         out = self.item()
         while self.peek() not in (None, "OR", "AND", "NOT", ")", ",", "+", "*", ":"):
-            out = out & self.item()
+            out = ("and", out, self.item())
         return out
 
-    def item(self) -> Column:
+    def item(self) -> tuple:
         if self.peek() == "(":
             self.next()
             out = self.either()
@@ -103,7 +110,7 @@ class _Parser:
             if column not in ("content", "path"):
                 raise QueryError(column)
             out = self.item()
-            return out if column == "content" else F.lit(False)
+            return out if column == "content" else NOTHING
         if self.peek() == "NEAR" and self.at + 1 < len(self.lex) and self.lex[self.at + 1] == "(":
             return self.near()
         return self.phrase()
@@ -116,25 +123,23 @@ class _Parser:
             words = tokens_of(x)
         else:
             raise QueryError(x)
-        while self.peek() == "+":
+        if self.peek() == "+":  # the rest of the phrase says whether its last word is a prefix
             self.next()
-            words += self.words()[0]
+            more, prefix = self.words()
+            return words + more, prefix
         prefix = self.peek() == "*"
         if prefix:
             self.next()
         return words, prefix
 
-    def phrase(self) -> Column:
+    def phrase(self) -> tuple:
         first = self.peek() == "^"
         if first:
             self.next()
         words, prefix = self.words()
-        if not words:
-            return F.lit(False)
-        text = " " + " ".join(words) + ("" if prefix else " ")
-        return self.padded.startswith(text) if first else self.padded.contains(text)
+        return ("phrase", words, prefix, first) if words else NOTHING
 
-    def near(self) -> Column:
+    def near(self) -> tuple:
         self.at += 2
         groups, distance = [], 10
         while self.peek() not in (")", ",", None):
@@ -146,49 +151,62 @@ class _Parser:
             distance = int(n)
         if not groups or any(not w for w, _ in groups):
             raise QueryError("NEAR")
+        return ("near", groups, distance)
 
-        def places(words: list[str], prefix: bool) -> Column:
-            """Where the phrase begins: array of positions."""
-            def fits(t, x, i):
-                tests = [x == words[0]] + [F.get(t, i + k) == w for k, w in enumerate(words) if k]
-                if prefix:
-                    tests[-1] = (F.get(t, i + len(words) - 1) if len(words) > 1 else x).startswith(words[-1])
-                return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
-            at = lambda t: F.transform(t, lambda x, i: F.when(fits(t, x, i), i))
-            return F.array_compact(F.flatten(F.transform(F.array(self.tokens), at)))
+def parsed(text: str) -> tuple:
+    """The query's tree, else the text as one phrase, else NOTHING: arbitrary text never fails."""
+    try:
+        return _Parser(text).parse()
+    except QueryError:
+        words = tokens_of(text)
+        return ("phrase", words, False, False) if words else NOTHING
 
-        # every phrase's places are found once; then some place of the first has all others within `distance` tokens
-        named = F.struct(*(places(*g).alias(f"p{k}") for k, g in enumerate(groups)))
-        n = [len(w) for w, _ in groups]
 
-        def within(i, size):
-            return lambda j: F.when(j > i, j - i - n[0]).otherwise(i - j - size) <= distance
+def _near(groups: list, distance: int, tokens: Column) -> Column:
+    def places(words: list[str], prefix: bool) -> Column:
+        """Where the phrase begins: array of positions."""
+        def fits(t, x, i):
+            tests = [x == words[0]] + [F.get(t, i + k) == w for k, w in enumerate(words) if k]
+            if prefix:
+                tests[-1] = (F.get(t, i + len(words) - 1) if len(words) > 1 else x).startswith(words[-1])
+            return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
-        def close(s):
-            def around(i):
-                out = F.lit(True)
-                for k in range(1, len(groups)):
-                    out = out & F.exists(s[f"p{k}"], within(i, n[k]))
-                return out
+        at = lambda t: F.transform(t, lambda x, i: F.when(fits(t, x, i), i))
+        return F.array_compact(F.flatten(F.transform(F.array(tokens), at)))
 
-            return F.exists(s["p0"], around)
+    # every phrase's places are found once; then some place of the first has all others within `distance` tokens
+    named = F.struct(*(places(*g).alias(f"p{k}") for k, g in enumerate(groups)))
+    n = [len(w) for w, _ in groups]
 
-        return F.exists(F.array(named), close)
+    def within(i, size):
+        return lambda j: F.when(j > i, j - i - n[0]).otherwise(i - j - size) <= distance
 
+    def close(s):
+        def around(i):
+            out = F.lit(True)
+            for k in range(1, len(groups)):
+                out = out & F.exists(s[f"p{k}"], within(i, n[k]))
+            return out
 
-def match(query: str, padded: Column, tokens: Column) -> Column:
-    """The predicate of a query; raises QueryError where the text is none."""
-    return _Parser(query, padded, tokens).parse()
+        return F.exists(s["p0"], around)
+
+    return F.exists(F.array(named), close)
 
 
 def predicate(text: str, padded: Column, tokens: Column) -> Column:
-    """match(), else the text as one phrase, else nothing: arbitrary text never fails."""
-    try:
-        return match(text, padded, tokens)
-    except QueryError:
-        words = tokens_of(text)
-        return padded.contains(" " + " ".join(words) + " ") if words else F.lit(False)
+    """The query as one predicate over a row's tokens, for tables without postings."""
+    def test(t: tuple) -> Column:
+        if t[0] in ("or", "and", "not"):
+            x, y = test(t[1]), test(t[2])
+            return x | y if t[0] == "or" else x & y if t[0] == "and" else x & ~y
+        if t[0] == "phrase":
+            _, words, prefix, first = t
+            run = " " + " ".join(words) + ("" if prefix else " ")
+            return padded.startswith(run) if first else padded.contains(run)
+        return _near(t[1], t[2], tokens) if t[0] == "near" else F.lit(False)
+
+    return test(parsed(text))
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -223,10 +241,18 @@ def snippet(tokens: Column, words: list[str], size: int = 32) -> Column:
     return let(start, shown)
 
 
-def search(indexed: DataFrame, text: str, centrality: DataFrame | None = None, symbols: DataFrame | None = None, limit: int = 15, pool: int | None = None, size: int = 32) -> DataFrame:
-    """(path, snippet, called_by[, symbol]) of the best hits: of the pool, the first max(4 * limit, 50) in path order, the most called."""
-    words = tokens_of(text) or [""]
-    found = indexed.where(predicate(text, F.col("padded"), F.col("tokens"))).orderBy("path").limit(pool or max(4 * limit, 50))
+def search(indexed, text: str, centrality: DataFrame | None = None, symbols: DataFrame | None = None, limit: int = 15, pool: int | None = None, size: int = 32) -> DataFrame:
+    """(path, snippet, called_by[, symbol]) of the best hits: of the pool, the first max(4 * limit, 50) in path order, the most called.
+
+    indexed is a table of index(), or a postings.Index, which reads the postings of the query's tokens and the texts of the
+    pool only.
+    """
+    words, most = tokens_of(text) or [""], pool or max(4 * limit, 50)
+    if isinstance(indexed, DataFrame):
+        found = indexed.where(predicate(text, F.col("padded"), F.col("tokens"))).orderBy("path").limit(most).select("path", "tokens")
+    else:
+        best = indexed.found(text).orderBy("doc").limit(most)
+        found = indexed.texts().join(F.broadcast(best), ["doc", "part"]).select(F.col("doc").alias("path"), "tokens")  # at most `most` rows
     hits = found.select("path", snippet(F.col("tokens"), words, size).alias("snippet"))
     hits = hits.join(centrality, "path", "left").withColumn("called_by", F.coalesce("called_by", F.lit(0).cast("bigint"))) if centrality is not None else hits.withColumn("called_by", F.lit(0).cast("bigint"))
     if symbols is not None:

@@ -248,7 +248,7 @@ def summarize_budget(spark, sf):
 
 @query(f"""WITH s AS ({ORACLES['summary_render']}), files AS (SELECT path, text FROM s), {TOKENS} SELECT path FROM pad WHERE list_contains(tokens, 'high') AND NOT list_contains(tokens, 'urgent')""")
 def search_summaries(spark, sf):
-    return X.index(catalog.summary_render(spark, sf), "path", "text").where(X.predicate("high NOT urgent", F.col("padded"), F.col("tokens"))).select("path")
+    return catalog._index(spark, sf, "summaries").found("high NOT urgent").select(F.col("doc").alias("path"))
 
 
 @query(f"""WITH MODEL, {TOKENS}, p AS (SELECT * FROM pad WHERE list_contains(tokens, 'the') ORDER BY path LIMIT 50),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +13,13 @@ from stratalens.functions import text as T
 from stratalens.operators import graph as G
 from stratalens.operators import maintain as M
 from stratalens.operators import measure as A
+from stratalens.operators import postings as Postings
 from stratalens.operators import render as R
 from stratalens.operators import search as X
 from stratalens.operators import transcript as C
 from stratalens.plans import model
 from stratalens.sources import repo as S
+from stratalens.sources.versions import shared_dir
 from stratalens.streaming import watch as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,19 +262,20 @@ TOKENS = """tok AS (SELECT path, regexp_extract_all(lower(strip_accents(text)),
 pad AS (SELECT path, tokens, ' ' || array_to_string(tokens, ' ') || ' ' AS padded FROM tok)"""
 
 
-def _index(spark, sf):
-    return X.index(model.files(spark, sf), "path", "text")
+def _index(spark, sf, what: str = "files") -> Postings.Index:
+    """The positional index of the files, or of their rendered summaries: built once in a session, then kept."""
+    folder = f"{shared_dir(spark)}/text-index-{what}-{spark.sparkContext.applicationId}-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return Postings.kept(model.files(spark, sf) if what == "files" else summary_render(spark, sf), folder, "path", "text")
 
 
 @query(f"WITH MODEL, {TOKENS} SELECT token, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest(tokens) AS token FROM tok) GROUP BY 1")
 def fts_tokens(spark, sf):
-    t = _index(spark, sf).select("path", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("c"))
-    return t.groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("files"))
+    return _index(spark, sf).counts()
 
 
 def _fts(name: str, text: str, where: str):
     def run(spark, sf):
-        return _index(spark, sf).where(X.predicate(text, F.col("padded"), F.col("tokens"))).select("path")
+        return _index(spark, sf).found(text).select(F.col("doc").alias("path"))
 
     run.__name__ = name
     query(f"WITH MODEL, {TOKENS} SELECT path FROM pad WHERE {where}")(run)
@@ -283,6 +288,8 @@ _fts("fts_prefix", "onst*", "contains(padded, ' onst')")
 _fts("fts_phrase", '"of the"', "contains(padded, ' of the ')")
 _fts("fts_initial", "^the", "starts_with(padded, ' the ')")
 _fts("fts_fallback", "of:the", "contains(padded, ' of the ')")
+_fts("fts_phrase_prefix", '"of the" + o*', "contains(padded, ' of the o')")
+_fts("fts_mixed", '(onst OR "of the") NOT (^the OR th*)', "(list_contains(tokens, 'onst') OR contains(padded, ' of the ')) AND NOT (starts_with(padded, ' the ') OR contains(padded, ' th'))")
 _fts("fts_near", "NEAR(the onst, 2)", "len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'the' AND len(list_filter(range(greatest(i - 3, 1), least(i + 3, len(tokens)) + 1), lambda k: tokens[k] = 'onst')) > 0)) > 0")
 
 
@@ -483,11 +490,7 @@ def debounce_sessions(spark, sf):
 SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
 def debounce_stream(spark, sf):
     """The stream's closed sessions, written by a finished stream and read back: all but those open at the last event."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalens-stream-")
-    out = f"{base.rstrip('/')}/debounced-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/debounced-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("t"))
     q = W.debounced(events, "user_id", "t", "30 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()

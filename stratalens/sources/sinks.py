@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import TIMESTAMP_PREFIX
+from stratalens.sources.versions import Versions
 
 
-def write_index(tables: dict[str, DataFrame], folder: str) -> None:
-    """A full rebuild: every relation anew, in place of the old one."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+def write_index(tables: dict[str, DataFrame], folder: str) -> int:
+    """A full rebuild: every relation anew, as one version that takes the old one's place when all are written."""
+    spark = next(iter(tables.values())).sparkSession
+    return Versions(spark, folder).write(tables)
 
 
-def read_index(spark: SparkSession, folder: str, names: tuple[str, ...] = ("files", "symbols", "edges")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+def read_index(spark: SparkSession, folder: str, names: tuple[str, ...] = ("files", "symbols", "edges"), version: int | None = None) -> dict[str, DataFrame]:
+    """The relations of one version, the current one by default; a rebuild under way doesn't mix with them."""
+    v = Versions(spark, folder)
+    pinned = v.manifest(version)
+    return {n: v.read(n, pinned) for n in names}
 
 
 def append_ledger(rows: DataFrame, folder: str | None) -> None:
