@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: The partition column whose values can be replaced one by one.
+BUCKET = "bucket"
+
+
 def digest(df: DataFrame):
     """Rows and a digest that no order of rows changes."""
     return F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest")
@@ -41,7 +45,7 @@ def digest(df: DataFrame):
 @dataclass(frozen=True)
 class Manifest:
     version: int
-    relations: dict  # name -> {"schema": json, "partitions": [...], "parts": [{"part", "rows", "digest"}]}
+    relations: dict  # name -> {"schema": json, "partitions": [...], "parts": [{"part", "rows", "digest"[, "buckets"]}]}
 
 
 class Versions:
@@ -89,26 +93,38 @@ class Versions:
 
     # ---- writing
 
-    def write(self, tables: dict[str, DataFrame], append: bool = False, partitions: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ()) -> int:
+    def write(self, tables: dict[str, DataFrame], append: bool = False, partitions: dict[str, list[str]] | None = None, replace: dict[str, list[int]] | None = None) -> int:
         """A new version with these relations; with append they come on top of the current ones, else in place of all.
 
-        keep names relations that stay as they are without append. The digests are read back from what was written.
+        With replace, the new rows of a relation partitioned by BUCKET take the place of these of its buckets. Row counts
+        and digests are read back from what was written.
         """
         now = self.manifest()
         number = now.version + 1 if now else 1
-        old = now.relations if now else {}
-        relations = dict(old) if append else {k: old[k] for k in keep}
+        relations = json.loads(json.dumps(now.relations)) if now and append else {}
         part = f"{number:08}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            by = (partitions or {}).get(name, old.get(name, {}).get("partitions", []))
+            of = relations.get(name, {"parts": []})
+            by = (partitions or {}).get(name, of.get("partitions", []))
             path = f"{self.folder}/{name}/part={part}"
             df.write.partitionBy(*by).option("parquet.writer.version", "PARQUET_2_0").parquet(path)
-            rows, mark = self.spark.read.schema(df.schema).parquet(path).agg(*digest(df)).first()
-            before = relations[name]["parts"] if append and name in relations else []
-            relations[name] = {"schema": df.schema.json(), "partitions": by, "parts": [*before, {"part": part, "rows": rows, "digest": mark}]}
+            new = self._measured(self.spark.read.schema(df.schema).parquet(path), part, by)
+            gone = {str(b) for b in (replace or {}).get(name, [])}
+            for p in of["parts"] if gone else []:
+                p["buckets"] = {b: m for b, m in p["buckets"].items() if b not in gone}
+                p["whole"] = False
+            relations[name] = {"schema": df.schema.json(), "partitions": by, "parts": [*(p for p in of["parts"] if p.get("buckets") != {}), new]}
         self._publish(Manifest(number, relations))
         return number
 
+    @staticmethod
+    def _measured(df: DataFrame, part: str, by: list[str]) -> dict:
+        if by != [BUCKET]:
+            rows, mark = df.agg(*digest(df)).first()
+            return {"part": part, "rows": rows, "digest": mark}
+        got = df.groupBy(BUCKET).agg(*digest(df)).collect()  # a row a bucket
+        return {"part": part, "whole": True, "buckets": {str(r[BUCKET]): [r["rows"], r["digest"]] for r in got}, "rows": sum(r["rows"] for r in got)}
+
     # ---- reading
 
     def read(self, name: str, manifest: Manifest | None = None, with_part: bool = False) -> DataFrame:
@@ -117,18 +133,22 @@ class Versions:
         if m is None or name not in m.relations:
             raise FileNotFoundError(f"{self.folder} has no relation {name}")
         of = m.relations[name]
-        schema = StructType.fromJson(json.loads(of["schema"]))
-        base = f"{self.folder}/{name}"
-        df = self.spark.read.option("basePath", base).schema(StructType([*schema.fields]).add("part", "string")).parquet(*(f"{base}/part={p['part']}" for p in of["parts"]))
+        schema, base = StructType.fromJson(json.loads(of["schema"])), f"{self.folder}/{name}"
+        full, roots = StructType([*schema.fields]).add("part", "string"), []
+        for p in of["parts"]:
+            root = f"{base}/part={p['part']}"
+            roots += [root] if p.get("whole", True) else [f"{root}/{BUCKET}={b}" for b in p["buckets"]]
+        df = self.spark.read.option("basePath", base).schema(full).parquet(*roots) if roots else self.spark.createDataFrame([], full)
         return df.select(*schema.names, *(["part"] if with_part else []))
 
     def verified(self, manifest: Manifest | None = None) -> bool:
-        """Whether every part still has the rows and the digest of its manifest."""
+        """Whether every part still has the rows and the digests of its manifest."""
         m = manifest or self.manifest()
-        for name in m.relations if m else ():
-            parts = self.read(name, m, with_part=True)
-            got = {r["part"]: (r["rows"], r["digest"]) for r in parts.groupBy("part").agg(*digest(parts.drop("part"))).collect()}
-            if any(got.get(p["part"], (0, 0)) != (p["rows"], p["digest"]) for p in m.relations[name]["parts"]):
+        for name, of in m.relations.items() if m else ():
+            df, keys = self.read(name, m, with_part=True), ["part", *(of["partitions"] if of["partitions"] == [BUCKET] else [])]
+            got = {tuple(str(r[k]) for k in keys): [r["rows"], r["digest"]] for r in df.groupBy(*keys).agg(*digest(df.drop("part"))).collect()}
+            want = {(p["part"], b): m for p in of["parts"] if "buckets" in p for b, m in p["buckets"].items()} | {(p["part"],): [p["rows"], p["digest"]] for p in of["parts"] if "buckets" not in p and p["rows"]}
+            if got != want:
                 return False
         return True
 
