@@ -15,7 +15,6 @@ No row is per pair of terms, and the pairs of groups are the result itself. The
 from __future__ import annotations
 
 import heapq
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,20 +32,19 @@ MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 TERMS, GROUPS, CELLS, HELD = 4096, 48, 1 << 20, 1 << 19
 #: A longer text is read in pieces that end between terms.
 PIECE = 1 << 20
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TERM, _GAP = re.compile(TERM), re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+#: Bytes of UTF-8: letters in lower case, anything else below 0x80 a space.
+_BYTES = bytes(i if i >= 128 or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256))
 PARTIALS = "lang string, source string, term string, n bigint, docs bigint"
 TILES = "lang string, source string, part string, item string, value bigint"
 
 
-def terms_of(text: str) -> Iterator[list[str]]:
-    """The terms of a text, some at a time."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + PIECE) if len(text) - at > PIECE else None
-        end = gap.start() if gap else len(text)
-        piece = text[at:end]
-        yield _TERM.findall(piece.lower() if piece.isascii() else piece.translate(_LOWER))
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, some at a time."""
+    plain, at = text.translate(_BYTES), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + PIECE) if len(plain) - at > PIECE else -1
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
         at = end
 
 
@@ -63,7 +61,7 @@ def _partials(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, docs, seen = defaultdict(Counter), defaultdict(Counter), 0
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i) for i in range(3))):
+            for lang, source, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())):
                 key, own = (lang.as_py(), source.as_py()), set()
                 before = len(n[key])
                 for terms in terms_of(text.as_py()):
