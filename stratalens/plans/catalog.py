@@ -499,4 +499,27 @@ def debounce_stream(spark, sf):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
+@query("""SELECT user_id::VARCHAR AS path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, 1::INT AS attempt FROM events GROUP BY 1""")
+def debounce_timers(spark, sf):
+    """A stream by timers whose first update fails: every user comes out once, at the second attempt, with no further event."""
+    folder, first = f"{shared_dir(spark)}/timers-{uuid.uuid4().hex}", []
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+
+    def update(batch: DataFrame, epoch: int) -> None:
+        if not first:
+            first.append(epoch)
+            raise RuntimeError("the first update fails")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("user_id").alias("path"), "ts")
+    total = spark.read.parquet(f"{sf}/events.parquet").count()
+    out = lambda: spark.read.schema(W.CHANGED).parquet(f"{folder}/out")
+    q = W.follow(events, update, folder)
+    try:
+        W.wait_for(q, lambda: W.exists(spark, f"{folder}/out") and (out().agg(F.sum("n")).first()[0] or 0) >= total)
+    finally:
+        q.stop()
+    return out().drop("epoch").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
 __all__ = ["ORACLES", "QUERIES", "Window"]

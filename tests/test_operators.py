@@ -8,7 +8,6 @@ from stratalens.operators import measure as A
 from stratalens.operators import render as R
 from stratalens.operators import search as X
 from stratalens.operators import transcript as C
-from stratalens.streaming.watch import Debouncer
 
 SYM, EDG = "path string, name string, kind string, line bigint", "from_path string, from_name string, to_name string, kind string, line bigint, to_path string"
 
@@ -125,14 +124,3 @@ def test_unique_names(spark):
     rows = [("p", i, n, i) for i, n in enumerate(["Foo", "Foo #2", "Foo", "Foo", ""])]
     got = R.unique_names(spark.createDataFrame(rows, "path string, idx int, label string, line bigint")).orderBy("idx").collect()
     assert [r["name"] for r in got] == ["Foo", "Foo #2", "Foo #3", "Foo #4", "section-4"]
-
-
-def test_debounce_on_a_given_clock():
-    out = []
-    d = Debouncer(1.0, out.append)
-    d.submit("a", 0.0), d.submit("a", 0.3), d.flush(0.5)
-    assert out == []
-    d.flush(1.4)
-    assert out == ["a"]
-    d.submit("a", 2.0), d.submit("b", 2.6), d.flush(3.1), d.flush(3.7)
-    assert out == ["a", "a", "b"]
