@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from stratalens.plans import agents, catalog  # agents adds its queries to the catalog
+from stratalens.plans import agents, catalog, wires  # these add their queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -23,7 +23,7 @@ def test_stream_gives_the_closed_sessions(spark, sf):
 
 
 def test_all_queries_are_compared():
-    assert {agents.turn_actions.__name__, agents.loop_calls.__name__} <= set(catalog.ORACLES)
+    assert {agents.turn_actions.__name__, wires.events_chat.__name__} <= set(catalog.ORACLES)
 
 
 def test_entry(spark):
