@@ -41,6 +41,11 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def split_lines(text: Column) -> Column:
+    """The lines as splitlines() gives them: at every kind of break, no empty one after the last."""
+    return let(F.split(text, LINE_BREAK, -1), lambda x: F.when(text == "", F.array().cast("array<string>")).when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+
+
 def redact(text: Column, opaque: bool = True) -> Column:
     """Secret-shaped parts become <redacted>; opaque=False spares long blobs, for prose. Null stays null."""
     out = F.regexp_replace(text, "(?U)" + "|".join(SECRET_SHAPES), REDACTED)

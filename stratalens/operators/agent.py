@@ -54,11 +54,6 @@ def terminal(wire: Column, text: Column) -> Column:
     return F.when(wire == "messages", F.to_json(blocks)).when(wire == "chat", F.to_json(chat)).when(wire == "responses", F.to_json(items))
 
 
-def lines_of(text: Column) -> Column:
-    """The lines as splitlines() gives them."""
-    return T.let(F.split(text, T.LINE_BREAK, -1), lambda x: F.when(text == "", F.array().cast("array<string>")).when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
-
-
 def region(label: Column, text: Column, start: Column, end: Column, cap: int = T.READ_CAP) -> Column:
     """Lines start..end under a title that names them; at most cap lines, with a notice of what is cut."""
     first = F.greatest(start, F.lit(1)).cast("int")
@@ -73,7 +68,7 @@ def region(label: Column, text: Column, start: Column, end: Column, cap: int = T
         past = F.concat(F.lit("(L"), first.cast("string"), F.lit(" is past end of file — "), n.cast("string"), F.lit(" lines)"))
         return F.when(n == 0, F.concat(F.lit("("), label, F.lit(" is empty)"))).when(first > n, past).otherwise(F.concat(body, more))
 
-    return T.let(lines_of(text), shown)
+    return T.let(T.split_lines(text), shown)
 
 
 def read_symbols(asked: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:

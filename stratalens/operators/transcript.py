@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.functions.text import let
+from stratalens.functions.text import let, split_lines
 
 # Tool names and keys that hosts use, and the shapes of their search and listing results.
 READ_TOOLS = ("read", "read_file", "view", "cat")
@@ -60,12 +60,6 @@ def fresh(results: DataFrame, keep: int) -> DataFrame:
     return results.withColumn("is_fresh", F.row_number().over(w) <= keep)
 
 
-def _lines(text: Column) -> Column:
-    """splitlines(): no empty line after a last line feed."""
-    x = F.split(text, "\r\n|\n|\r", -1)
-    return F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
-
-
 def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
     """A search result in fewer lines: hits by file, capped; null where most lines are no hits.
 
@@ -94,11 +88,11 @@ def bound_grep(text: Column, per_file: int = 8, max_files: int = 40) -> Column:
         return F.when((n == 0) | (n < F.floor(F.greatest(other, F.lit(1)) / 2)), None).otherwise(F.array_join(F.concat(F.array(first), body, tail), "\n"))
 
     of_rows = lambda rows: let(F.filter(rows, lambda h: h["n"] != ""), lambda hits: let(F.array_distinct(F.transform(hits, lambda h: h["p"])), lambda files: shown(rows, hits, files)))
-    return let(F.transform(_lines(text), parsed), of_rows)
+    return let(F.transform(split_lines(text), parsed), of_rows)
 
 
 def listing_paths(text: Column) -> Column:
-    raw = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    raw = F.filter(F.transform(split_lines(text), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(raw, lambda x: ~x.rlike(LS_LONG) & x.rlike(PATHISH) & x.rlike("[./\\\\]"))
 
 
@@ -107,7 +101,7 @@ def bound_listings(results: DataFrame, centrality: DataFrame, cap: int = 60) ->
 
     Results of which most lines are no paths give no row. The header counts all paths but only the folders shown.
     """
-    raw = F.size(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""))
+    raw = F.size(F.filter(split_lines(F.col("text")), lambda x: F.trim(x) != ""))
     p = results.select("rid", raw.alias("raw"), listing_paths(F.col("text")).alias("paths"))
     ok = p.where((F.size("paths") > 0) & (F.size("paths") >= F.floor(F.greatest("raw", F.lit(1)) / 2)))
     rows = ok.select("rid", F.size("paths").alias("n"), F.posexplode("paths").alias("pos", "path")).join(centrality, "path", "left").withColumn("c", F.coalesce("called_by", F.lit(0).cast("bigint")))

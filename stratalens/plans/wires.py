@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.text import let
 from stratalens.operators import bodies as B
-from stratalens.plans import model
+from stratalens.operators import replay as Y
+from stratalens.plans import catalog, model
 from stratalens.plans.catalog import query
 
 TOOLS = [{"name": "index_read", "description": "a summary", "schema": '{"type":"object"}'}, {"name": "index_search", "description": "hits", "schema": '{"type":"object"}'}]
@@ -152,3 +153,43 @@ _ITEMS = [
 @query(_event_sql([(f"response.{n}", f'{{{before},"sequence_number":{i},{after}"type":"response.{n}"}}') for i, (n, (before, after)) in enumerate(_ITEMS)]))
 def events_responses(spark, sf):
     return _events(spark, sf, B.RESPONSES)
+
+
+# --- histories replayed ---
+
+_REPLAY = f"""WITH {model.SQL}, {catalog.CALLS}, b AS ({catalog.ORACLES['bound_grep']}), shown AS (SELECT doc_id::VARCHAR AS path, (SELECT string_agg('f' || (k % 3) || ':' || k || ':' || l, chr(10) ORDER BY k) FROM (SELECT unnest(string_split(d.text, chr(10))) AS l, generate_subscripts(string_split(d.text, chr(10)), 1) AS k)) AS t, bounded FROM documents d JOIN b USING (doc_id)),
+r AS (SELECT c.conv_id, c.turn, c.id, coalesce(s.t, '') AS t, s.bounded FROM calls c LEFT JOIN shown s USING (path)),
+k AS (SELECT r.conv_id, h.turn AS step, r.turn, any_value(r.t) AS t, any_value(r.bounded) AS bounded, CASE WHEN count(DISTINCT c.name) = 1 THEN min(c.name) ELSE '' END AS name, arg_max(c.path, c.turn) FILTER (c.name = 'Read') AS path
+  FROM r JOIN calls h ON h.conv_id = r.conv_id AND r.turn <= h.turn JOIN calls c ON c.conv_id = r.conv_id AND c.id = r.id AND c.turn <= h.turn GROUP BY ALL),
+g AS (SELECT k.*, length(t) AS raw, f.path IS NOT NULL AS gated, name = 'grep' AND length(t) >= 1500 AS bound, CASE WHEN f.path IS NOT NULL THEN length('sum ' || f.path) END AS gl, CASE WHEN name = 'grep' AND length(t) >= 1500 THEN length('⟪bounded:grep⟫' || chr(10) || bounded) END AS bl
+  FROM k LEFT JOIN (SELECT path::VARCHAR AS path FROM files WHERE line_count > 5) f USING (path)),
+m AS (SELECT g.conv_id, step, gated, bound, greatest(1, (n + raw) // 4) AS raw, greatest(1, (n + coalesce(bl, raw)) // 4) AS b, greatest(1, (n + coalesce(gl, raw)) // 4) AS ga, greatest(1, (n + coalesce(gl, bl, raw)) // 4) AS gb
+  FROM g JOIN (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations) USING (conv_id, turn)),
+h AS (SELECT conv_id, 10 + 5 + greatest(1, (conv_id % 7 + 2) // 4) AS plain, 10 + 5 + CASE WHEN conv_id % 3 = 0 THEN greatest(1, (conv_id % 7 + 2) // 4) ELSE greatest(1, (conv_id % 7 + 2 + {Y.MARK_CHARS}) // 4) END AS cached FROM (SELECT DISTINCT conv_id FROM conversations)),
+billed AS (SELECT conv_id AS task, step, (sum(raw) + any_value(plain))::BIGINT AS raw, (sum(b) + any_value(plain))::BIGINT AS bound, (sum(ga) + any_value(plain))::BIGINT AS gate, (sum(gb) + any_value(plain))::BIGINT AS gate_bound, (sum(gb) + any_value(cached))::BIGINT AS gate_bound_cache, bool_or(gated) AS gated, bool_or(bound) AS bounded FROM m JOIN h USING (conv_id) GROUP BY conv_id, step)"""
+
+
+def _billed(spark, sf) -> DataFrame:
+    c = model.read(spark, sf, "conversations")
+    calls = catalog._calls(spark, sf).select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.lit(0).alias("idx"), "id", "name", F.col("input")["path"].alias("path"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("f"), F.pmod(i + 1, F.lit(3)).cast("string"), F.lit(":"), (i + 1).cast("string"), F.lit(":"), x))
+    shown = model.files(spark, sf).select(F.col("path").cast("string").alias("path"), F.array_join(lines, "\n").alias("text"))
+    results = calls.join(shown, "path", "left").select("task", "step", "idx", "id", "text")
+    path = F.col("path").cast("string")
+    summaries = model.files(spark, sf).where("line_count > 5").select(path.alias("path"), F.concat(F.lit("sum "), path).alias("summary"))
+    none = spark.createDataFrame([], "path string, called_by bigint")
+    steps = c.select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    task = F.col("conv_id")
+    heads = c.select("conv_id").distinct().select(task.alias("task"), F.lit(40).alias("system_chars"), F.array(F.lit(20), (task % 7 + 2).cast("int")).alias("tool_chars"), (task % 3 == 0).alias("marked"))
+    return Y.replayed(steps, Y.result_states(results, calls, summaries, none), heads)
+
+
+@query(_REPLAY + " SELECT * FROM billed")
+def replay_billed(spark, sf):
+    """What every step of every conversation bills under raw, bound, gate, gate + bound and with marks."""
+    return _billed(spark, sf)
+
+
+@query(_REPLAY + ", s AS (SELECT task, count(*) AS n_turns, count(*) FILTER (gated) AS gated_turns, count(*) FILTER (bounded) AS bounded_turns, " + ", ".join(f"sum({v})::BIGINT AS {v}" for v in Y.VARIANTS) + " FROM billed GROUP BY 1) SELECT *, " + ", ".join(f"round(100.0::DOUBLE * (raw - {v}) / raw, 2) AS {v}_cut" for v in Y.VARIANTS) + " FROM s")
+def replay_totals(spark, sf):
+    return Y.totals(_billed(spark, sf))
