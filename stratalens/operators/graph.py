@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,72 @@ def shared_names(names: DataFrame, tokens_of, least: int = 2) -> DataFrame:
     return pairs.where(F.col("shared") >= least)
 
 
+def name_classes(names: DataFrame, tokens_of) -> DataFrame:
+    """(name, class, tokens): names with equal tokens are one class, known by the least of them; each name once.
+
+    tokens are in the order of their frequency among classes, rarest first, ties by the token.
+    """
+    t = names.select("name", F.array_sort(F.array_distinct(tokens_of(F.col("name")))).alias("set")).distinct()
+    classes = t.groupBy("set").agg(F.min("name").alias("class"))
+    n = classes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    placed = classes.select("class", F.explode("set").alias("token")).join(n, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
+    ordered = classes.join(placed, "class", "left").select("set", "class", F.coalesce(F.transform("o", lambda x: x["token"]), F.array().cast("array<string>")).alias("tokens"))
+    return t.join(ordered, "set").select("name", "class", "tokens")
+
+
+#: Sets of more tokens are counted by joins, not by their subsets.
+SUBSET_TOKENS = 10
+
+
+def name_links(classes: DataFrame, least: int = 2, most_tokens: int = SUBSET_TOKENS) -> DataFrame:
+    """(name, class, n_links): with how many other names a name shares `least` tokens or more. No pair of names is a row.
+
+    A class of m tokens reads from its subsets how many names share any `least` of them: with N(T) names that have all of T,
+    the sum over its subsets T of k >= least tokens of (-1)^(k - least) * C(k - 1, least - 1) * N(T). Rows are names times
+    subsets. Classes of more than most_tokens tokens meet the others by single tokens, and are counted as they are.
+    """
+    sizes = classes.groupBy("class", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    short, long = sizes.where(F.size("tokens") <= most_tokens), sizes.where(F.size("tokens") > most_tokens)
+    bits = F.sequence(F.lit(1), F.greatest(F.pow(F.lit(2), F.size("tokens")).cast("int") - 1, F.lit(1)))
+    chosen = F.filter(bits, lambda b: (F.bit_count(b) >= least) & (b < F.pow(F.lit(2), F.size("tokens"))))
+    # the subset in an order that all classes share
+    of = F.transform(chosen, lambda b: F.array_sort(F.filter("tokens", lambda _, i: F.getbit(b, i) == 1)))
+    subsets = short.select("class", "n", F.explode(of).alias("t"))
+    held = subsets.groupBy("t").agg(F.sum("n").alias("held"))
+    binom = functools.reduce(lambda a, j: a * (F.size("t") - j) / j, range(1, least), F.lit(1.0)) if least > 1 else F.lit(1.0)
+    sign = F.when((F.size("t") - least) % 2 == 0, 1).otherwise(-1)
+    by_subsets = subsets.join(held, "t").groupBy("class").agg(F.sum(sign * F.round(binom).cast("bigint") * F.col("held")).alias("met"))
+    # long ones: pairs of a long class and any class under their first common token
+    x, y = long.select(F.col("class").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), sizes.select(F.col("class").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    met = x.withColumn("k", F.explode("ta")).join(y.withColumn("k", F.explode("tb")), "k")
+    met = met.where((F.size(F.array_intersect("ta", "tb")) >= least) & (F.get(F.array_intersect("ta", "tb"), F.lit(0)) == F.col("k")))
+    short_b = F.size("tb") <= most_tokens
+    by_joins = met.select(F.col("a").alias("class"), F.col("nb").alias("met")).union(met.where(short_b).select(F.col("b").alias("class"), F.col("na").alias("met"))).groupBy("class").agg(F.sum("met").alias("met"))
+    total = by_subsets.union(by_joins).groupBy("class").agg(F.sum("met").alias("met"))
+    own = F.when(F.size("tokens") >= least, 1).otherwise(0)  # a name meets itself
+    return classes.join(total, "class", "left").select("name", "class", (F.coalesce("met", F.lit(0)) - own).cast("bigint").alias("n_links"))
+
+
+def class_pairs(classes: DataFrame, least: int = 2, block: int = 1024) -> DataFrame:
+    """(a, b, shared): the pairs of classes that share `least` tokens or more, each once, a < b.
+
+    Two such classes share one of the tokens before their last least - 1 ones, in the order of frequency, so the most
+    frequent tokens of a class bring no candidates; a candidate's first common token must leave room for the others
+    behind it. A token's classes are dealt to blocks, so a very frequent one is many tasks.
+    """
+    c = classes.select("class", "tokens").distinct().where(F.size("tokens") >= least)
+    prefix = F.slice("tokens", 1, F.size("tokens") - (least - 1))
+    k = c.select("class", "tokens", F.posexplode(prefix).alias("at", "k"))
+    blocks = k.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    k = k.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    x = k.select("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("a"), F.col("tokens").alias("ta"), F.col("at").alias("i"))
+    y = k.select("k", F.col("own").alias("block"), F.col("class").alias("b"), F.col("tokens").alias("tb"), F.col("at").alias("j"))
+    room = F.least(F.size("ta") - F.col("i"), F.size("tb") - F.col("j")) >= least  # the token itself and those behind it
+    met = x.join(y, ["k", "block"]).where((F.col("a") < F.col("b")) & room)
+    both = F.array_intersect("ta", "tb")
+    return met.where(F.get(both, F.lit(0)) == F.col("k")).select("a", "b", F.size(both).cast("bigint").alias("shared")).where(F.col("shared") >= least)
+
+
 def stats(files: DataFrame, symbols: DataFrame, resolved: DataFrame, sidecars: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     parts = [files.agg(n.alias("files")), symbols.agg(n.alias("symbols")), resolved.agg(n.alias("edges"), F.count("to_path").alias("resolved_edges")), sidecars.agg(n.alias("sidecars"))]

@@ -7,13 +7,12 @@ sorted by turn, and the fold runs over them as they stream by: a task holds one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from stratalens.operators.agent import MAX_INNER_TURNS
+from stratalens.operators.fold import folded
 from stratalens.operators.transcript import READ_TOOLS, VIRTUAL_PREFIX, asked_path
 
 FINAL, FORWARD, ANSWER, TERMINAL = "final", "forward", "answer", "terminal"
@@ -78,25 +77,22 @@ def gate_loop(turns: DataFrame, calls: DataFrame, files: DataFrame, summarized:
     before = summarized.select("conv_id", F.col("path").cast("string").alias("path")).distinct()
     rows = of_turns.unionByName(before.select("conv_id", F.lit(None).cast(of_turns.schema["turn"].dataType).alias("turn"), F.array("path").alias("reads")), allowMissingColumns=True)
     rows = rows.select("conv_id", "turn", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_host", F.lit(0)).alias("n_host"), F.coalesce("reads", F.array().cast("array<string>")).alias("reads"))
-    kinds = dict(rows.dtypes)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gate, of = None, None
-        for b in batches:
-            out = []
-            for conv, turn, n_calls, n_host, reads in zip(*(c.to_pylist() for c in b.columns)):
-                if gate is None or conv != of:
-                    gate, of = Gate(most, remember), conv
-                if turn is None:
-                    gate.give(reads)
-                else:
-                    out.append((conv, turn, n_calls, *gate.turn(n_calls, n_host, reads)))
-            types = (b.schema.field(0).type, b.schema.field(1).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["conv_id", "turn", "n_calls", "inner", "action", "gated"])
-
-    in_order = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"))
-    return in_order.mapInArrow(fold, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, n_calls bigint, inner bigint, action string, gated array<string>")
+    out = StructType().add("conv_id", rows.schema["conv_id"].dataType).add("turn", rows.schema["turn"].dataType)
+    out = out.add("n_calls", LongType()).add("inner", LongType()).add("action", StringType()).add("gated", ArrayType(StringType()))
+
+    def start():
+        gate = Gate(most, remember)
+
+        def row(r):
+            conv, turn, n_calls, n_host, reads = r
+            if turn is None:
+                gate.give(reads)
+                return []
+            return [(conv, turn, n_calls, *gate.turn(n_calls, n_host, reads))]
+
+        return row
+
+    return folded(rows, "conv_id", [F.asc_nulls_first("turn")], start, out)
 
 
 def loop_calls(calls: DataFrame, files: DataFrame, loop: DataFrame, threshold: int) -> DataFrame:

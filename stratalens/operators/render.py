@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from stratalens.functions.text import TIMESTAMP_PREFIX, anchor, dotted, heading_label, heading_level, leaf
+from stratalens.operators.fold import folded
 
 MAX_DEPS, MAX_CALLS, MAX_CALLERS = 10, 15, 5
 PROSE = ("markdown", "pdf", "docx")
 
 
+class _Spans:
+    """Headings from the last to the first: the stack holds those that can still end a section, deepest on top."""
+
+    def __init__(self):
+        self.stack = []
+
+    def __call__(self, row):
+        path, idx, level, label, line, total = row
+        while self.stack and self.stack[-1][0] > level:
+            self.stack.pop()
+        end = max(line, self.stack[-1][1] - 1) if self.stack else total
+        self.stack.append((level, line))
+        return [(path, idx, level, label, line, end)]
+
+
 def section_ends(heads: DataFrame, total: Column) -> DataFrame:
     """heads (path, idx, level, label, line) with end_line: the line before the next heading of no deeper level.
 
-    The headings of one document meet in one array, and every span is found by a filter over it.
+    One fold from the last heading to the first, linear in their number; equal levels end each other.
     """
-    rows = heads.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "label", "line"))).alias("h"), F.max(total).alias("total"))
-    end = lambda x, h: F.coalesce(F.greatest(x["line"], F.get(F.filter(h, lambda y: (y["idx"] > x["idx"]) & (y["level"] <= x["level"])), F.lit(0))["line"] - 1), F.col("total"))
-    out = F.transform("h", lambda x: F.struct(x["idx"], x["level"], x["label"], x["line"], end(x, F.col("h")).alias("end_line")))
-    return rows.select("path", F.inline(out))
+    rows = heads.select("path", "idx", "level", "label", "line", total.alias("total"))
+    schema = StructType([*rows.schema.fields[:5]]).add("end_line", rows.schema["total"].dataType)
+    return folded(rows, "path", [F.desc("idx")], _Spans, schema)
 
 
 def outline(heads: Column) -> Column:
@@ -31,27 +47,27 @@ def next_end(line: Column, following: Column, total: Column) -> Column:
     return F.coalesce(F.greatest(line, following - 1), total)
 
 
-def unique_names(sections: DataFrame) -> DataFrame:
-    """(path, idx, name): the label, or 'label #k' with the least k that no earlier section of the document took.
+class _Names:
+    """The names that a document's sections have taken, and the ordinal from which each label looks for the next."""
 
-    k is the ordinal among equal labels. Only where a label itself reads like a numbered one of its document are the
-    sections named one after the other.
-    """
+    def __init__(self):
+        self.taken, self.next = set(), {}
+
+    def __call__(self, row):
+        path, idx, base = row
+        name, k = base, self.next.get(base, 2)
+        while name in self.taken:  # ordinals are never free again, so the search goes on where it ended
+            name, k = f"{base} #{k}", k + 1
+        self.taken.add(name)
+        self.next[base] = k
+        return [(path, idx, name)]
+
+
+def unique_names(sections: DataFrame) -> DataFrame:
+    """(path, idx, name): the label, or 'label #k' with the least k that no earlier section of the document took."""
     base = F.when(F.col("label") == "", F.concat(F.lit("section-"), F.col("line").cast("string"))).otherwise(F.col("label"))
     rows = sections.select("path", "idx", base.alias("base"))
-    k = F.row_number().over(Window.partitionBy("path", "base").orderBy("idx"))
-    numbered = rows.select("path", "idx", "base", k.alias("k"), F.regexp_extract("base", "^(.*) #[0-9]+$", 1).alias("stem"))
-    alike = numbered.where("stem <> ''").select("path", F.col("stem").alias("base")).join(numbered.where("k > 1").select("path", "base"), ["path", "base"], "left_semi").select("path").distinct()
-    plain = numbered.join(alike, "path", "left_anti").select("path", "idx", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" #"), F.col("k").cast("string"))).alias("name"))
-
-    def add(acc, x):
-        tries = F.concat(F.array(x), F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(x, F.lit(" #"), k.cast("string"))))
-        return F.concat(acc, F.array(F.get(F.filter(tries, lambda t: ~F.array_contains(acc, t)), F.lit(0))))
-
-    held = numbered.join(alike, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "base"))).alias("h"))
-    names = F.aggregate(F.transform("h", lambda x: x["base"]), F.array().cast("array<string>"), add)
-    named = held.select("path", F.posexplode(F.arrays_zip(F.col("h"), names.alias("names"))).alias("i", "z"))
-    return plain.union(named.select("path", F.col("z.h.idx").alias("idx"), F.col("z.names").alias("name")))
+    return folded(rows, "path", ["idx"], _Names, StructType([*rows.schema.fields[:2]]).add("name", StringType()))
 
 
 def toc(files: DataFrame, sections: DataFrame) -> DataFrame:

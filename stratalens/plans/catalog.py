@@ -152,6 +152,30 @@ def name_overlap(spark, sf):
     return G.shared_names(model.read(spark, sf, "part").select(name.alias("name")), T.name_tokens)
 
 
+NAMES = """nm AS (SELECT DISTINCT replace(p_name, ' ', '_') || '-' || p_brand || '_' || p_type || '.py' AS name FROM part),
+ts AS (SELECT name, list_sort(list_distinct(list_filter(string_split_regex(split_part(name, '.', 1), '[_\\-.]+'), lambda x: length(x) >= 3))) AS s FROM nm),
+cl AS (SELECT name, min(name) OVER (PARTITION BY s) AS class, s FROM ts)"""
+
+
+def _name_classes(spark, sf) -> DataFrame:
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), "p_brand", F.lit("_"), "p_type", F.lit(".py"))
+    return G.name_classes(model.read(spark, sf, "part").select(name.alias("name")), T.name_tokens)
+
+
+@query(f"""WITH {NAMES}, t AS (SELECT name, unnest(s) AS t FROM ts), p AS (SELECT x.name FROM t x JOIN t y ON x.t = y.t AND x.name <> y.name GROUP BY x.name, y.name HAVING count(*) >= 2)
+SELECT cl.name, class, count(p.name) AS n_links FROM cl LEFT JOIN p ON p.name = cl.name GROUP BY 1, 2""")
+def name_links(spark, sf):
+    """How many other names share two tokens with each name, without a row for any pair."""
+    return G.name_links(_name_classes(spark, sf))
+
+
+@query(f"""WITH {NAMES}, c AS (SELECT DISTINCT class, s FROM cl), t AS (SELECT class, unnest(s) AS t FROM c)
+SELECT x.class AS a, y.class AS b, count(*) AS shared FROM t x JOIN t y ON x.t = y.t AND x.class < y.class GROUP BY 1, 2 HAVING count(*) >= 3""")
+def name_class_pairs(spark, sf):
+    """Pairs of classes with three common tokens."""
+    return G.class_pairs(_name_classes(spark, sf), 3)
+
+
 @query("""WITH MODEL SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM resolved) AS edges,
   (SELECT count(to_path) FROM resolved) AS resolved_edges, (SELECT count(*) FROM labels) AS sidecars""")
 def index_stats(spark, sf):
@@ -312,7 +336,7 @@ def _heads(spark, sf):
     return x.select("path", (F.col("i") + 1).alias("idx"), F.when(F.col("t").startswith("<h1"), 1).when(F.col("t").startswith("<h2"), 2).otherwise(3).alias("level"), F.regexp_replace("t", "<[^>]*>", "").alias("label"), (F.col("i") + 1).cast("bigint").alias("line"), "n")
 
 
-@query(f"""WITH {HEADS} SELECT h.path, h.idx, h.level, h.label, h.line, coalesce(greatest(h.line, min(o.line) - 1), h.n) AS end_line FROM hd h LEFT JOIN hd o ON o.path = h.path AND o.idx > h.idx AND o.level <= h.level GROUP BY ALL, h.n""".replace("GROUP BY ALL, h.n", "GROUP BY h.path, h.idx, h.level, h.label, h.line, h.n"))
+@query(f"""WITH {HEADS} SELECT h.path, h.idx, h.level, h.label, h.line, CASE WHEN min(o.line) IS NULL THEN h.n ELSE greatest(h.line, min(o.line) - 1) END AS end_line FROM hd h LEFT JOIN hd o ON o.path = h.path AND o.idx > h.idx AND o.level <= h.level GROUP BY ALL, h.n""".replace("GROUP BY ALL, h.n", "GROUP BY h.path, h.idx, h.level, h.label, h.line, h.n"))
 def sections_span(spark, sf):
     return R.section_ends(_heads(spark, sf), F.col("n"))
 
@@ -323,7 +347,7 @@ def section_names(spark, sf):
     return R.unique_names(_heads(spark, sf))
 
 
-@query(f"""WITH {HEADS}, e AS (SELECT h.path, h.idx, h.level, h.label, h.line, coalesce(greatest(h.line, min(o.line) - 1), h.n) AS e FROM hd h LEFT JOIN hd o ON o.path = h.path AND o.idx > h.idx AND o.level <= h.level GROUP BY h.path, h.idx, h.level, h.label, h.line, h.n),
+@query(f"""WITH {HEADS}, e AS (SELECT h.path, h.idx, h.level, h.label, h.line, CASE WHEN min(o.line) IS NULL THEN h.n ELSE greatest(h.line, min(o.line) - 1) END AS e FROM hd h LEFT JOIN hd o ON o.path = h.path AND o.idx > h.idx AND o.level <= h.level GROUP BY h.path, h.idx, h.level, h.label, h.line, h.n),
 b AS (SELECT path, string_agg(repeat('  ', level) || trim(label) || '  # L' || line || CASE WHEN e = line THEN '' ELSE '-' || e END, chr(10) ORDER BY line, idx) AS body FROM e GROUP BY 1)
 SELECT page_id AS path, '# ' || page_id || '  [html · ' || (length(html) - length(replace(html, chr(10), '')) + 1) || ' lines · sha:' || left(sha256(html), 8) || ']' || chr(10) || 'sections (L-spans include nested sub-sections):' || chr(10) || coalesce(body, '  (no headings)') AS text
 FROM pages LEFT JOIN b ON path = page_id""")
