@@ -64,9 +64,11 @@ def gated_callers(symbols: DataFrame, edges: DataFrame, stems: DataFrame, standa
     calls = edges.where("kind = 'call'").select("from_path", "to_name").distinct()
     # what a file's imports open comes first: a leaf name that very many files define and call never pairs them up
     opened = own.select("path", "name", "l", F.explode(gates).alias("gate")).join(import_keys(edges), "gate").where("from_path <> path").select("path", "name", "l", "from_path")
-    by_leaf = opened.join(calls.withColumnRenamed("to_name", "l"), ["from_path", "l"], "left_semi").select("path", "name", "from_path")
+    by_leaf = opened.join(calls.withColumnRenamed("to_name", "l"), ["from_path", "l"], "left_semi").select("path", "name", "from_path").distinct()
+    # calls of the whole name are one row each as they are; only what the leaf adds to them is new
     whole = own.where("c is not null").join(calls, F.col("name") == F.col("to_name")).where("from_path <> path").select("path", "name", "from_path")
-    return by_leaf.union(whole).distinct()
+    exact = calls.where(dotted(F.col("to_name"))).withColumnRenamed("to_name", "name")
+    return whole.unionByName(by_leaf.join(exact, ["from_path", "name"], "left_anti").select("path", "name", "from_path"))
 
 
 def impact(callers_of: DataFrame) -> DataFrame:

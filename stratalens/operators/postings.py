@@ -71,13 +71,19 @@ class Index:
         return Index(self.versions, self.versions.manifest(), self.buckets, self.splits)
 
     def _write(self, docs: DataFrame, append: bool) -> None:
-        at = docs.select("doc", F.posexplode("tokens").alias("place", "token"))
-        at = at.withColumn("bucket", bucket_of(F.col("token"), self.buckets)).withColumn("split", F.pmod(F.xxhash64("doc"), F.lit(self.splits)))
-        # dealt once, by bucket and a split of it: a token of every document is as many tasks as splits
-        posts = at.repartition(self.buckets * self.splits, "bucket", "split").groupBy("bucket", "split", "token", "doc").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        posts = posts.select("token", "doc", F.size("places").alias("n"), "places", "bucket").sortWithinPartitions("bucket", "token", "doc")
-        words = at.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
-        tables = {"postings": posts, "dictionary": words.repartitionByRange("token").sortWithinPartitions("token"), "texts": docs.select("doc", "tokens"), "gone": docs.select("doc").distinct()}
+        def postings(written):
+            at = written["texts"].select("doc", F.posexplode("tokens").alias("place", "token"))
+            at = at.withColumn("bucket", bucket_of(F.col("token"), self.buckets)).withColumn("split", F.pmod(F.xxhash64("doc"), F.lit(self.splits)))
+            # dealt once, by bucket and a split of it: a token of every document is as many tasks as splits
+            posts = at.repartition(self.buckets * self.splits, "bucket", "split").groupBy("bucket", "split", "token", "doc").agg(F.sort_array(F.collect_list("place")).alias("places"))
+            return posts.select("token", "doc", F.size("places").alias("n"), "places", "bucket").sortWithinPartitions("bucket", "token", "doc")
+
+        def dictionary(written):
+            words = written["postings"].groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
+            return words.repartitionByRange("token").sortWithinPartitions("token")
+
+        # texts are tokenised once; the others are made of what was written
+        tables = {"texts": docs.select("doc", "tokens"), "postings": postings, "dictionary": dictionary, "gone": lambda written: written["texts"].select("doc").distinct()}
         self.versions.write(tables, append=append, partitions={"postings": ["bucket"]})
 
     # ---- relations

@@ -80,16 +80,19 @@ def toc(files: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def _first(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
-    """(key, shown, n): the first values in order, at most `most`, joined; no group is ever held whole."""
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = df.select(key, value).distinct().withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", F.col(value).cast("string").alias("v"))))), lambda x: x["v"]), ", ").alias("shown"), F.count(F.lit(1)).alias("n"))
+    """(key, shown, n) of the different rows (key, value) of df: the first values in order, at most `most`, joined, and how many there are.
+
+    The limit on the rank goes before the shuffle, so a key with very many values sends each task's first ones only.
+    """
+    ranked = df.select(key, value).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("rn") <= most)
+    shown = ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(value).cast("string").alias("v")))), lambda x: x["v"]), ", ").alias("shown"))
+    return shown.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
 
 def summaries(files: DataFrame, symbols: DataFrame, resolved: DataFrame, callers_of: DataFrame, cached: DataFrame | None = None, project: tuple[str, ...] = (), stamp: Column | None = None) -> DataFrame:
     """(path, text) of each file: five grouped parts joined once by path.
 
-    symbols: path, name, kind, line[, signature, end_line]; callers_of: path, name, from_path; cached: path, sha256, summary.
+    symbols: path, name, kind, line[, signature, end_line]; callers_of: path, name, from_path, each once; cached: path, sha256, summary.
     """
     for c, kind in (("signature", "string"), ("end_line", "bigint")):
         if c not in symbols.columns:
@@ -104,8 +107,8 @@ def summaries(files: DataFrame, symbols: DataFrame, resolved: DataFrame, callers
     imports = resolved.where("kind = 'import'").select(F.col("from_path").alias("path"), "to_name").distinct()
     own = F.substring_index("to_name", ".", 1).isin(*project) if project else F.lit(False)
     flagged = imports.withColumn("own", own).withColumn("any_own", F.max("own").over(Window.partitionBy("path")))
-    deps = _first(flagged.where(F.col("own") | ~F.col("any_own")), "path", "to_name", MAX_DEPS).select("path", F.col("shown").alias("deps"))
-    calls = _first(resolved.where("kind = 'call' and to_path is not null and to_path <> from_path").select(F.col("from_path").alias("path"), "to_name"), "path", "to_name", MAX_CALLS)
+    deps = _first(flagged.where(F.col("own") | ~F.col("any_own")).select("path", "to_name"), "path", "to_name", MAX_DEPS).select("path", F.col("shown").alias("deps"))
+    calls = _first(resolved.where("kind = 'call' and to_path is not null and to_path <> from_path").select(F.col("from_path").alias("path"), "to_name").distinct(), "path", "to_name", MAX_CALLS)
     calls = calls.select("path", F.concat("shown", F.when(F.col("n") > MAX_CALLS, F.concat(F.lit(" (+"), (F.col("n") - MAX_CALLS).cast("string"), F.lit(" more)"))).otherwise("")).alias("calls"))
     per = callers_of.select(F.struct("path", "name").alias("k"), "from_path")
     lines = _first(per, "k", "from_path", MAX_CALLERS)

@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def _resolved(spark, sf) -> DataFrame:
-    return G.resolve(model.edges(spark, sf), model.symbols(spark, sf))
+    return model.resolved(spark, sf)
 
 
 # --- call graph ---
@@ -52,7 +52,7 @@ def file_graph(spark, sf):
 
 @query("WITH MODEL SELECT from_path, from_name, to_name, kind, line, to_path FROM resolved")
 def resolve_edges(spark, sf):
-    return _resolved(spark, sf).select("from_path", "from_name", "to_name", "kind", "line", "to_path")
+    return G.resolve(model.edges(spark, sf), model.symbols(spark, sf)).select("from_path", "from_name", "to_name", "kind", "line", "to_path")
 
 
 @query("WITH MODEL SELECT path, name, arg_min(kind, line) AS kind, min(line) AS line FROM emitted GROUP BY 1, 2")
@@ -70,10 +70,10 @@ def callees(spark, sf):
     return G.callees(_resolved(spark, sf))
 
 
-@query("""WITH MODEL, a AS (SELECT DISTINCT name FROM symbols), c AS (SELECT DISTINCT to_name, from_path, from_name FROM edges WHERE kind = 'call'),
-x AS (SELECT name AS symbol, from_path, from_name FROM a JOIN c ON name = to_name)
+@query("""WITH MODEL, a AS MATERIALIZED (SELECT DISTINCT name FROM symbols), c AS MATERIALIZED (SELECT DISTINCT to_name, from_path, from_name FROM edges WHERE kind = 'call'),
+x AS MATERIALIZED (SELECT name AS symbol, from_path, from_name FROM a JOIN c ON name = to_name)
 SELECT *, 'exact' AS how FROM x UNION ALL
-SELECT name, from_path, from_name, 'leaf' FROM a JOIN c ON split_part(name, '.', 2) = to_name WHERE name LIKE '%.%' AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = a.name AND x.from_path = c.from_path AND x.from_name = c.from_name)""")
+SELECT name, from_path, from_name, 'leaf' FROM (SELECT name, from_path, from_name FROM a JOIN c ON split_part(name, '.', 2) = to_name WHERE name LIKE '%.%' EXCEPT SELECT symbol, from_path, from_name FROM x)""")
 def callers_exact_and_leaf(spark, sf):
     return G.callers(model.edges(spark, sf), model.symbols(spark, sf))
 

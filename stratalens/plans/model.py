@@ -6,9 +6,14 @@ file that calls and imports). documents are files of prose. The SQL is what the
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.operators.graph import resolve
+from stratalens.sources.versions import Versions, shared_dir
+
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -27,11 +32,32 @@ def symbols_emitted(spark: SparkSession, sf: str) -> DataFrame:
     return methods.unionByName(classes).withColumn("seq", F.col("line"))
 
 
+def index(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A relation of the index (symbols, edges, resolved), which is built once in a session and then read by every query."""
+    v = Versions(spark, f"{shared_dir(spark)}/graph-{spark.sparkContext.applicationId}-{hashlib.sha256(sf.encode()).hexdigest()[:16]}")
+    if v.manifest() is None:
+        v.write({"symbols": _symbols(spark, sf), "edges": _edges(spark, sf)})
+        v.write({"resolved": resolve(v.read("edges"), v.read("symbols"))}, append=True)
+    return v.read(name)
+
+
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return symbols_emitted(spark, sf).groupBy("path", "name", "kind").agg(F.min("line").alias("line"))
+    return index(spark, sf, "symbols")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf, "edges")
+
+
+def resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf, "resolved")
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols_emitted(spark, sf).groupBy("path", "name", "kind").agg(F.min("line").alias("line"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     """(from_path, from_name, to_name, kind, line): a call under its full and its leaf name, and imports."""
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     o = _named(read(spark, sf, "orders"))

@@ -93,22 +93,25 @@ class Versions:
 
     # ---- writing
 
-    def write(self, tables: dict[str, DataFrame], append: bool = False, partitions: dict[str, list[str]] | None = None, replace: dict[str, list[int]] | None = None) -> int:
+    def write(self, tables: dict, append: bool = False, partitions: dict[str, list[str]] | None = None, replace: dict[str, list[int]] | None = None) -> int:
         """A new version with these relations; with append they come on top of the current ones, else in place of all.
 
-        With replace, the new rows of a relation partitioned by BUCKET take the place of these of its buckets. Row counts
-        and digests are read back from what was written.
+        With replace, the new rows of a relation partitioned by BUCKET take the place of these of its buckets. A table may
+        be a function of those before it as they were written. Row counts and digests are read back.
         """
         now = self.manifest()
         number = now.version + 1 if now else 1
         relations = json.loads(json.dumps(now.relations)) if now and append else {}
         part = f"{number:08}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
+        written: dict[str, DataFrame] = {}
+        for name, table in tables.items():
+            df = table(written) if callable(table) else table
             of = relations.get(name, {"parts": []})
             by = (partitions or {}).get(name, of.get("partitions", []))
             path = f"{self.folder}/{name}/part={part}"
             df.write.partitionBy(*by).option("parquet.writer.version", "PARQUET_2_0").parquet(path)
-            new = self._measured(self.spark.read.schema(df.schema).parquet(path), part, by)
+            written[name] = self.spark.read.schema(df.schema).parquet(path)
+            new = self._measured(written[name], part, by)
             gone = {str(b) for b in (replace or {}).get(name, [])}
             for p in of["parts"] if gone else []:
                 p["buckets"] = {b: m for b, m in p["buckets"].items() if b not in gone}
