@@ -267,10 +267,13 @@ def _by_join(d: DataFrame, b: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with their own columns, into which no item leaks. Rows with a null id are judged by a key of their text."""
-    key = fresh(docs, "__leak_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
-    bad = stored(find_leaks(keyed, benchmark, key, text_col, **options).select(F.col("doc_id").alias(key)).distinct(), "leaks")
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    key, more = fresh(docs, "__leak_key"), fresh(docs, "__leak_more")
+    keyed = docs.withColumns({key: F.xxhash64(F.col(text_col)), more: F.xxhash64(F.lit(1), F.col(text_col))})
+    leaking = lambda d, k: stored(find_leaks(d, benchmark, k, text_col, **options).select(F.col("doc_id").alias(k)).distinct(), "leaks")
+    # a document goes by two hashes of its text: by one alone, another's leak would take it along among very many
+    found = keyed.join(leaking(keyed, key), key, "left_semi")
+    bad = stored(found.join(leaking(found, more), more, "left_semi").select(key, more).distinct(), "leaking")
+    return keyed.join(bad, [key, more], "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -210,7 +210,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """128 bits of the row's id and text: by 64 alone, one document's lines would go for another's among very many."""
+    row = (F.col(id_col), F.col(text_col))
+    return F.struct(F.xxhash64(*row).alias("k1"), F.xxhash64(F.lit(1), *row).alias("k2"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

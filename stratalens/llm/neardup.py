@@ -181,7 +181,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = d.where("doc_id is not null")
     first = stored(_alike(star, reps.select("doc_id", "sketch"), percent), "star")
     links = stored(_confirmed(first, texts, k, percent), "links")
-    of = stored(signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep"), "class-of")
+    own = signed.select("doc_id", "n_shingles", "digest")
+    # texts without shingles have no digest: they are no key of the join
+    classed = own.where("digest is not null").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep")
+    of = stored(classed.union(own.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint"))), "class-of")
     roots = stored(components(links.union(_rows_of_one_id(of))), "roots")
     labelled = shared.select("key", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key")

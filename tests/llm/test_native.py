@@ -199,3 +199,17 @@ def test_short_lines_meet(spark):
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(600)]
     docs = spark.createDataFrame([(i, f"{t}\n{t[:11]}") for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert sum(len(r["text"]) != 12 for r in lines.dedup_lines(docs).collect()) <= 2
+
+
+def test_chat_odd_rows(spark):
+    """An empty table, repeated rows, clashing columns, null turns, very long texts: each has its defined result."""
+    schema = "pair_id bigint, is_chosen boolean, turn int, role string, text string"
+    assert chat.format_preferences(spark.createDataFrame([], schema)).count() == 0
+    long = "word " * 200_000
+    rows = [(1, True, 0, "user", "q"), (1, True, 0, "user", "q"), (1, False, 0, "user", "q"), (1, True, 1, "assistant", long), (1, False, 1, "assistant", "b"), (2, True, None, "assistant", None), (2, False, None, "assistant", "")]
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS c", "2 AS r", "3 AS n", "4 AS p")
+    out = {r["pair_id"]: r for r in chat.format_preferences(docs).collect()}
+    a = out[1]
+    assert a["n_prompt_turns"] == 1 and a["prompt"] == "<|user|>\nq<|end|>\n" and a["chosen"] == f"<|user|>\nq<|end|>\n<|assistant|>\n{long}<|end|>\n"
+    assert [a["chosen"][s["start"] : s["end"]] for s in a["chosen_spans"]] == [f"{long}<|end|>\n"] and a["usable"]
+    assert out[2]["n_prompt_turns"] == 1 and out[2]["chosen"] == "" and not out[2]["usable"] and out[2]["prompt"] == "<|assistant|>\n<|end|>\n"
