@@ -1,6 +1,6 @@
-"""Source trees as tables: a listing on the driver, reading and parsing on the executors.
+"""Source trees as tables: listing, reading and parsing on the executors.
 
-Spark's file sources skip names that begin with _ or ., and so would lose __init__.py; hence paths are listed here and
+Spark's file sources skip names that begin with _ or ., and so would lose __init__.py; hence tree.py lists the paths and
 each task opens its own. Where executors share no file system with the driver, give scan_binary() a glob instead.
 """
 
@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import excluded
+from stratalens.sources import tree
 from stratalens.sources.parsers import BINARY, LANGS, PARSERS, function_doc, parse
 
 # Folders that hold no sources of the project, and suffixes that are known but not parsed.
-EXCLUDES = ("/__pycache__/", "/.git/", "/.venv/", "/venv/", "/node_modules/", "/.next/", "/dist/", "/build/", "/.ruff_cache/", "/.pytest_cache/", "/.mypy_cache/")
-SKIP_DIRS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".next", ".git", ".ruff_cache", ".pytest_cache", ".mypy_cache", "target")
+EXCLUDES = ("/__pycache__/", "/.git/", "/.venv/", "/venv/", "/node_modules/", "/.next/", "/dist/", "/build/", "/.ruff_cache/", "/.pytest_cache/", "/.mypy_cache/", "/.claude/")
+SKIP_DIRS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".next", ".git", ".ruff_cache", ".claude", ".pytest_cache", ".mypy_cache", "target")
 UNPARSED = (".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".cs", ".lua", ".dart", ".ex", ".exs", ".clj", ".m")
 SIDECAR = ".key.md"
 
@@ -40,16 +41,9 @@ def project_root(variable: str | None = None) -> str:
     return os.path.realpath(os.getcwd())
 
 
-def listing(roots: Iterable[str], excludes: Iterable[str] = EXCLUDES) -> list[str]:
-    """Canonical paths of all files under the roots, each once; a path that contains one of excludes is left out."""
-    out, excludes = {}, tuple(excludes)
-    for root in roots:
-        for folder, dirs, names in os.walk(root):
-            dirs[:] = sorted(d for d in dirs if not any(x in f"{folder}/{d}/" for x in excludes))
-            for n in sorted(names):
-                if not any(x in f"{folder}/{n}" for x in excludes):
-                    out[os.path.realpath(os.path.join(folder, n))] = None
-    return list(out)
+def excludes(variable: str | None = None) -> tuple[str, ...]:
+    """The default exclusions, and those that a variable lists, colon-separated."""
+    return EXCLUDES + tuple(x.strip() for x in os.environ.get(variable or "", "").split(":") if x.strip())
 
 
 def index_roots(root: str, variable: str | None = None) -> list[str]:
@@ -80,10 +74,9 @@ def parsed_suffix(path: Column) -> Column:
     return path.rlike("(?:" + "|".join(k.replace(".", "\\.") for k in (*PARSERS, *BINARY)) + ")$")
 
 
-def paths(spark: SparkSession, roots: Iterable[str], files_per_task: int = 200) -> DataFrame:
-    found = listing(roots)
-    df = spark.createDataFrame([(p,) for p in found], "path string")
-    return df.repartition(max(1, -(-len(found) // files_per_task)))
+def paths(spark: SparkSession, roots: Iterable[str], variable: str | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
+    """(path) of the files under the roots, listed on the executors; variable names further exclusions."""
+    return tree.dealt(tree.files(spark, roots, excludes(variable), suffixes))
 
 
 def relevant(path: Column) -> Column:
