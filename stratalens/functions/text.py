@@ -165,8 +165,19 @@ def excluded(path: Column, patterns) -> Column:
     return out
 
 
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty, . and .. parts, as normpath() has it; links are not followed."""
+    def add(acc, x):
+        return F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1), F.array().cast("array<string>"), add)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
 def confined(path: Column, root: str) -> Column:
-    return (path == root) | path.startswith(root.rstrip("/") + "/")
+    """Whether a path stays under a root, .. and all."""
+    top = root.rstrip("/")
+    return let(normal_path(path), lambda p: (p == (top or "/")) | p.startswith(top + "/"))
 
 
 def _folds() -> tuple[str, str]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from stratalens.functions.text import leaf
+from stratalens.operators.fold import folded
 from stratalens.operators.graph import dependents, first_wins, resolve
 
 
@@ -79,6 +81,44 @@ def sync(symbols: DataFrame, edges: DataFrame, new_symbols: DataFrame, new_edges
     return s, e, before.union(dependents(e, changed)).union(changed.select("path")).distinct()
 
 
+class _Text:
+    """A file's text while its edits come in: one applies where its snippet stands exactly once."""
+
+    def __init__(self):
+        self.text = None
+
+    def __call__(self, row):
+        path, seq, old, new, text = row
+        if seq is None:
+            self.text = text or ""
+            return []
+        if self.text is None:
+            return [(path, seq, "no file", None)]
+        n = self.text.count(old) if old else 0
+        if n != 1:
+            return [(path, seq, "not found" if n == 0 else "ambiguous", None)]
+        self.text = self.text.replace(old, new or "")
+        return [(path, seq, "edited", self.text)]
+
+
+def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """(path, seq, outcome, text) of edits (path, seq, old, new) to files (path, text), one file's in the order of seq.
+
+    Each edit sees what those before it have made. text is the file's after an edit that applied, else null: an unknown
+    file, a snippet that is empty, missing or there more than once. Files without edits are not read further.
+    """
+    kind = dict(edits.dtypes)["seq"]
+    mine = files.join(edits.select("path").distinct(), "path", "left_semi").select("path", F.lit(None).cast(kind).alias("seq"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"), F.col("text").cast("string"))
+    rows = mine.unionByName(edits.select("path", "seq", "old", "new", F.lit(None).cast("string").alias("text")))
+    schema = StructType([*rows.schema.fields[:2]]).add("outcome", StringType()).add("text", StringType())
+    return folded(rows, "path", [F.asc_nulls_first("seq")], _Text, schema)
+
+
+def edited(outcomes: DataFrame) -> DataFrame:
+    """(path, text) of the files that apply_edits() changed, as their last edit left them: what is to be written and indexed again."""
+    return outcomes.where("outcome = 'edited'").groupBy("path").agg(F.max_by("text", "seq").alias("text"))
+
+
 def changed_sidecars(rendered: DataFrame, stored: DataFrame, body: Column | None = None) -> DataFrame:
     """Rendered sidecars whose text, but for its time stamp, differs from the stored one."""
     from stratalens.functions.text import strip_timestamp

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,14 @@ from stratalens.operators import graph as G
 from stratalens.operators import loop as L
 from stratalens.operators import maintain as M
 from stratalens.operators import measure as A
+from stratalens.operators import postings as Postings
 from stratalens.operators import render as R
 from stratalens.operators import search as X
 from stratalens.operators import transcript as C
 from stratalens.plans import catalog, model
 from stratalens.plans.catalog import CALLS, FILE_TOKENS, ORACLES, TOKENS, query
 from stratalens.sources import repo as S
+from stratalens.sources.versions import shared_dir
 from stratalens.streaming import watch as W
 
 # --- wire shapes and turns ---
@@ -142,6 +146,47 @@ def virtual_answers(spark, sf):
     return P.answers(calls, files, symbols, lists)
 
 
+#: Lists that the call graph and the text index answer with; each conversation asks for one of each.
+LISTED = """ask AS (SELECT conv_id, turn, 'c' || turn AS id, ['callers', 'callees', 'search'][(turn % 3 + 1)::INT] AS tool, CASE turn % 3 WHEN 0 THEN 'URGENT.d1995' || lpad((conv_id % 12 + 1)::VARCHAR, 2, '0') || lpad((turn % 28 + 1)::VARCHAR, 2, '0') WHEN 1 THEN (conv_id % 100)::VARCHAR ELSE ['onst', 'thsh', 'zzz'][(conv_id % 3 + 1)::INT] END AS key FROM conversations)"""
+
+
+@query(f"""WITH MODEL, {LISTED}, {catalog.TOKENS}, l AS (SELECT 'callers' AS tool, to_name AS key, from_path::VARCHAR AS v FROM edges WHERE kind = 'call' UNION SELECT 'callees', from_path::VARCHAR, to_name FROM resolved WHERE kind = 'call' AND to_path IS NOT NULL
+  UNION SELECT 'search', w, path FROM (SELECT w, path::VARCHAR AS path, row_number() OVER (PARTITION BY w ORDER BY path) AS r FROM pad, unnest(['onst', 'thsh', 'zzz']) u(w) WHERE list_contains(tokens, w)) WHERE r <= 15),
+f AS (SELECT tool, key, '[' || string_agg('"' || v || '"', ',' ORDER BY v) || ']' AS found FROM l GROUP BY 1, 2)
+SELECT conv_id, turn, id, coalesce(found, '[]') AS answer FROM ask LEFT JOIN f USING (tool, key)""")
+def virtual_lists(spark, sf):
+    """Callers, callees and searches, asked for by calls and answered from the call graph and the text index."""
+    c, t = F.col("conv_id"), F.col("turn")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    symbol = F.concat(F.lit("URGENT.d1995"), two(c % 12 + 1), two(t % 28 + 1))
+    word = F.element_at(F.array(*map(F.lit, ("onst", "thsh", "zzz"))), (c % 3 + 1).cast("int"))
+    given = F.when(t % 3 == 0, F.create_map(F.lit("symbol"), symbol)).when(t % 3 == 1, F.create_map(F.lit("path"), (c % 100).cast("string"))).otherwise(F.create_map(F.lit("text"), word))
+    name = F.element_at(F.array(*map(F.lit, ("index_callers", "index_callees", "index_search"))), (t % 3 + 1).cast("int"))
+    calls = model.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("c"), t.cast("string")).alias("id"), name.alias("name"), given.alias("input"))
+    edges, index = model.edges(spark, sf), catalog._index(spark, sf)
+    asked = calls.where("name = 'index_callers'").select(F.col("input")["symbol"].alias("name")).distinct()
+    listed = lambda tool, df, key, value: df.select(F.lit(tool).alias("tool"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+    lists = listed("callers", G.callers(edges, asked).where("how = 'exact'"), "symbol", "from_path").union(listed("callees", G.callees(catalog._resolved(spark, sf)), "from_path", "to_name"))
+    for w in ("onst", "thsh", "zzz"):
+        lists = lists.union(X.search(index, w).select(F.lit("search"), F.lit(w), F.col("path").cast("string")))
+    none = spark.createDataFrame([], "path string, label string, text string, summary string")
+    return P.answers(calls, none, spark.createDataFrame([], "path string, name string, line int, end_line int"), lists)
+
+
+@query("""SELECT doc_id AS path, CASE WHEN len(string_split(text, ' the ')) = 2 THEN 2 ELSE 1 END::BIGINT AS n_edited FROM documents WHERE len(string_split(text, ' the ')) = 2 OR (doc_id % 3 = 0 AND text <> '')""")
+def edits_indexed(spark, sf):
+    """Edits carried out in order, the changed files indexed again, and found by what the edits brought in."""
+    f = model.files(spark, sf).select("path", "text")
+    first = f.where("length(text) - length(replace(text, ' the ', '')) = 5 AND size(split(text, ' the ', -1)) = 2").select("path")
+    one = f.select("path", F.lit(1).alias("seq"), F.lit(" the ").alias("old"), F.lit(" zzedited zzagain ").alias("new"))
+    two = first.select("path", F.lit(2).alias("seq"), F.lit(" zzagain ").alias("old"), F.lit(" zztwice ").alias("new"))
+    whole = f.where("path % 3 = 0 and text <> ''").select("path", F.lit(3).alias("seq"), F.col("text").alias("old"), F.lit("zzwhole").alias("new"))
+    out = M.apply_edits(f, one.union(two)).unionByName(M.apply_edits(f.join(first, "path", "left_anti"), whole))
+    folder = f"{shared_dir(spark)}/edited-{uuid.uuid4().hex}"
+    index = Postings.Index.create(f, folder, "path", "text").add(M.edited(out), "path", "text")
+    return index.found("zzedited NOT zzagain").select(F.col("doc").alias("path"), F.lit(2).cast("bigint").alias("n_edited")).union(index.found("^zzwhole").select(F.col("doc"), F.lit(1).cast("bigint")))
+
+
 @query(f"""WITH MODEL, {CALLS}, r AS (SELECT conv_id, turn, 'c' || turn AS id, text FROM conversations), p AS (SELECT conv_id, id, path FROM calls WHERE name = 'Read')
 SELECT r.conv_id, r.turn, CASE WHEN f.path IS NULL THEN r.text ELSE '⟪summary:' || p.path || '⟫' || chr(10) || 's' || p.path END AS text
 FROM r LEFT JOIN p ON p.conv_id = r.conv_id AND p.id = r.id LEFT JOIN (SELECT path::VARCHAR AS path FROM files WHERE line_count > 5) f ON f.path = p.path""")

@@ -489,7 +489,9 @@ def mcnemar(spark, sf):
     return A.contingency(model.read(spark, sf, "labels").select((F.col("quality") == 1).alias("control"), (F.col("toxic") == 1).alias("treatment")))
 
 
-@query()
+@query(f"""WITH g AS ({ORACLES['mcnemar']}), t AS (SELECT statistic, statistic / 2 AS z2, n FROM g, range(0, 200) r(n))
+SELECT any_value(statistic)::DOUBLE AS statistic, round(CASE WHEN any_value(statistic) <= 0 THEN 1 WHEN any_value(statistic) > 60 THEN 0
+  ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-any_value(z2)) * sum(exp(0.5 * ln(z2) + n * ln(2 * z2) - (lgamma(2 * n + 3) - (n + 1) * ln(2) - lgamma(n + 2))) )) END, 6)::DOUBLE AS p_value FROM (SELECT statistic, greatest(z2, 1e-300) AS z2, n FROM t)""")
 def mcnemar_p(spark, sf):
     return A.with_p_value(mcnemar(spark, sf))
 

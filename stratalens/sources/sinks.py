@@ -33,6 +33,11 @@ def append_ledger(rows: DataFrame, folder: str | None) -> None:
         rows.select("turn_id", "tokens_in_est", "tokens_out").write.mode("append").json(folder)
 
 
+def write_manifest(selected: DataFrame, folder: str) -> None:
+    """The selected tasks as JSON lines in order of their first column, in place of an earlier manifest; nulls are kept."""
+    selected.orderBy(selected.columns[0]).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
 def _body(text: str) -> str:
     return "\n".join(x for x in text.splitlines() if not x.startswith(TIMESTAMP_PREFIX))
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -117,10 +118,21 @@ def test_measures(spark):
     v = spark.createDataFrame([(True, False)] * 10 + [(False, True)] * 2 + [(True, True)], "control boolean, treatment boolean")
     r = A.with_p_value(A.contingency(v)).first()
     assert r["statistic"] == round((8 - 1) ** 2 / 12, 6) and 0.04 < r["p_value"] < 0.05
-    assert A.survival(0) == 1 and A.contingency(v.where("control and treatment")).first()["statistic"] == 0
+    xs = [0.0, -1.0, 1e-9, 0.5, 3.84, 6.63, 25.0, 59.9, 60.1, 500.0]
+    got = [r["p"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(A.survival(F.col("x")).alias("p")).collect()]
+    assert all(abs(p - (1 if x <= 0 else math.erfc(math.sqrt(x / 2)))) < 1e-12 for p, x in zip(got, xs))
+    assert A.contingency(v.where("control and treatment")).first()["statistic"] == 0
 
 
 def test_unique_names(spark):
     rows = [("p", i, n, i) for i, n in enumerate(["Foo", "Foo #2", "Foo", "Foo", ""])]
     got = R.unique_names(spark.createDataFrame(rows, "path string, idx int, label string, line bigint")).orderBy("idx").collect()
     assert [r["name"] for r in got] == ["Foo", "Foo #2", "Foo #3", "Foo #4", "section-4"]
+
+
+def test_edits_in_order(spark):
+    files = spark.createDataFrame([("a", "x y x"), ("b", "one two"), ("c", None)], "path string, text string")
+    edits = [("a", 1, "x", "z"), ("a", 2, "y", "w"), ("a", 3, "w", ""), ("b", 1, "one", "two"), ("b", 2, "two", "q"), ("b", 3, "two two", "end"), ("c", 1, "a", "b"), ("d", 1, "a", "b"), ("b", 4, "", "q")]
+    out = M.apply_edits(files, spark.createDataFrame(edits, "path string, seq int, old string, new string"))
+    assert sorted((r["path"], r["seq"], r["outcome"]) for r in out.collect()) == [("a", 1, "ambiguous"), ("a", 2, "edited"), ("a", 3, "edited"), ("b", 1, "edited"), ("b", 2, "ambiguous"), ("b", 3, "edited"), ("b", 4, "not found"), ("c", 1, "not found"), ("d", 1, "no file")]
+    assert {r["path"]: r["text"] for r in M.edited(out).collect()} == {"a": "x  x", "b": "end"}

@@ -49,3 +49,11 @@ def test_sinks(spark, tmp_path):
     assert S.read_index(spark, str(tmp_path / "i"), ("files",))["files"].count() == 1
     scope = spark.createDataFrame([("src\\a.py",), ("doc/b",)], "path string")
     assert [r["path"] for r in R.in_scope(scope, ["src/"]).collect()] == ["src\\a.py"]
+
+
+def test_manifest_of_selected_tasks(spark, tmp_path):
+    from stratalens.sources import sinks
+
+    sinks.write_manifest(spark.createDataFrame([("b", 2), ("a", None)], "id string, n int"), f"file://{tmp_path}/m")
+    sinks.write_manifest(spark.createDataFrame([("b", 2), ("a", None)], "id string, n int"), f"file://{tmp_path}/m")
+    assert [tuple(r) for r in spark.read.json(f"file://{tmp_path}/m").orderBy("id").select("id", "n").collect()] == [("a", None), ("b", 2)]

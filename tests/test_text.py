@@ -62,3 +62,13 @@ def test_names(spark):
     assert one(spark, "### Title", T.heading_level) == 3 and one(spark, "### Title", T.heading_label) == "Title"
     assert one(spark, "Pärse_header ünï", T.search_tokens) == ["parse", "header", "uni"]
     assert one(spark, "x\nrefreshed: now\ny", T.strip_timestamp) == "x\ny"
+
+
+def test_confined_paths_cannot_climb_out(spark):
+    import os
+
+    paths = ["/r/a", "/r", "/r/", "/r/../etc", "/r/a/../../r/b", "/rx/a", "//r//a/./b", "/..", "/r/..", "/r/a/..", "", "/"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.normal_path(F.col("p")).alias("n"), T.confined(F.col("p"), "/r").alias("c")).collect()
+    for r in got:
+        n = os.path.normpath("/" + r["p"].lstrip("/"))
+        assert r["n"] == n and r["c"] == (n == "/r" or n.startswith("/r/"))
