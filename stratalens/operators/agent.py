@@ -10,10 +10,10 @@ from stratalens.operators.transcript import SUMMARY_MARK, VIRTUAL_PREFIX, json_o
 
 #: So many turns are answered in a row before the host gets control back.
 MAX_INNER_TURNS = 24
-BUDGET_SPENT = "inner-tool budget exhausted; returning control."
-FOOTER = f"(Generated summary. Call {VIRTUAL_PREFIX}read_full(path) for the full source, or {VIRTUAL_PREFIX}impact/{VIRTUAL_PREFIX}callers for structure.)"
+BUDGET_SPENT = "The index has answered as many turns in a row as it may; over to the host."
+FOOTER = f"(Made from the index. The whole text: {VIRTUAL_PREFIX}read_full(path); who depends on it: {VIRTUAL_PREFIX}impact(path).)"
 DIRECTIVE_MARK = "[index]"
-DIRECTIVE = f"{DIRECTIVE_MARK} Before reading a large file in full, call {VIRTUAL_PREFIX}read(path) for its summary, then only the region that you need."
+DIRECTIVE = f"{DIRECTIVE_MARK} Long files have summaries: begin with {VIRTUAL_PREFIX}read(path) and go on with {VIRTUAL_PREFIX}read_range or {VIRTUAL_PREFIX}read_symbol where they point."
 TOOLS = ("read", "read_full", "read_symbol", "read_range", "edit", "impact", "callers", "callees", "search")
 
 # Where each wire shape keeps its calls.
@@ -63,10 +63,10 @@ def region(label: Column, text: Column, start: Column, end: Column, cap: int = T
         last = F.greatest(first, F.least(n, F.when(end > 0, end).otherwise(start).cast("int")))
         cut = last - first + 1 > cap
         stop = F.when(cut, first + (cap - 1)).otherwise(last)
-        body = F.concat(F.lit("# "), label, F.lit("  L"), first.cast("string"), F.lit("-"), stop.cast("string"), F.lit("\n"), F.array_join(F.slice(lines, first, stop - first + 1), "\n"))
-        more = F.when(cut, F.concat(F.lit(f"\n\n(...truncated at {cap} lines; lines "), (stop + 1).cast("string"), F.lit(" on hold the rest)"))).otherwise("")
-        past = F.concat(F.lit("(L"), first.cast("string"), F.lit(" is past end of file — "), n.cast("string"), F.lit(" lines)"))
-        return F.when(n == 0, F.concat(F.lit("("), label, F.lit(" is empty)"))).when(first > n, past).otherwise(F.concat(body, more))
+        body = F.concat(F.lit("["), label, F.lit(", lines "), first.cast("string"), F.lit(" to "), stop.cast("string"), F.lit("]\n"), F.array_join(F.slice(lines, first, stop - first + 1), "\n"))
+        more = F.when(cut, F.concat(F.lit(f"\n\n[{cap} lines at a time; go on with line "), (stop + 1).cast("string"), F.lit("]"))).otherwise("")
+        past = F.concat(F.lit("[no line "), first.cast("string"), F.lit(": the file has "), n.cast("string"), F.lit("]"))
+        return F.when(n == 0, F.concat(F.lit("["), label, F.lit(", no lines]"))).when(first > n, past).otherwise(F.concat(body, more))
 
     return T.let(T.split_lines(text), shown)
 
@@ -76,7 +76,7 @@ def read_symbols(asked: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
     spans = symbols.select("path", "name", F.col("line").alias("__line"), F.col("end_line").alias("__end"))
     x = asked.join(spans, ["path", "name"], "left").join(files.select("path", "label", "text"), "path", "left")
     found = region(F.col("label"), F.col("text"), F.col("__line"), F.coalesce("__end", "__line"))
-    none = F.concat(F.lit("(symbol '"), "name", F.lit("' not found in "), F.coalesce("label", F.col("path").cast("string")), F.lit(f"; call {VIRTUAL_PREFIX}read for the symbol list)"))
+    none = F.concat(F.lit("[no symbol "), "name", F.lit(" in "), F.coalesce("label", F.col("path").cast("string")), F.lit(f"; {VIRTUAL_PREFIX}read lists those it has]"))
     return x.withColumn("answer", F.when(F.col("__line").isNull(), none).otherwise(found)).select(*asked.columns, "answer")
 
 
@@ -140,9 +140,9 @@ def contexts(files: DataFrame, threshold: int) -> DataFrame:
     files: task, path, line_count, text, summary. A task's files, in path order, are one text; tasks are small by nature.
     """
     gated = F.col("line_count") > threshold
-    part = lambda tag, body: F.concat(F.lit("===== "), F.col("path").cast("string"), F.lit("  ["), tag, F.lit("] =====\n"), body)
-    control = part(F.lit("FULL SOURCE"), F.coalesce("text", F.lit("")))
-    treatment = F.when(gated, part(F.lit("SUMMARY (gated)"), summary_result(F.col("path").cast("string"), F.col("summary")))).otherwise(part(F.lit("FULL SOURCE (small file, passed through)"), F.coalesce("text", F.lit(""))))
+    part = lambda tag, body: F.concat(F.lit("--- "), F.col("path").cast("string"), F.lit(" ("), tag, F.lit(")\n"), body)
+    control = part(F.lit("whole"), F.coalesce("text", F.lit("")))
+    treatment = F.when(gated, part(F.lit("summary"), summary_result(F.col("path").cast("string"), F.col("summary")))).otherwise(part(F.lit("whole, as it is short"), F.coalesce("text", F.lit(""))))
     rows = F.array_sort(F.collect_list(F.struct("path", control.alias("c"), treatment.alias("t"))))
     joined = lambda k: F.array_join(F.transform("rows", lambda x: x[k]), "\n\n")
     return files.groupBy("task").agg(rows.alias("rows")).select("task", joined("c").alias("control"), joined("t").alias("treatment"))

@@ -121,13 +121,13 @@ cut AS (SELECT *, CASE WHEN text = '' THEN []::VARCHAR[] WHEN l[-1] = '' THEN l[
 
 def _region_sql(label: str, lines: str, a: int, b: int) -> str:
     last = f"greatest({a}, least(len({lines}), {b}))"
-    return f"""CASE WHEN len({lines}) = 0 THEN '(' || {label} || ' is empty)' WHEN {a} > len({lines}) THEN '(L{a} is past end of file — ' || len({lines}) || ' lines)' ELSE '# ' || {label} || '  L{a}-' || {last} || chr(10) || array_to_string({lines}[{a}:{last}], chr(10)) END"""
+    return f"""CASE WHEN len({lines}) = 0 THEN '[' || {label} || ', no lines]' WHEN {a} > len({lines}) THEN '[no line {a}: the file has ' || len({lines}) || ']' ELSE '[' || {label} || ', lines {a} to ' || {last} || ']' || chr(10) || array_to_string({lines}[{a}:{last}], chr(10)) END"""
 
 
 @query(f"""WITH MODEL, {ASKED}, imp AS (SELECT to_path::VARCHAR AS path, '[' || string_agg(DISTINCT '"' || from_path || '"', ',' ORDER BY '"' || from_path || '"') || ']' AS found FROM resolved WHERE kind = 'call' AND to_path <> from_path GROUP BY 1)
 SELECT a.conv_id, a.turn, a.id, CASE a.name WHEN 'index_read' THEN coalesce('sum ' || CASE WHEN c.path::BIGINT % 2 = 0 THEN c.path END, '(file not indexed)')
   WHEN 'index_read_full' THEN CASE WHEN c.path IS NULL THEN '(no file ' || a.path || ')' ELSE c.text END
-  WHEN 'index_read_symbol' THEN CASE WHEN c.path IS NULL THEN '(symbol ''sym'' not found in ' || a.path || '; call index_read for the symbol list)' WHEN c.path::BIGINT % 3 = 0 THEN '(symbol ''sym'' not found in ' || c.label || '; call index_read for the symbol list)' ELSE {_region_sql('c.label', 'c.ls', 1, 3)} END
+  WHEN 'index_read_symbol' THEN CASE WHEN c.path IS NULL THEN '[no symbol sym in ' || a.path || '; index_read lists those it has]' WHEN c.path::BIGINT % 3 = 0 THEN '[no symbol sym in ' || c.label || '; index_read lists those it has]' ELSE {_region_sql('c.label', 'c.ls', 1, 3)} END
   WHEN 'index_read_range' THEN CASE WHEN c.path IS NULL THEN '(no file ' || a.path || ')' ELSE {_region_sql('c.label', 'c.ls', 2, 4)} END
   WHEN 'index_edit' THEN CASE WHEN c.path IS NULL THEN '(no file ' || a.path || ')' WHEN len(string_split(c.text, ' the ')) = 2 THEN '(edited)' ELSE '(refused: `old` must occur exactly once)' END
   WHEN 'index_impact' THEN coalesce(imp.found, '[]') WHEN 'index_search' THEN '[]' ELSE '(unknown tool: index_nothing)' END AS answer
@@ -234,8 +234,8 @@ def growing_history(spark, sf):
 
 
 @query(f"""WITH MODEL, f AS (SELECT path, path % 40 AS task, coalesce(text, '') AS text, line_count, CASE WHEN path % 2 = 0 THEN 'refreshed: now' || chr(10) || 's' || path END AS summary FROM files),
-p AS (SELECT task, path, '===== ' || path || '  [FULL SOURCE] =====' || chr(10) || text AS c, CASE WHEN line_count > 5 THEN '===== ' || path || '  [SUMMARY (gated)] =====' || chr(10) || '⟪summary:' || path || '⟫' || chr(10) || CASE WHEN summary IS NULL THEN '(file not indexed)' ELSE 's' || path END || chr(10) || chr(10) || '{P.FOOTER}'
-  ELSE '===== ' || path || '  [FULL SOURCE (small file, passed through)] =====' || chr(10) || text END AS t FROM f)
+p AS (SELECT task, path, '--- ' || path || ' (whole)' || chr(10) || text AS c, CASE WHEN line_count > 5 THEN '--- ' || path || ' (summary)' || chr(10) || '⟪summary:' || path || '⟫' || chr(10) || CASE WHEN summary IS NULL THEN '(file not indexed)' ELSE 's' || path END || chr(10) || chr(10) || '{P.FOOTER}'
+  ELSE '--- ' || path || ' (whole, as it is short)' || chr(10) || text END AS t FROM f)
 SELECT task, sha256(string_agg(c, chr(10) || chr(10) ORDER BY path)) AS control, sha256(string_agg(t, chr(10) || chr(10) ORDER BY path)) AS treatment, sum(length(t))::BIGINT + 2 * (count(*) - 1) AS treatment_chars FROM p GROUP BY 1""")
 def paired_contexts(spark, sf):
     summary = F.when(F.col("path") % 2 == 0, F.concat(F.lit("refreshed: now\ns"), F.col("path").cast("string")))
