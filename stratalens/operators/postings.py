@@ -192,8 +192,3 @@ def _words(t) -> list[str]:
     if t[0] == "near":
         return [w for ws, _ in t[1] for w in ws]
     return reduce(lambda a, b: a + b, (_words(x) for x in t[1:]), []) if t != NOTHING else []
-
-
-def kept(docs: DataFrame, folder: str, id_col: str, text_col: str) -> Index:
-    """The index in a folder; made of docs where there is none yet."""
-    return Index.open(docs.sparkSession, folder) or Index.create(docs, folder, id_col, text_col)

@@ -18,6 +18,7 @@ from stratalens.operators import render as R
 from stratalens.operators import search as X
 from stratalens.operators import transcript as C
 from stratalens.plans import model
+from stratalens.session import spread
 from stratalens.sources import repo as S
 from stratalens.sources.versions import shared_dir
 from stratalens.streaming import watch as W
@@ -267,7 +268,7 @@ SECRETS = ("sk-abcdefghijklmnop1234", "rk_live_12345678", "ghp_0123456789abcdefg
 SELECT path, regexp_replace(regexp_replace(text, '{SHAPES_SQL}', '<redacted>', 'g'), '{T.OPAQUE}', '<redacted>', 'g') AS text, regexp_replace(text, '{SHAPES_SQL}', '<redacted>', 'g') AS prose FROM s""")
 def redact(spark, sf):
     secret = F.element_at(F.array(*map(F.lit, SECRETS)), (F.col("doc_id") % len(SECRETS) + 1).cast("int"))
-    d = model.read(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), secret, F.lit(" end")).alias("text"))
+    d = spread(model.read(spark, sf, "documents")).select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), secret, F.lit(" end")).alias("text"))
     return d.select("path", T.redact(F.col("text")).alias("text"), T.redact(F.col("text"), opaque=False).alias("prose"))
 
 
@@ -289,7 +290,8 @@ pad AS (SELECT path, tokens, ' ' || array_to_string(tokens, ' ') || ' ' AS padde
 def _index(spark, sf, what: str = "files") -> Postings.Index:
     """The positional index of the files, or of their rendered summaries: built once in a session, then kept."""
     folder = f"{shared_dir(spark)}/text-index-{what}-{spark.sparkContext.applicationId}-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
-    return Postings.kept(model.files(spark, sf) if what == "files" else summary_render(spark, sf), folder, "path", "text")
+    docs = lambda: spread(model.files(spark, sf).select("path", "text")) if what == "files" else summary_render(spark, sf)
+    return Postings.Index.open(spark, folder) or Postings.Index.create(docs(), folder, "path", "text")
 
 
 @query(f"WITH MODEL, {TOKENS} SELECT token, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest(tokens) AS token FROM tok) GROUP BY 1")

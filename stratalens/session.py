@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "stratalens", partitions: int | None = None) -> SparkSession:
@@ -19,3 +20,13 @@ def local_session(cpus: int = 8, app: str = "stratalens", partitions: int | None
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores where the input gives fewer tasks than there are cores, as one row group does; else df.
+
+    The partitions are counted without reading a column. An input of many splits is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < tasks < cores else df
