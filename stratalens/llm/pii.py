@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.session import spread
+
 #: Kinds in the order in which spans with one start are listed. Each pattern is possessive and starts only where a
 #: run starts (or where the last match ended), which finds the same leftmost matches in time linear in the text.
 PATTERNS = {
@@ -187,7 +189,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_pii(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     base = F.filter(F.col("spans"), lambda x: x["rank"] < len(BASE_KINDS))
     count = lambda k: F.size(F.filter(F.col("spans"), lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

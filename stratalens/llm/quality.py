@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import WORD_SPLIT, fresh
+from stratalens.session import spread
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -128,7 +129,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    d = judge(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     f = F.col("quality.features")
     return d.select("doc_id", *(f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("quality.base_failed"), F.col("quality.kept"))
 
