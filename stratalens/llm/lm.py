@@ -237,7 +237,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     Null and blank texts are the end token alone. A null id is of the other training folds. Rows that repeat an id count
     as often as they come. With no training document every count is 0 and only the floors speak; with no document in the
-    deleted fold the start weights stay. An empty table gives an empty result. Other columns are not read.
+    deleted fold the start weights stay. An empty table gives an empty result. Other columns are not read. A document is
+    never cut: a block closes after the one that fills it, so a very long text is a block of its own, held whole.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = stored(_blocks(d), "lm-blocks")
