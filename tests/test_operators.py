@@ -136,3 +136,24 @@ def test_edits_in_order(spark):
     out = M.apply_edits(files, spark.createDataFrame(edits, "path string, seq int, old string, new string"))
     assert sorted((r["path"], r["seq"], r["outcome"]) for r in out.collect()) == [("a", 1, "ambiguous"), ("a", 2, "edited"), ("a", 3, "edited"), ("b", 1, "edited"), ("b", 2, "ambiguous"), ("b", 3, "edited"), ("b", 4, "not found"), ("c", 1, "not found"), ("d", 1, "no file")]
     assert {r["path"]: r["text"] for r in M.edited(out).collect()} == {"a": "x  x", "b": "end"}
+
+
+def test_reached_without_pairs(spark):
+    """Callers of files' names by blocks of bits, many and few to a name, against plain sets; centrality makes no row of a pair."""
+    from stratalens.operators.reach import reached
+
+    rng = random.Random(11)
+    names = [f"n{i}" for i in range(9)]
+    defined = [(p, n) for p in range(40) for n in rng.sample(names, 1 + p % 4)] + [(99, "uncalled")]
+    calls = sorted({(names[0], c) for c in range(300)} | {(rng.choice(names), rng.randrange(300)) for _ in range(200)} | {("unknown", 7)})
+    of = {n: {c for m, c in calls if m == n} for n, _ in calls}
+    want = {p: len(set().union(*(of.get(n, set()) for q, n in defined if q == p)) - {p}) for p, _ in defined}
+    d, c = spark.createDataFrame(defined, "path bigint, name string"), spark.createDataFrame(calls, "name string, caller bigint")
+    for sizes in ({}, {"block": 70, "group": 9}, {"entries": 40, "group": 1000}):
+        assert {r["path"]: r["n"] for r in reached(d, c, **sizes).collect()} == want
+    sym, edg = d.selectExpr("path", "name", "'method' AS kind", "1L AS line"), c.selectExpr("caller AS from_path", "'f' AS from_name", "name AS to_name", "'call' AS kind", "1L AS line")
+    out = G.centrality_by_name(sym, sym, edg)
+    assert {r["path"]: r["called_by"] for r in out.collect()} == want
+    few = sym.where("path in (3, 99)").select("path").distinct()
+    assert {r["path"]: r["called_by"] for r in G.centrality_of(few, sym, edg).collect()} == {3: want[3], 99: 0}
+    assert "NOT (from_path" not in out._jdf.queryExecution().optimizedPlan().toString()  # no join that pairs files and callers
