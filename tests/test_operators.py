@@ -157,3 +157,16 @@ def test_reached_without_pairs(spark):
     few = sym.where("path in (3, 99)").select("path").distinct()
     assert {r["path"]: r["called_by"] for r in G.centrality_of(few, sym, edg).collect()} == {3: want[3], 99: 0}
     assert "NOT (from_path" not in out._jdf.queryExecution().optimizedPlan().toString()  # no join that pairs files and callers
+
+
+def test_centrality_of_the_pool_only(spark):
+    """What ranks a search is made for the paths of its pool, not for all."""
+    ix = X.index(spark.createDataFrame([(i, "the cat" if i % 2 else "dog") for i in range(10)], "path bigint, t string"), "path", "t")
+    asked = []
+
+    def centrality(pool):
+        asked.extend(sorted(r["path"] for r in pool.collect()))
+        return pool.where("path > 4").selectExpr("path", "path % 4 AS called_by")
+
+    out = X.search(ix, "the", centrality, limit=3, pool=4).select("path", "called_by").collect()
+    assert asked == [1, 3, 5, 7] and [tuple(r) for r in out] == [(7, 3), (5, 1), (1, 0)]
