@@ -170,3 +170,25 @@ def test_centrality_of_the_pool_only(spark):
 
     out = X.search(ix, "the", centrality, limit=3, pool=4).select("path", "called_by").collect()
     assert asked == [1, 3, 5, 7] and [tuple(r) for r in out] == [(7, 3), (5, 1), (1, 0)]
+
+
+def test_impact_and_first_callers_without_pairs(spark):
+    """Counts and first callers equal those of the pairs; neither joins definers of a name with its callers."""
+    rng = random.Random(7)
+    names = ["F", "G", "K.m", "L.m", "L.n", "M.x"]
+    sym = sorted({(p, rng.choice(names)) for p in range(30) for _ in range(4)})
+    calls = {(rng.randrange(40), "f", rng.choice([*names, "m", "n", "x"]), "call") for _ in range(260)}
+    imports = {(rng.randrange(40), "f", rng.choice([f"pkg.s{rng.randrange(30)}", "pkg.K", "pkg.L", "a.s3.b"]), "import") for _ in range(90)}
+    s = spark.createDataFrame([(p, n, "method", 1) for p, n in sym], "path bigint, name string, kind string, line bigint")
+    e = spark.createDataFrame(sorted(calls | imports), "from_path bigint, from_name string, to_name string, kind string").selectExpr("*", "1L AS line")
+    stems = s.selectExpr("path", "concat('s', path) AS stem").distinct()
+    pairs = G.gated_callers(s, e, stems).collect()
+    of = {}
+    for path, name, caller in pairs:
+        of.setdefault((path, name), []).append(caller)
+    totals = {p: len({c for (q, _), cs in of.items() if q == p for c in cs}) for p, _ in of}
+    got = G.impact_counts(s, e, stems)
+    assert {tuple(r) for r in got.collect()} == {(p, n, len(cs), totals[p]) for (p, n), cs in of.items()}
+    first = G.first_callers(s, e, stems, 3)
+    assert {(r["path"], r["name"]): (r["callers"], r["n"]) for r in first.collect()} == {k: (sorted(cs)[:3], len(cs)) for k, cs in of.items()}
+    assert any(len(cs) > 3 for cs in of.values()) and len(totals) > 20
