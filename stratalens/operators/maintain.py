@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructType
 from stratalens.functions.text import leaf
 from stratalens.operators.fold import folded
 from stratalens.operators.graph import dependents, first_wins, resolve
+from stratalens.session import dealt
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,14 +58,14 @@ def missing(files: DataFrame, sidecars: DataFrame, top: int = 30, least: int = 5
     return files.where(F.col("line_count") > least).join(sidecars.select("path").distinct(), "path", "left_anti").select("path", "line_count").orderBy(F.desc("line_count"), "path").limit(top)
 
 
-def leaves(symbols: DataFrame) -> DataFrame:
+def leaves(symbols: DataFrame, rows: int = 0) -> DataFrame:
     n = symbols.select("path", "name")
-    return n.union(n.select("path", leaf(F.col("name")))).distinct()
+    return dealt(n.union(n.select("path", leaf(F.col("name")))), 2 * rows, "path", "name").distinct()
 
 
-def lost(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, name) that a file defined, whole or by leaf, and defines no more."""
-    return leaves(old).join(leaves(new), ["path", "name"], "left_anti")
+def lost(old: DataFrame, new: DataFrame, rows: int = 0) -> DataFrame:
+    """(path, name) that a file defined, whole or by leaf, and defines no more; rows: about how many symbols, where many."""
+    return leaves(old, rows).join(leaves(new, rows), ["path", "name"], "left_anti")
 
 
 def sync(symbols: DataFrame, edges: DataFrame, new_symbols: DataFrame, new_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

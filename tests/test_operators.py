@@ -192,3 +192,19 @@ def test_impact_and_first_callers_without_pairs(spark):
     first = G.first_callers(s, e, stems, 3)
     assert {(r["path"], r["name"]): (r["callers"], r["n"]) for r in first.collect()} == {k: (sorted(cs)[:3], len(cs)) for k, cs in of.items()}
     assert any(len(cs) > 3 for cs in of.values()) and len(totals) > 20
+
+
+def test_tasks_grow_with_rows(spark, sf, monkeypatch):
+    """Where tables are large, the graph's steps are dealt by rows to more tasks, and give the same."""
+    from stratalens import session
+    from stratalens.plans import model
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    s, e = model._symbols(spark, sf), model._edges(spark, sf)
+    n = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+    assert n(s) == 1 and n(e) == 3
+    asked = s.selectExpr("path", "name AS asked")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for many, few in ((G.symbol_detail(s, asked, 3000), G.symbol_detail(s, asked)), (G.callers(e, s, 9000), G.callers(e, s)), (M.lost(s.where("line % 2 = 0"), s, 3000), M.lost(s.where("line % 2 = 0"), s))):
+        assert n(many) > n(few)
+        assert rows(many) == rows(few)
