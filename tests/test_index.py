@@ -120,3 +120,19 @@ def test_nothing_there(spark, tmp_path):
         Versions(spark, f"file://{tmp_path}/none").read("a")
     empty = P.Index.create(spark.createDataFrame([], "doc int, t string"), f"file://{tmp_path}/e", "doc", "t")
     assert hits(empty, "the") == [] and hits(empty, "t*") == [] and empty.counts().count() == 0
+
+
+def test_tasks_grow_with_texts_and_postings(spark, tmp_path, monkeypatch):
+    """Many tokens make more splits of a bucket, many postings more tasks of a search; what is found stays."""
+    from stratalens import session
+
+    rows = texts(8, 60)
+    monkeypatch.setattr(P, "TASK_TOKENS", 40)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    index = P.Index.create(spark.createDataFrame(rows, "doc int, t string"), f"file://{tmp_path}/ix", "doc", "t", buckets=2)
+    files = index._read("postings").select(F.input_file_name().alias("f"), "bucket").distinct().groupBy("bucket").count().collect()
+    assert all(r["count"] > 2 for r in files)
+    plan = index.found('"the ca" *')._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    for q in ("the cat", "cat OR dog", "the NOT cat", "ca*", '"the ca" *', "NEAR(the dog, 1)"):
+        assert hits(index, q) == plain(spark, rows, q)
