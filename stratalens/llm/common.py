@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. Lost executors don't lose it."""
+def stored(df: DataFrame, what: str, partition_by: list[str] | None = None, base: str | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder, or to base in it, and read back. Lost executors don't lose it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{(base or shared_dir(spark)).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
@@ -59,13 +59,19 @@ def ascii_lower(text: Column) -> Column:
 MAP_BITS = 1 << 25
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """rows without most of those whose `on` columns are not in wanted: a map of fixed size spares them the next shuffle."""
+def mapped(rows: DataFrame, wanted: DataFrame, on: list[str], seen: str) -> DataFrame:
+    """rows with a boolean seen: false only where their `on` columns are not in wanted, by a map of fixed size."""
     slot, word, bits = (fresh(rows, c) for c in ("__slot", "__word", "__bits"))
     place = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS)).alias(slot)
     marks = wanted.select(place).groupBy((F.col(slot) / 64).cast("int").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({slot}, 64) AS int)))").alias(bits))
-    some = rows.select("*", place).withColumn(word, (F.col(slot) / 64).cast("int")).join(F.broadcast(marks), word)
-    return some.where(F.expr(f"shiftright({bits}, cast(pmod({slot}, 64) AS int)) & 1 = 1")).select(*rows.columns)
+    some = rows.select("*", place).withColumn(word, (F.col(slot) / 64).cast("int")).join(F.broadcast(marks), word, "left")
+    return some.select(*rows.columns, F.expr(f"coalesce(shiftright({bits}, cast(pmod({slot}, 64) AS int)) & 1 = 1, false)").alias(seen))
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those whose `on` columns are not in wanted: a map of fixed size spares them the next shuffle."""
+    seen = fresh(rows, "__seen")
+    return mapped(rows, wanted, on, seen).where(seen).drop(seen)
 
 
 def removed(spark: SparkSession, path: str) -> None:

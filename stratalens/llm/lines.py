@@ -7,29 +7,31 @@ make a band key; the signature's bits, or-ed, make a fingerprint.
 Equal lines are one class first. Classes that share a key are compared with the key's centre, if their sizes fit and their
 fingerprints are alike enough, on the sets of all their shingles; links become components by union-find. Where a key
 still joins different components, the members outside of its largest one are compared with a few others, and then,
-where the key is still open, with all, by blocks. In crowded keys a sample of the shingles, a quarter of them, turns pairs
-away before their lines are read. One line of each component stays.
+where the key is still open, with all, by blocks. In crowded keys the parities of all shingles' hashes, in 64 * WORDS bits,
+turn pairs away before they are rows: each shingle that only one line of a pair has flips one bit, so parities never
+differ in more bits than the lines differ in shingles, and no link is lost by them. One line of each component stays.
 
 Two lines of similarity 0.8 share no key three times in ten thousand, and never if they have up to BANDS shingles. Their
-fingerprints are not alike once in 100,000, or four times in ten thousand if one's shingles are all the other's; their
-samples differ too much three times in 100,000.
+fingerprints are not alike once in 100,000, or four times in ten thousand if one's shingles are all the other's.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import components, fresh, merged, sifted, stored
+from stratalens.llm.common import components, fresh, mapped, merged, removed, shared_dir, sifted, stored
 
 SHINGLE, PERCENT = 8, 80
 #: Signature values, and those of them that make band keys.
 SKETCH, BANDS = 28, 13
-#: Members that others of a key are compared with before all, members from which on a key is crowded, and members in a
-#: block when all are compared.
-SAMPLES, CROWD, BLOCK = 8, 64, 1024
+#: Members that others of a key are compared with before all, members from which on a key is crowded, members in a block
+#: when all are compared, and words of 64 parities: enough for lines of a thousand characters.
+SAMPLES, CROWD, BLOCK, WORDS = 8, 64, 1024, 16
+PARITIES = [f"p{w}" for w in range(WORDS)]
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -44,11 +46,6 @@ def hashes(line: Column) -> Column:
     return F.sort_array(F.array_distinct(shingles(line)))
 
 
-def sample(hashes: Column) -> Column:
-    """A quarter of the shingles, chosen by their hashes' last bits, in 32 bits each."""
-    return F.transform(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(3)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
-
-
 def band_keys(sig: Column) -> Column:
     """A key for each two of the first BANDS values that follow each other; of up to three values, one for all of them.
 
@@ -81,11 +78,18 @@ def fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def samples_agree(x: Column, y: Column, percent: int) -> Column:
-    """Whether two samples agree as far as the similarity asks for, less four standard deviations; true without samples."""
-    p, both = percent / 100, F.size(F.array_intersect(x, y))
-    union = F.size(x) + F.size(y) - both
-    return x.isNull() | (both >= p * union - 4 * F.sqrt(p * (1 - p) * union))
+def parities(texts: DataFrame) -> DataFrame:
+    """(lid, p0, p1, ...) of lines (lid, line): for each of 64 * WORDS slots whether an odd number of different shingles falls there."""
+    h = texts.select("lid", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h"))
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    x = h.select("lid", word.alias("word"), bit.alias("bit"))
+    return x.groupBy("lid").agg(*(F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(0)).alias(p) for w, p in enumerate(PARITIES)))
+
+
+def may_be_near(percent: int) -> Column:
+    """Whether the parities of _side() rows a and b differ in no more bits than near lines may differ in shingles; true for all near ones, and without parities."""
+    differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES)
+    return F.col("p0_a").isNull() | ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -101,11 +105,25 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sizes.where((100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _texts(d: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lid, line) of the wanted lids' lines."""
-    places = stored(classes.select("first.lid", "first.dkey", "first.pos").join(wanted, "lid", "left_semi").select("lid", "dkey", "pos"), "places")
-    some = sifted(_lines(d, "text").select("dkey", "pos", "line"), places, ["dkey", "pos"])
-    return stored(some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", "line"), "line-texts")
+def _texts(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """(lid, line) of places (lid, dkey, pos)."""
+    some = sifted(lines.select("dkey", "pos", "line"), places, ["dkey", "pos"])
+    return some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", "line")
+
+
+def _copied(lines: DataFrame) -> DataFrame:
+    """(h1, h2, fdkey, fpos) of lines that stand more than once, and where they stand first."""
+    groups = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "dkey")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return groups.select("h1", "h2", F.col("first.dkey").alias("fdkey"), F.col("first.pos").alias("fpos"))
+
+
+def _firsts(lines: DataFrame, copied: DataFrame) -> DataFrame:
+    """(doc_id, dkey, pos, line): of equal lines the first. Only lines that may have copies are shuffled with their texts."""
+    seen = fresh(lines, "__seen")
+    marked = mapped(lines, copied, ["h1", "h2"], seen)
+    some = marked.where(seen).join(copied, ["h1", "h2"], "left").where("fpos is null or (dkey = fdkey and pos = fpos)").dropDuplicates(["h1", "h2"])
+    columns = ("doc_id", "dkey", "pos", "line")
+    return marked.where(~F.col(seen)).select(*columns).union(some.select(*columns))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -113,11 +131,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _side(rows: DataFrame, k: str, *more) -> DataFrame:
-    return rows.select(*more, F.col("lid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "fp", "n", "sample") if c in rows.columns))
+    return rows.select(*more, F.col("lid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "fp", "n", *PARITIES) if c in rows.columns))
 
 
 def _alike(percent: int) -> Column:
-    """The test of a pair of _side() rows before their lines are read."""
+    """The first test of a pair of _side() rows."""
     return fits(F.col("n_a"), F.col("n_b"), percent) & alike(F.col("fp_a"), F.col("fp_b"))
 
 
@@ -133,25 +151,21 @@ def _centred(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     return pairs.join(_side(prints, "a"), "a").join(_side(prints, "b"), "b").where(_alike(percent)).select("a", "b", "n_a", "n_b")
 
 
-def _open(members: DataFrame, prints: DataFrame, roots: DataFrame, texts_of) -> DataFrame:
-    """(key, lid, root, fp, n, sample, other, blocks): the members of keys that still join different components.
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, lid, root, other, crowded, blocks): the members of keys that still join different components.
 
     Two members of different components are never both of the key's largest one, so only the others go against all. The
     centre has met them all.
     """
     rooted = members.where("n > 2").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "centre", F.coalesce("root", "lid").alias("root"))
     open_ = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
-    open_ = open_.where("main.m < all").select("key", F.col("main.root").alias("main"), "all", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    dealt = stored(rooted.join(open_, "key").where("lid <> centre").withColumn("other", F.col("root") != F.col("main")).drop("main"), "open-members")
-    crowd = dealt.where(F.col("all") > CROWD).select("lid").distinct()
-    samples = stored(texts_of(crowd).select("lid", sample(hashes(F.col("line"))).alias("sample")), "samples")
-    crowded, rest = dealt.where(F.col("all") > CROWD).join(samples, "lid"), dealt.where(F.col("all") <= CROWD).withColumn("sample", F.lit(None).cast("array<int>"))
-    return stored(crowded.unionByName(rest).join(prints, "lid").select("key", "lid", "root", "fp", "n", "sample", "other", "blocks"), "open-prints")
+    open_ = open_.where("main.m < all").select("key", F.col("main.root").alias("main"), (F.col("all") > CROWD).alias("crowded"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    return rooted.join(open_, "key").where("lid <> centre").select("key", "lid", "root", (F.col("root") != F.col("main")).alias("other"), "crowded", "blocks")
 
 
 def _test(percent: int) -> Column:
     """The test of a pair of members of one open key before their lines are read."""
-    return (F.col("root_a") != F.col("root_b")) & _alike(percent) & samples_agree(F.col("sample_a"), F.col("sample_b"), percent)
+    return (F.col("root_a") != F.col("root_b")) & _alike(percent) & may_be_near(percent)
 
 
 def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +174,7 @@ def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
     Families grow together by these few pairs, which leaves few others for all pairs.
     """
     mark = F.xxhash64("lid")
-    row = F.struct(mark.alias("mark"), "lid", "root", "fp", "n", "sample")
+    row = F.struct(mark.alias("mark"), "lid", "root", "fp", "n", *PARITIES)
     some = dealt.groupBy("key", F.pmod(mark, F.lit(SAMPLES)).alias("part")).agg(F.min(row).alias("m")).select("key", "m.*")
     return _pairs(_side(dealt.where("other"), "a", "key").join(_side(some, "b", "key"), "key").where(_test(percent)))
 
@@ -184,30 +198,37 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no lines and stay. Null texts have no lines. Rows equal in id and text count as one. A line is hashed in one row: 12
     bytes for each of its characters, so a very long text without line feeds takes about that many times its size.
     """
+    base = f"{shared_dir(docs.sparkSession).rstrip('/')}/line-classes-{uuid.uuid4().hex}"
+    kept = lambda df, what: stored(df, what, base=base)
     d = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("dkey"), F.col(text_col).alias("text"))
-    lines = _lines(d, "text").select("doc_id", "dkey", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("hashes"))
-    lines = lines.select("doc_id", "dkey", "pos", "h1", "h2", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("sig"))
-    lines = stored(lines.select("doc_id", "dkey", "pos", "h1", "h2", "n", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "lines")
-    first = F.struct("doc_id", "pos", "lid", "dkey", "n", "fp", "keys")
-    classes = stored(lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    prints = classes.select("first.lid", "first.fp", "first.n")
-    keyed = classes.select("first.lid", F.explode("first.keys").alias("key"))
+    lines = _lines(d, "text").select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    copied = kept(_copied(lines), "copied")
+    sets = _firsts(lines, copied).select("doc_id", "dkey", "pos", hashes(F.col("line")).alias("hashes"))
+    sets = sets.select("doc_id", "dkey", "pos", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("sig"))
+    classes = kept(sets.select("doc_id", "dkey", "pos", "n", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("lid", F.explode("keys").alias("key")).repartition("key")  # dealt once, to be counted and joined
     centres = keyed.groupBy("key").agg(F.min("lid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(keyed.join(centres, "key"), "members")  # of keys with company
-    texts_of = lambda wanted: _texts(d, classes, wanted)
-    pairs = stored(_centred(members, prints, percent), "pairs")
-    roots = stored(components(_near(pairs, texts_of(_ends(pairs)), percent)), "stars")
+    members = kept(keyed.join(centres, "key"), "members")  # of keys with company
+    prints = classes.select("lid", "fp", "n")
+    places = lambda wanted: kept(classes.select("lid", "dkey", "pos").join(wanted, "lid", "left_semi"), "places")
+    texts_of = lambda pairs: kept(_texts(lines, places(_ends(pairs))), "texts")
+    pairs = kept(_centred(members, prints, percent), "pairs")
+    roots = kept(components(_near(pairs, texts_of(pairs), percent)), "stars")
+    dealt = kept(_open(members, roots), "open")
+    odd = kept(parities(_texts(lines, places(dealt.where("crowded").select("lid").distinct()))), "parities")  # of keys open later, too
     for find in (_sampled, _apart):
-        pairs = stored(find(_open(members, prints, roots, texts_of), percent), "more-pairs")
-        roots = merged(roots, _near(pairs, texts_of(_ends(pairs)), percent))
-    best = classes.select(F.col("first.lid").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "h1", "h2").join(roots, "node")
+        rest = dealt.where("not crowded").join(prints, "lid").select("*", *(F.lit(None).cast("bigint").alias(p) for p in PARITIES))
+        pairs = kept(find(dealt.where("crowded").join(prints, "lid").join(odd, "lid").unionByName(rest), percent), "more-pairs")
+        roots = merged(roots, _near(pairs, texts_of(pairs), percent))
+        dealt = kept(_open(members, roots), "open") if find is _sampled else dealt
+    best = classes.select(F.col("lid").alias("node"), "doc_id", "pos", "dkey").join(roots, "node")
     keep = best.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "node")).alias("m")).select(F.col("m.node").alias("node"))
-    lost = best.join(keep, "node", "left_anti").select("h1", "h2")  # whole classes that another line stands for
-    copies = classes.where("n > 1").select("h1", "h2", F.col("first.dkey").alias("fdkey"), F.col("first.pos").alias("fpos"))
-    at = lines.select("dkey", "pos", "h1", "h2")
-    of_classes = at.join(stored(lost, "lost"), ["h1", "h2"]).select("dkey", "pos")
-    of_copies = at.join(copies, ["h1", "h2"]).where("dkey <> fdkey or pos <> fpos").select("dkey", "pos")
-    return of_classes.union(of_copies).distinct()
+    lost = kept(best.join(keep, "node", "left_anti").select("dkey", "pos"), "lost")  # whole classes that another line stands for
+    gone = copied.join(lost.select(F.col("dkey").alias("fdkey"), F.col("pos").alias("fpos"), F.lit(True).alias("lost")), ["fdkey", "fpos"], "left")
+    some = sifted(lines.select("dkey", "pos", "h1", "h2"), copied, ["h1", "h2"]).join(gone, ["h1", "h2"]).where("lost or dkey <> fdkey or pos <> fpos")
+    out = stored(some.select("dkey", "pos").union(lost).distinct(), "repeated-lines")
+    removed(docs.sparkSession, base)
+    return out
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -228,7 +249,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stretches = lambda x: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: part(x, i))), "\n")
     left = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), stretches)[0]  # what lies between the lines that go
     # what is to go grows with the documents, so it is never broadcast, however small it may be here
-    out = docs.withColumn(key, row_key(id_col, text_col)).join(stored(drop, "gone").hint("merge"), key, "left")
+    out = docs.withColumn(key, row_key(id_col, text_col)).join(drop.hint("merge"), key, "left")
     return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
 
 

@@ -193,6 +193,18 @@ def test_lines_that_share_only_keys_of_a_third(spark, monkeypatch):
     assert want <= got and len(got - want) <= 1 and len(want) < len(texts) - 50
 
 
+def test_pairs_of_a_crowded_key_that_are_too_far_apart_are_no_rows(spark, monkeypatch):
+    """A family around one line, its members of similarity 0.6 to each other: about none of its pairs are compared on their texts."""
+    rng, letters, asked = random.Random(15), "abcdefghijklmnopqrstuvwxyz", []
+    base = "".join(rng.choices(letters, k=240))
+    texts = ["".join(rng.choice(letters) if j in at else x for j, x in enumerate(base)) for at in (set(rng.sample(range(240), 4)) for _ in range(160))]
+    near = lines._near
+    monkeypatch.setattr(lines, "_near", lambda pairs, *more: asked.append(pairs.count()) or near(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["text"] for r in lines.dedup_lines(docs).collect()} - {""}
+    assert got == set(brute_near(texts)) and sum(asked[1:]) <= len(texts)
+
+
 def test_short_lines_meet(spark):
     """Lines of five shingles and of four of them: similarity 0.8, and most bins are empty."""
     rng = random.Random(14)
