@@ -78,3 +78,15 @@ def test_random_conversations_in_any_number_of_batches(spark, remember):
         assert run(spark, convs, most=5, remember=remember)[0] == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_only_lists_that_are_asked_for_are_collected(spark):
+    """Rows of other keys go before the values are collected; an asked key without values has an empty list."""
+    from stratalens.operators import agent
+
+    calls = spark.createDataFrame([(1, 1, "c1", "index_callees", {"path": "7"}), (1, 2, "c2", "index_callees", {"path": "8"})], "conv_id int, turn int, id string, name string, input map<string,string>")
+    files, symbols = (spark.createDataFrame([], x) for x in ("path string, label string, text string, summary string", "path string, name string, line int, end_line int"))
+    lists = spark.range(1000).selectExpr("'callees' AS tool", "cast(id % 100 AS string) AS key", "cast(id AS string) AS value").where("key <> '8'")
+    out = agent.answers(calls, files, symbols, lists)
+    got = {r["id"]: r["answer"] for r in out.collect()}
+    assert got["c2"] == "[]" and got["c1"].count(",") == 9 and "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
