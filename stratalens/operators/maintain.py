@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -40,12 +41,12 @@ def summarize(todo: DataFrame, model, text_col: str = "text") -> DataFrame:
             return None
 
     def run(batches):
-        for b in batches:
-            out = b[["path", "sha256"]].assign(summary=b["text"].map(one))
-            yield out[out["summary"].notna()]
+        for b in batches:  # a text at a time: a batch's texts are never all Python strings at once
+            got = pa.array([one(x.as_py()) for x in b.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("sha256"), got], ["path", "sha256", "summary"]).filter(got.is_valid())
 
     kinds = dict(todo.dtypes)
-    return todo.select("path", "sha256", F.col(text_col).alias("text")).mapInPandas(run, f"path {kinds['path']}, sha256 string, summary string")
+    return todo.select("path", "sha256", F.col(text_col).alias("text")).mapInArrow(run, f"path {kinds['path']}, sha256 string, summary string")
 
 
 def within_budget(summaries: DataFrame, limit: int) -> DataFrame:

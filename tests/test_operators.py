@@ -208,3 +208,12 @@ def test_tasks_grow_with_rows(spark, sf, monkeypatch):
     for many, few in ((G.symbol_detail(s, asked, 3000), G.symbol_detail(s, asked)), (G.callers(e, s, 9000), G.callers(e, s)), (M.lost(s.where("line % 2 = 0"), s, 3000), M.lost(s.where("line % 2 = 0"), s))):
         assert n(many) > n(few)
         assert rows(many) == rows(few)
+
+
+def test_summaries_take_a_text_at_a_time(spark):
+    """A model that fails, or has nothing to say, gives no row; texts come as Arrow, not as a batch of strings."""
+    from stratalens.operators import maintain
+
+    todo = spark.createDataFrame([(1, "a", "long text"), (2, "b", "bad"), (3, "c", "none"), (4, "d", None)], "path long, sha256 string, text string")
+    out = maintain.summarize(todo, lambda t: None if t == "none" else t[:4] if t != "bad" else 1 // 0)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", "long")] and "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
