@@ -1,17 +1,17 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line's shingles are the SHINGLE characters that begin at each of its positions, spaces included; a shorter line is one
-shingle. The SKETCH least hashes of its different shingles are its signature. Two signature values that follow each other
-make a band key; the signature's bits, or-ed, make a fingerprint.
+shingle. The SKETCH least hashes of its different shingles are its signature. Three signature values that follow each other,
+or two in short lines, make a band key; the signature's bits, or-ed, make a fingerprint.
 
 Equal lines are one class first. Classes that share a key are compared with the key's centre, if their sizes fit and their
 fingerprints are alike enough, on the sets of all their shingles; links become components by union-find. Where a key
 still joins different components, the members outside of its largest one are compared with a few others, and then,
-where the key is still open, with all, by blocks. In crowded keys the parities of all shingles' hashes, in 64 * WORDS bits,
-turn pairs away before they are rows: each shingle that only one line of a pair has flips one bit, so parities never
-differ in more bits than the lines differ in shingles, and no link is lost by them. One line of each component stays.
+where the key is still open, with all, by blocks. The parities of all shingles' hashes, in 64 * WORDS bits, turn pairs of
+open keys away before they are rows: each shingle that only one line of a pair has flips one bit, so parities never differ
+in more bits than the lines differ in shingles, and no link is lost by them. One line of each component stays.
 
-Two lines of similarity 0.8 share no key three times in ten thousand, and never if they have up to BANDS shingles. Their
+Two lines of similarity 0.8 share no key three times in ten thousand, and never if they have up to SHORT_BANDS shingles. Their
 fingerprints are not alike once in 100,000, or four times in ten thousand if one's shingles are all the other's.
 """
 
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from stratalens.llm.common import components, fresh, mapped, merged, removed, shared_dir, sifted, stored
 
 SHINGLE, PERCENT = 8, 80
-#: Signature values, and those of them that make band keys.
-SKETCH, BANDS = 28, 13
-#: Members that others of a key are compared with before all, members from which on a key is crowded, members in a block
-#: when all are compared, and words of 64 parities: enough for lines of a thousand characters.
-SAMPLES, CROWD, BLOCK, WORDS = 8, 64, 1024, 16
+#: Signature values, those of them that make band keys, and how many a key takes.
+SKETCH, BANDS, RUN = 28, 24, 3
+#: The same for sets of up to SHORT shingles, whose keys take two.
+SHORT, SHORT_BANDS = 25, 13
+#: Members that others of a key are compared with before all, members in a block when all are compared, and words of 64
+#: parities: in longer lines than a thousand characters fewer pairs are turned away, and more are compared on their texts.
+SAMPLES, BLOCK, WORDS = 8, 1024, 8
 PARITIES = [f"p{w}" for w in range(WORDS)]
 
 
@@ -47,13 +49,17 @@ def hashes(line: Column) -> Column:
 
 
 def band_keys(sig: Column) -> Column:
-    """A key for each two of the first BANDS values that follow each other; of up to three values, one for all of them.
+    """A key for each RUN of the first BANDS values that follow each other; for SHORT sets each two of their first values.
 
-    Sets of up to three shingles are near only to equal ones.
+    Sets of up to three shingles are near only to equal ones and have one key. Two values in a row often come from one
+    common word, so long lines would share them with very many lines that are not near. Sets around SHORT have keys of both
+    kinds: of two near sets one has at most five shingles for four of the other.
     """
-    pair = lambda i: F.xxhash64(F.lit(2), F.get(sig, F.lit(i)), F.get(sig, F.lit(i + 1)))
-    pairs = F.array_compact(F.array(*(F.when(F.size(sig) > i + 1, pair(i)) for i in range(BANDS - 1))))
-    return F.when(F.size(sig) <= 3, F.array(F.xxhash64(sig))).otherwise(pairs)
+    run = lambda i, r: F.xxhash64(F.lit(r), *(F.get(sig, F.lit(i + j)) for j in range(r)))
+    runs = lambda values, r: F.array_compact(F.array(*(F.when(F.size(sig) >= i + r, run(i, r)) for i in range(values - r + 1))))
+    some = lambda when, values, r: F.when(when, runs(values, r)).otherwise(F.array().cast("array<bigint>"))
+    both = F.concat(some(F.size(sig) <= SHORT, SHORT_BANDS, 2), some(5 * F.size(sig) >= 4 * SHORT, BANDS, RUN))
+    return F.when(F.size(sig) <= 3, F.array(F.xxhash64(sig))).otherwise(both)
 
 
 def fingerprint(sig: Column) -> Column:
@@ -87,9 +93,9 @@ def parities(texts: DataFrame) -> DataFrame:
 
 
 def may_be_near(percent: int) -> Column:
-    """Whether the parities of _side() rows a and b differ in no more bits than near lines may differ in shingles; true for all near ones, and without parities."""
+    """Whether the parities of _side() rows a and b differ in no more bits than near lines may differ in shingles; true for all near ones."""
     differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES)
-    return F.col("p0_a").isNull() | ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -139,6 +145,10 @@ def _alike(percent: int) -> Column:
     return fits(F.col("n_a"), F.col("n_b"), percent) & alike(F.col("fp_a"), F.col("fp_b"))
 
 
+def _found(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "n_a", "n_b")
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b), each pair once."""
     swap = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
@@ -152,15 +162,15 @@ def _centred(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, lid, root, other, crowded, blocks): the members of keys that still join different components.
+    """(key, lid, root, other, blocks): the members of keys that still join different components.
 
     Two members of different components are never both of the key's largest one, so only the others go against all. The
     centre has met them all.
     """
     rooted = members.where("n > 2").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "centre", F.coalesce("root", "lid").alias("root"))
     open_ = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
-    open_ = open_.where("main.m < all").select("key", F.col("main.root").alias("main"), (F.col("all") > CROWD).alias("crowded"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    return rooted.join(open_, "key").where("lid <> centre").select("key", "lid", "root", (F.col("root") != F.col("main")).alias("other"), "crowded", "blocks")
+    open_ = open_.where("main.m < all").select("key", F.col("main.root").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    return rooted.join(open_, "key").where("lid <> centre").select("key", "lid", "root", (F.col("root") != F.col("main")).alias("other"), "blocks")
 
 
 def _test(percent: int) -> Column:
@@ -182,13 +192,19 @@ def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
 def _apart(dealt: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b): all lines of different components that share a key and are alike.
 
-    Members are dealt to blocks, so that a crowded key is many tasks.
+    Members are dealt to blocks, so that a crowded key is many tasks. Keys of one block are dealt once for both sides.
     """
+    single = dealt.where("blocks = 1").repartition("key")
+    a, b = _side(single, "a", "key", F.col("other").alias("other_a")), _side(single, "b", "key", F.col("other").alias("other_b"))
+    # as a sum, for a condition on one side alone would be pushed below the exchange, and there would be two of them
+    one = F.col("other_a").cast("int") * 2 + (~F.col("other_b") | (F.col("a") < F.col("b"))).cast("int") == 3
+    small = _found(a.join(b.hint("merge"), (a["key"] == b["key"]) & one & _test(percent)))
+    dealt = dealt.where("blocks > 1")
     x = _side(dealt.where("other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block")
     y = _side(dealt, "b", "key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), "other")
     once = ~F.col("other") | (F.col("a") < F.col("b"))
     # a merge join: it tests the pairs of a block as they meet, so none but those alike are rows
-    return _pairs(x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & once & _test(percent)))
+    return _pairs(small.union(_found(x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & once & _test(percent)))))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -210,15 +226,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     centres = keyed.groupBy("key").agg(F.min("lid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = kept(keyed.join(centres, "key"), "members")  # of keys with company
     prints = classes.select("lid", "fp", "n")
-    places = lambda wanted: kept(classes.select("lid", "dkey", "pos").join(wanted, "lid", "left_semi"), "places")
-    texts_of = lambda pairs: kept(_texts(lines, places(_ends(pairs))), "texts")
+    places = kept(classes.select("lid", "dkey", "pos").join(members.select("lid").distinct(), "lid", "left_semi"), "places")
+    texts = kept(_texts(lines, places), "texts")  # of lines with company, so that the documents are split once for them
+    texts_of = lambda pairs: sifted(texts, _ends(pairs), ["lid"])
     pairs = kept(_centred(members, prints, percent), "pairs")
     roots = kept(components(_near(pairs, texts_of(pairs), percent)), "stars")
     dealt = kept(_open(members, roots), "open")
-    odd = kept(parities(_texts(lines, places(dealt.where("crowded").select("lid").distinct()))), "parities")  # of keys open later, too
+    mine = sifted(texts, dealt, ["lid"]).join(dealt.select("lid").distinct(), "lid", "left_semi")
+    odd = kept(parities(mine).join(prints, "lid"), "parities")  # of keys open later, too
     for find in (_sampled, _apart):
-        rest = dealt.where("not crowded").join(prints, "lid").select("*", *(F.lit(None).cast("bigint").alias(p) for p in PARITIES))
-        pairs = kept(find(dealt.where("crowded").join(prints, "lid").join(odd, "lid").unionByName(rest), percent), "more-pairs")
+        pairs = kept(find(dealt.join(odd, "lid"), percent), "more-pairs")
         roots = merged(roots, _near(pairs, texts_of(pairs), percent))
         dealt = kept(_open(members, roots), "open") if find is _sampled else dealt
     best = classes.select(F.col("lid").alias("node"), "doc_id", "pos", "dkey").join(roots, "node")

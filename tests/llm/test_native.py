@@ -205,6 +205,32 @@ def test_pairs_of_a_crowded_key_that_are_too_far_apart_are_no_rows(spark, monkey
     assert got == set(brute_near(texts)) and sum(asked[1:]) <= len(texts)
 
 
+def keys_of(spark, texts):
+    """(i, key) of the texts' band keys."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, line string")
+    return [tuple(r) for r in df.select("i", F.explode(lines.band_keys(F.slice(lines.hashes(F.col("line")), 1, lines.SKETCH)))).collect()]
+
+
+def test_common_words_are_no_company(spark):
+    """Different lines that have a few words in common share hardly a key."""
+    rng, letters = random.Random(16), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    common = [word(12) for _ in range(60)]
+    texts = [" ".join(w for _ in range(12) for w in (rng.choice(common), word(12))) for _ in range(400)]
+    rows = keys_of(spark, texts)
+    shared = Counter(k for _, k in rows)
+    assert len({i for i, k in rows if shared[k] > 1}) <= 100
+
+
+def test_lines_around_the_short_ones_meet(spark):
+    """A line and the same without its last characters, at similarity 0.8 or just above, on both sides of SHORT shingles."""
+    rng, letters = random.Random(17), "abcdefghijklmnopqrstuvwxyz"
+    whole = ["".join(rng.choices(letters, k=n + 7)) for n in range(4, 60) for _ in range(10)]
+    cut = [t[: 7 - (-(len(t) - 7) * 4 // 5)] for t in whole]
+    keys = [{(i, k) for i, k in keys_of(spark, x)} for x in (whole, cut)]
+    assert len({i for i, _ in keys[0] & keys[1]}) >= len(whole) - 1
+
+
 def test_short_lines_meet(spark):
     """Lines of five shingles and of four of them: similarity 0.8, and most bins are empty."""
     rng = random.Random(14)
