@@ -31,8 +31,8 @@ SKETCH, BANDS, RUN = 28, 24, 3
 #: The same for sets of up to SHORT shingles, whose keys take two.
 SHORT, SHORT_BANDS = 25, 13
 #: Members that others of a key are compared with before all, members in a block when all are compared, and words of 64
-#: parities: in longer lines than a thousand characters fewer pairs are turned away, and more are compared on their texts.
-SAMPLES, BLOCK, WORDS = 8, 1024, 8
+#: parities: in longer lines than two thousand characters fewer pairs are turned away, and more are compared on their texts.
+SAMPLES, BLOCK, WORDS = 8, 1024, 16
 PARITIES = [f"p{w}" for w in range(WORDS)]
 
 
@@ -48,6 +48,13 @@ def hashes(line: Column) -> Column:
     return F.sort_array(F.array_distinct(shingles(line)))
 
 
+def sketch(line: Column, every: Column) -> Column:
+    """The SKETCH least of hashes(line); every: all shingles' hashes in order. Only where most of the least repeat are all made distinct."""
+    few = F.array_distinct(F.slice(every, 1, 2 * SKETCH))
+    enough = (F.size(few) >= SKETCH) | (F.size(every) <= 2 * SKETCH)
+    return F.slice(F.when(enough, few).otherwise(hashes(line)), 1, SKETCH)
+
+
 def band_keys(sig: Column) -> Column:
     """A key for each RUN of the first BANDS values that follow each other; for SHORT sets each two of their first values.
 
@@ -62,20 +69,20 @@ def band_keys(sig: Column) -> Column:
     return F.when(F.size(sig) <= 3, F.array(F.xxhash64(sig))).otherwise(both)
 
 
-def fingerprint(sig: Column) -> Column:
-    """128 bits in two words; each value of the signature sets one."""
+def fingerprint(sig: Column) -> list[Column]:
+    """128 bits in two words, w0 and w1; each value of the signature sets one."""
     none = F.lit(0).cast("bigint")
 
     def word(w: int) -> Column:
         bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * w, F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
         return functools.reduce(Column.bitwiseOR, (F.coalesce(bit(F.get(sig, F.lit(i))), none) for i in range(SKETCH)))
 
-    return F.struct(word(0).alias("w0"), word(1).alias("w1"))
+    return [word(0).alias("w0"), word(1).alias("w1")]
 
 
-def alike(x: Column, y: Column) -> Column:
-    """Whether two fingerprints share three eighths or more of the bits that either sets."""
-    count = lambda f: sum(F.bit_count(f(x[w], y[w])) for w in ("w0", "w1"))
+def alike() -> Column:
+    """Whether the fingerprints of _side() rows a and b share three eighths or more of the bits that either sets."""
+    count = lambda f: sum(F.bit_count(f(F.col(f"{w}_a"), F.col(f"{w}_b"))) for w in ("w0", "w1"))
     return 8 * count(Column.bitwiseAND) >= 3 * count(Column.bitwiseOR)
 
 
@@ -112,9 +119,10 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """(lid, line) of places (lid, dkey, pos)."""
+    """(lid, w0, w1, n, line) of places (lid, dkey, pos, w0, w1); n: how many different shingles the line has."""
     some = sifted(lines.select("dkey", "pos", "line"), places, ["dkey", "pos"])
-    return some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", "line")
+    n = F.size(F.array_distinct(shingles(F.col("line")))).alias("n")
+    return some.join(places, ["dkey", "pos"]).dropDuplicates(["lid"]).select("lid", "w0", "w1", n, "line")
 
 
 def _copied(lines: DataFrame) -> DataFrame:
@@ -137,12 +145,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _side(rows: DataFrame, k: str, *more) -> DataFrame:
-    return rows.select(*more, F.col("lid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "fp", "n", *PARITIES) if c in rows.columns))
+    """One side of pairs. Its numbers are never null, and said to be so: the test of a pair is then half the code, and runs compiled."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.select(*more, F.col("lid").alias(k), *(number(c).alias(f"{c}_{k}") for c in ("root", "w0", "w1", "n", *PARITIES) if c in rows.columns))
 
 
 def _alike(percent: int) -> Column:
     """The first test of a pair of _side() rows."""
-    return fits(F.col("n_a"), F.col("n_b"), percent) & alike(F.col("fp_a"), F.col("fp_b"))
+    return fits(F.col("n_a"), F.col("n_b"), percent) & alike()
 
 
 def _found(pairs: DataFrame) -> DataFrame:
@@ -173,6 +183,12 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(open_, "key").where("lid <> centre").select("key", "lid", "root", (F.col("root") != F.col("main")).alias("other"), "blocks")
 
 
+def _lesser(dealt: DataFrame) -> DataFrame:
+    """The rows of _open() with lesser: those of the line's open keys that are less than this one, at most all its keys."""
+    keys = dealt.groupBy("lid").agg(F.collect_list("key").alias("keys"))
+    return dealt.join(keys, "lid").withColumn("lesser", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+
+
 def _test(percent: int) -> Column:
     """The test of a pair of members of one open key before their lines are read."""
     return (F.col("root_a") != F.col("root_b")) & _alike(percent) & may_be_near(percent)
@@ -184,7 +200,7 @@ def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
     Families grow together by these few pairs, which leaves few others for all pairs.
     """
     mark = F.xxhash64("lid")
-    row = F.struct(mark.alias("mark"), "lid", "root", "fp", "n", *PARITIES)
+    row = F.struct(mark.alias("mark"), "lid", "root", "w0", "w1", "n", *PARITIES)
     some = dealt.groupBy("key", F.pmod(mark, F.lit(SAMPLES)).alias("part")).agg(F.min(row).alias("m")).select("key", "m.*")
     return _pairs(_side(dealt.where("other"), "a", "key").join(_side(some, "b", "key"), "key").where(_test(percent)))
 
@@ -192,19 +208,21 @@ def _sampled(dealt: DataFrame, percent: int) -> DataFrame:
 def _apart(dealt: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b): all lines of different components that share a key and are alike.
 
-    Members are dealt to blocks, so that a crowded key is many tasks. Keys of one block are dealt once for both sides.
+    Members are dealt to blocks, so that a crowded key is many tasks. Keys of one block are dealt once for both sides. The
+    members of a family share most of their keys; a pair is a row of the least of them only.
     """
+    first = ~F.arrays_overlap("lesser_a", "lesser_b")
     single = dealt.where("blocks = 1").repartition("key")
-    a, b = _side(single, "a", "key", F.col("other").alias("other_a")), _side(single, "b", "key", F.col("other").alias("other_b"))
+    a, b = (_side(single, k, "key", F.col("other").alias(f"other_{k}"), F.col("lesser").alias(f"lesser_{k}")) for k in "ab")
     # as a sum, for a condition on one side alone would be pushed below the exchange, and there would be two of them
     one = F.col("other_a").cast("int") * 2 + (~F.col("other_b") | (F.col("a") < F.col("b"))).cast("int") == 3
-    small = _found(a.join(b.hint("merge"), (a["key"] == b["key"]) & one & _test(percent)))
+    small = _found(a.join(b.hint("merge"), (a["key"] == b["key"]) & one & _test(percent) & first))
     dealt = dealt.where("blocks > 1")
-    x = _side(dealt.where("other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block")
-    y = _side(dealt, "b", "key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), "other")
+    x = _side(dealt.where("other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block", F.col("lesser").alias("lesser_a"))
+    y = _side(dealt, "b", "key", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int").alias("block"), "other", F.col("lesser").alias("lesser_b"))
     once = ~F.col("other") | (F.col("a") < F.col("b"))
     # a merge join: it tests the pairs of a block as they meet, so none but those alike are rows
-    return _pairs(small.union(_found(x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & once & _test(percent)))))
+    return _pairs(small.union(_found(x.join(y.hint("merge"), (x["key"] == y["key"]) & (x["block"] == y["block"]) & once & _test(percent) & first))))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -219,15 +237,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("dkey"), F.col(text_col).alias("text"))
     lines = _lines(d, "text").select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     copied = kept(_copied(lines), "copied")
-    sets = _firsts(lines, copied).select("doc_id", "dkey", "pos", hashes(F.col("line")).alias("hashes"))
-    sets = sets.select("doc_id", "dkey", "pos", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("sig"))
-    classes = kept(sets.select("doc_id", "dkey", "pos", "n", fingerprint(F.col("sig")).alias("fp"), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "classes")
+    every = _firsts(lines, copied).select("doc_id", "dkey", "pos", "line", F.sort_array(shingles(F.col("line"))).alias("every"))
+    sets = every.select("doc_id", "dkey", "pos", sketch(F.col("line"), F.col("every")).alias("sig"))
+    classes = kept(sets.select("doc_id", "dkey", "pos", *fingerprint(F.col("sig")), band_keys(F.col("sig")).alias("keys")).withColumn("lid", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("lid", F.explode("keys").alias("key")).repartition("key")  # dealt once, to be counted and joined
     centres = keyed.groupBy("key").agg(F.min("lid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = kept(keyed.join(centres, "key"), "members")  # of keys with company
-    prints = classes.select("lid", "fp", "n")
-    places = kept(classes.select("lid", "dkey", "pos").join(members.select("lid").distinct(), "lid", "left_semi"), "places")
+    members = kept(keyed.join(centres.hint("shuffle_hash"), "key"), "members")  # of keys with company, which are few of a task's keys
+    places = kept(classes.select("lid", "dkey", "pos", "w0", "w1").join(members.select("lid").distinct(), "lid", "left_semi"), "places")
     texts = kept(_texts(lines, places), "texts")  # of lines with company, so that the documents are split once for them
+    prints = texts.select("lid", "w0", "w1", "n")
     texts_of = lambda pairs: sifted(texts, _ends(pairs), ["lid"])
     pairs = kept(_centred(members, prints, percent), "pairs")
     roots = kept(components(_near(pairs, texts_of(pairs), percent)), "stars")
@@ -235,7 +253,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = sifted(texts, dealt, ["lid"]).join(dealt.select("lid").distinct(), "lid", "left_semi")
     odd = kept(parities(mine).join(prints, "lid"), "parities")  # of keys open later, too
     for find in (_sampled, _apart):
-        pairs = kept(find(dealt.join(odd, "lid"), percent), "more-pairs")
+        rows = dealt if find is _sampled else kept(_lesser(dealt), "lesser")
+        pairs = kept(find(rows.join(odd, "lid"), percent), "more-pairs")
         roots = merged(roots, _near(pairs, texts_of(pairs), percent))
         dealt = kept(_open(members, roots), "open") if find is _sampled else dealt
     best = classes.select(F.col("lid").alias("node"), "doc_id", "pos", "dkey").join(roots, "node")

@@ -205,6 +205,28 @@ def test_pairs_of_a_crowded_key_that_are_too_far_apart_are_no_rows(spark, monkey
     assert got == set(brute_near(texts)) and sum(asked[1:]) <= len(texts)
 
 
+def test_pairs_of_many_crowded_keys_are_one_row(spark, monkeypatch):
+    """A family whose members share most of their keys and are about as near as may be: no pair is a row of each shared key."""
+    rng, letters, asked = random.Random(18), "abcdefghijklmnopqrstuvwxyz", []
+    base = "".join(rng.choices(letters, k=700))
+    texts = ["".join(rng.choice(letters) if j in at else x for j, x in enumerate(base)) for at in (set(rng.sample(range(700), 8)) for _ in range(150))]
+    pairs = lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda found: asked.append((found.count(), (out := pairs(found)).count())) or out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["text"] for r in lines.dedup_lines(docs).collect()} - {""}
+    assert got == set(brute_near(texts)) and asked[-1][0] == asked[-1][1] > 0
+
+
+def test_least_hashes_are_of_different_shingles(spark):
+    """Also where the least ones repeat very often."""
+    rng = random.Random(19)
+    texts = ["ab", "abcdefgh" * 40, "x" * 500, ("y" * 300).join("".join(rng.choices("abcdef", k=60)) for _ in range(4))]
+    texts += ["".join(rng.choices("abcdefghijkl", k=n)) * m for n in (9, 30, 60, 90) for m in (1, 2, 9)]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("every", F.sort_array(lines.shingles(F.col("line"))))
+    rows = df.select(lines.sketch(F.col("line"), F.col("every")).alias("some"), lines.hashes(F.col("line")).alias("all")).collect()
+    assert len(rows) == len(texts) and all(r["some"] == r["all"][: lines.SKETCH] for r in rows)
+
+
 def keys_of(spark, texts):
     """(i, key) of the texts' band keys."""
     df = spark.createDataFrame(list(enumerate(texts)), "i bigint, line string")
