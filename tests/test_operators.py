@@ -217,3 +217,30 @@ def test_summaries_take_a_text_at_a_time(spark):
     todo = spark.createDataFrame([(1, "a", "long text"), (2, "b", "bad"), (3, "c", "none"), (4, "d", None)], "path long, sha256 string, text string")
     out = maintain.summarize(todo, lambda t: None if t == "none" else t[:4] if t != "bad" else 1 // 0)
     assert [tuple(r) for r in out.collect()] == [(1, "a", "long")] and "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_callers_shuffle_no_row_of_the_result(spark, sf):
+    """Exact and leaf calls come out of one group each, so nothing is dealt after names have met callers."""
+    from stratalens.plans import catalog
+    from stratalens.sources.versions import CLEANUP, kept
+
+    plan = catalog.callers_exact_and_leaf(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "LeftAnti" not in plan
+    e = spark.createDataFrame([("K.m", 1, "f"), ("m", 1, "f"), ("L.m", 2, "f"), ("m", 3, None), ("K.m", 3, None), ("m", 4, "g"), ("m", 4, "g")], "to_name string, from_path bigint, from_name string").selectExpr("*", "'call' AS kind")
+    names = spark.createDataFrame([("K.m",), ("L.m",), ("m",), ("m",)], "name string")
+    want = [("K.m", 1, "f", "exact"), ("L.m", 1, "f", "leaf"), ("L.m", 2, "f", "exact"), ("K.m", 3, None, "exact"), ("L.m", 3, None, "leaf"), ("K.m", 4, "g", "leaf"), ("L.m", 4, "g", "leaf"), *(("m", p, f, "exact") for p, f in ((1, "f"), (3, None), (4, "g")))]
+    assert sorted(map(str, (tuple(r) for r in G.callers(e, names).collect()))) == sorted(map(str, want))
+    old = spark.conf.get(CLEANUP, None)
+    assert kept(e.groupBy("to_name").count(), "kept-test").count() == 3 and spark.conf.get(CLEANUP, None) == old
+
+
+def test_stored_graph_index_is_opened_as_made(spark, sf):
+    """Edges that are opened from their groups as they are read are those of the SQL, each once."""
+    from stratalens.plans import model
+
+    e = model.edges(spark, sf)
+    assert e.count() == e.distinct().count() == model._edges(spark, sf).count() == model.resolved(spark, sf).count()
+    groups = model.calls(spark, sf)
+    assert groups.count() == groups.select("leaf", "from_path", "from_name").distinct().count()
+    got = lambda df: sorted((r["leaf"], r["from_path"], r["from_name"], tuple(sorted(r["names"]))) for r in df.collect())
+    assert got(groups) == got(G.grouped_calls(e))
