@@ -244,3 +244,18 @@ def test_stored_graph_index_is_opened_as_made(spark, sf):
     assert groups.count() == groups.select("leaf", "from_path", "from_name").distinct().count()
     got = lambda df: sorted((r["leaf"], r["from_path"], r["from_name"], tuple(sorted(r["names"]))) for r in df.collect())
     assert got(groups) == got(G.grouped_calls(e))
+
+
+def test_callers_are_stored_as_lists_of_short_numbers(spark):
+    """A name's callers are dealt once and stored; what counts them reads no call again, and repeated calls change nothing."""
+    from stratalens.operators.reach import listed
+
+    calls = [(c, n) for n in range(5) for c in range(200) if (c * 7 + n) % (n + 2) == 0]
+    e = spark.createDataFrame([(c, "f", f"n{n}") for c, n in calls * 2], "from_path bigint, from_name string, to_name string").selectExpr("*", "'call' AS kind")
+    s = spark.createDataFrame([(p, f"n{p % 7}") for p in range(60)], "path bigint, name string")
+    out = G.centrality_by_name(s, s, e)
+    assert "to_name" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["path"]: r["called_by"] for r in out.collect()} == {p: len({c for c, n in calls if n == p % 7} - {p}) for p in range(60)}
+    of = listed(s.select("name"), e.selectExpr("to_name AS name", "from_path AS caller"), block=30)
+    assert of.blocks > 1 and dict(of.lists.dtypes)["at"] == "array<smallint>"
+    assert {r["name"]: r["n"] for r in of.counts().collect()} == {f"n{n}": len({c for c, m in calls if m == n}) for n in range(5)}
