@@ -259,3 +259,23 @@ def test_callers_are_stored_as_lists_of_short_numbers(spark):
     of = listed(s.select("name"), e.selectExpr("to_name AS name", "from_path AS caller"), block=30)
     assert of.blocks > 1 and dict(of.lists.dtypes)["at"] == "array<smallint>"
     assert {r["name"]: r["n"] for r in of.counts().collect()} == {f"n{n}": len({c for c, m in calls if m == n}) for n in range(5)}
+
+
+def test_calls_of_pairs_are_looked_up_in_bits(spark):
+    """Whether a caller calls each of a list of names, by blocks, names with many and few callers; impact joins no calls."""
+    from stratalens.operators.reach import called, listed
+
+    rng = random.Random(3)
+    calls = {("n0", c) for c in range(300)} | {(f"n{rng.randrange(1, 9)}", rng.randrange(300)) for _ in range(160)}
+    c = spark.createDataFrame(sorted(calls), "name string, caller bigint")
+    of = listed(spark.createDataFrame([(f"n{i}",) for i in range(10)], "name string"), c, block=60)
+    name = {r["id"]: r["name"] for r in of.names.collect()}
+    rows = [(p, rng.randrange(310), rng.sample([-1, *name], p % 4)) for p in range(200)]
+    out = called(spark.createDataFrame(rows, "path bigint, caller bigint, names array<bigint>"), of, group=20).collect()
+    assert {r["path"]: r["hit"] for r in out} == {p: [(name.get(x), f) in calls for x in names] for p, f, names in rows if any(f == g for _, g in calls)}
+    assert of.blocks > 1 and any(any(r["hit"]) for r in out)
+    s = spark.createDataFrame([(p, f"K.n{p % 9}") for p in range(20)], "path bigint, name string").selectExpr("*", "'method' AS kind", "1L AS line")
+    e = c.selectExpr("caller AS from_path", "'f' AS from_name", "name AS to_name", "'call' AS kind", "1L AS line").union(spark.sql("SELECT 7L, 'f', 'a.s0', 'import', 1L"))
+    out = G.impact_counts(s, e, s.selectExpr("path", "concat('s', path) AS stem"))
+    assert "to_name" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(0, "K.n0", 1, 1)]
