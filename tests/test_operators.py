@@ -279,3 +279,17 @@ def test_calls_of_pairs_are_looked_up_in_bits(spark):
     out = G.impact_counts(s, e, s.selectExpr("path", "concat('s', path) AS stem"))
     assert "to_name" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in out.collect()] == [(0, "K.n0", 1, 1)]
+
+
+def test_first_callers_read_no_call_again(spark, sf):
+    """A summary's callers come of the stored lists: no call is shuffled in the plan that makes them."""
+    from stratalens.plans import catalog
+
+    s, e, stems = catalog._gate(spark, sf)
+    out = G.first_callers(s, e, stems, 5)
+    assert "to_name" not in out._jdf.queryExecution().optimizedPlan().toString()
+    few = {(r["path"], r["name"]): (r["callers"], r["n"]) for r in out.collect()}
+    of = {}
+    for path, name, caller in catalog.import_gated_callers(spark, sf).collect():
+        of.setdefault((path, name), []).append(caller)
+    assert few == {k: (sorted(v)[:5], len(v)) for k, v in of.items()}
