@@ -293,3 +293,19 @@ def test_first_callers_read_no_call_again(spark, sf):
     for path, name, caller in catalog.import_gated_callers(spark, sf).collect():
         of.setdefault((path, name), []).append(caller)
     assert few == {k: (sorted(v)[:5], len(v)) for k, v in of.items()}
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number(spark):
+    """Lists of callers meet definers and are opened last; a name of many pairs is several tasks, and gives the same rows."""
+    from stratalens.operators.reach import listed
+
+    calls = sorted({("K.m", c) for c in range(60)} | {(f"K.n{c % 3}", c) for c in range(30)})
+    whole = [(p, n) for p in range(20) for n in ("K.m", f"K.n{p % 4}")]
+    c, w = spark.createDataFrame(calls, "name string, from_path bigint"), spark.createDataFrame(whole, "path bigint, name string")
+    of = listed(w.select("name"), c.selectExpr("name", "from_path AS caller"), block=25)
+    want = sorted((p, n, f) for p, n in whole for m, f in calls if m == n and f != p)
+    for task in (50, 1 << 27):
+        assert sorted(map(tuple, G._met(w, of, task).collect())) == want
+    sym, edg = w.selectExpr("*", "'method' AS kind", "1L AS line"), c.selectExpr("from_path", "'f' AS from_name", "name AS to_name", "'call' AS kind", "1L AS line")
+    out = G.gated_callers(sym, edg, w.selectExpr("path", "concat('s', path) AS stem").distinct())
+    assert "Generate explode(callers" in out._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, out.collect())) == want
